@@ -1,0 +1,16 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else None.
+
+    The check counts no further than the bound.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else None
