@@ -32,6 +32,11 @@ def planar(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
+def ring_key(ring: Column) -> Column:
+    """A short scalar that is equal for equal rings, to group and join on instead of arrays."""
+    return F.md5(ring.cast("string"))
+
+
 def ring_to_wkt(ring: Column) -> Column:
     points = F.transform(ring, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string")))
     return F.concat(F.lit("POLYGON(("), F.array_join(points, ", "), F.lit("))"))
@@ -120,13 +125,21 @@ def bounds_overlap(a: list[Column], b: list[Column]) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
 
 
-def intersects(ring_a: Column, ring_b: Column) -> Column:
-    """Two closed polygons share a point: an edge pair meets, or one holds a vertex of the other."""
-    ea, eb = edges(ring_a), edges(ring_b)
-    meet = F.exists(ea, lambda e: F.exists(eb, lambda f: _edges_meet(e, f)))
-    first_a, first_b = F.element_at(ring_a, 1), F.element_at(ring_b, 1)
+def is_box(ring_edges: Column) -> Column:
+    """Four axis-parallel edges: bounds decide every question about such a ring."""
+    return (F.size(ring_edges) == 4) & F.forall(
+        ring_edges, lambda e: (e["x1"] == e["x2"]) | (e["y1"] == e["y2"])
+    )
+
+
+def intersects(edges_a: Column, edges_b: Column) -> Column:
+    """Two closed polygons share a point: one holds a vertex of the other, or an edge pair meets.
+
+    Takes edge arrays, which the caller computes once per polygon and not once per pair.
+    """
+    first_a, first_b = F.element_at(edges_a, 1), F.element_at(edges_b, 1)
     return (
-        meet
-        | contains(eb, first_a["x"], first_a["y"])
-        | contains(ea, first_b["x"], first_b["y"])
+        contains(edges_b, first_a["x1"], first_a["y1"])
+        | contains(edges_a, first_b["x1"], first_b["y1"])
+        | F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _edges_meet(e, f)))
     )

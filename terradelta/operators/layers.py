@@ -74,7 +74,7 @@ def side_by_side(panels: Sequence[DataFrame], widths: DataFrame, keys: Sequence[
 
 def lonlat_points(points: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Add the lat and lon of pixel centres."""
-    placed = pixel_xy(points, meta, on).join(meta.select(*on, "epsg"), list(on))
+    placed = pixel_xy(points, meta, on, ["epsg"])
     lon, lat = from_utm(F.col("x"), F.col("y"), F.col("epsg"))
     return placed.withColumns({"lat": lat, "lon": lon}).drop("x", "y", "epsg")
 

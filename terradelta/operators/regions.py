@@ -16,9 +16,11 @@ from terradelta.operators.bitrows import TILE_ROWS, core_width, position_of, bit
 DENSIFY_POINTS = 21
 
 
-def pixel_xy(df: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",)) -> DataFrame:
-    """Map coordinates of pixel centres."""
-    frame = meta.select(*on, "x0", "y0", "px", "py")
+def pixel_xy(
+    df: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",), carry: Sequence[str] = ()
+) -> DataFrame:
+    """Map coordinates of pixel centres; ``carry`` names further meta columns to keep."""
+    frame = meta.select(*on, "x0", "y0", "px", "py", *carry)
     return (
         df.join(frame, list(on))
         .withColumn("x", F.col("x0") + (F.col("col") + 0.5) * F.col("px"))
@@ -48,7 +50,7 @@ def place_planar_rings(regions: DataFrame) -> DataFrame:
 def crop_window(placed: DataFrame) -> DataFrame:
     """Ring bounds snapped outward to whole pixels, inside the raster, and the cropped frame.
 
-    Regions that do not touch their raster are dropped.
+    A region that does not touch its raster gets an empty window (see :func:`touching`).
     """
     x_min, y_min, x_max, y_max = rings.bounds(F.col("ring"))
     zero = F.lit(0).cast("long")
@@ -61,7 +63,6 @@ def crop_window(placed: DataFrame) -> DataFrame:
                 "row_max": F.least(F.ceil(y_max), F.col("height")) - 1,
             }
         )
-        .where("col_min <= col_max and row_min <= row_max")
         .withColumns(
             {
                 "crop_x0": F.col("x0") + F.col("col_min") * F.col("px"),
@@ -73,6 +74,11 @@ def crop_window(placed: DataFrame) -> DataFrame:
     )
 
 
+def touching(windows: DataFrame) -> DataFrame:
+    """Windows that hold at least one pixel of their raster."""
+    return windows.where("crop_width > 0 and crop_height > 0")
+
+
 def burn(windows: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
     """Polygons as packed masks: one row per raster row and word of each crop window.
 

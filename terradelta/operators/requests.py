@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terradelta.functions.rings import normalize_ring
+from terradelta.functions.rings import normalize_ring, ring_key
 
 # Dates used when neither the request nor its AOI names one.
 FALLBACK_DATES = ("2024-02-28", "2026-04-03")
@@ -55,10 +55,8 @@ def _library_date(df: DataFrame, i: int) -> Column:
     return F.col(f"default_dates.date{i}")
 
 
-def default_dates(requests: DataFrame, aois: DataFrame) -> DataFrame:
-    """Fill missing request dates from the AOI, else from the fallback constants."""
-    joined = requests.join(aois.select("aoi_id", "default_dates"), "aoi_id", "left")
-    filled = {
+def _filled_dates(joined: DataFrame) -> dict[str, Column]:
+    return {
         f"date{i}": F.coalesce(
             F.nullif(F.col(f"date{i}"), F.lit("")),
             F.nullif(_library_date(joined, i), F.lit("")),
@@ -66,11 +64,30 @@ def default_dates(requests: DataFrame, aois: DataFrame) -> DataFrame:
         )
         for i in (1, 2)
     }
-    return joined.withColumns(filled).drop("default_dates")
+
+
+def default_dates(requests: DataFrame, aois: DataFrame) -> DataFrame:
+    """Fill missing request dates from the AOI, else from the fallback constants."""
+    joined = requests.join(aois.select("aoi_id", "default_dates"), "aoi_id", "left")
+    return joined.withColumns(_filled_dates(joined)).drop("default_dates")
+
+
+def resolve(requests: DataFrame, aois: DataFrame) -> DataFrame:
+    """Ring and dates in one join with the library: request_id, aoi_id, ring_key, coords, dates."""
+    joined = _with_library(requests, aois).withColumn("coords", _resolved_ring())
+    dates = {name: F.to_date(day) for name, day in _filled_dates(joined).items()}
+    return (
+        joined.where(F.col("coords").isNotNull())
+        .withColumns({**dates, "ring_key": ring_key(F.col("coords"))})
+        .select("request_id", "aoi_id", "ring_key", "coords", "date1", "date2")
+    )
+
+
+JOB = ("aoi_id", "ring_key", "date1", "date2")
 
 
 def distinct_jobs(resolved: DataFrame) -> DataFrame:
     """One row per distinct (AOI, ring, dates); equal requests are computed once."""
-    return resolved.groupBy("aoi_id", "coords", "date1", "date2").agg(
-        F.min("request_id").alias("job_id")
+    return resolved.groupBy(*JOB).agg(
+        F.min("request_id").alias("job_id"), F.first("coords").alias("coords")
     )

@@ -18,13 +18,14 @@ def _cells(low: str, high: str, size: float) -> Column:
     return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
 
 
-def _with_box(df: DataFrame, ring: str, prefix: str) -> DataFrame:
-    """Planar ring and its bounds, as ``<prefix>ring`` and ``<prefix>x1`` .. ``<prefix>y2``."""
-    flat = df.withColumn(f"{prefix}ring", rings.planar(F.col(ring)))
-    x1, y1, x2, y2 = rings.bounds(F.col(f"{prefix}ring"))
-    return flat.withColumns(
-        {f"{prefix}x1": x1, f"{prefix}y1": y1, f"{prefix}x2": x2, f"{prefix}y2": y2}
+def _with_shape(df: DataFrame, ring: str, prefix: str) -> DataFrame:
+    """Edges, bounds and whether the ring is a box, computed once per ring, before any join."""
+    flat = rings.planar(F.col(ring))
+    names = [f"{prefix}{n}" for n in ("x1", "y1", "x2", "y2")]
+    shaped = df.withColumns(
+        {**dict(zip(names, rings.bounds(flat))), f"{prefix}edges": rings.edges(flat)}
     )
+    return shaped.withColumn(f"{prefix}box", rings.is_box(F.col(f"{prefix}edges"))).drop(ring)
 
 
 def best_of_copies(catalog: DataFrame, k: int) -> DataFrame:
@@ -33,12 +34,13 @@ def best_of_copies(catalog: DataFrame, k: int) -> DataFrame:
     Products with one footprint and day match the same requests, so the rest of such a group can
     never be among anybody's first k. Spark cuts the groups before the shuffle (window group limit).
     """
-    same = Window.partitionBy("footprint", "day").orderBy("cloud_cover", "product_id")
+    same = Window.partitionBy("footprint_key", "day").orderBy("cloud_cover", "product_id")
     return (
         catalog.withColumn("day", F.to_date("sensing_start"))
+        .withColumn("footprint_key", rings.ring_key(F.col("footprint")))
         .withColumn("copy", F.row_number().over(same))
         .where(F.col("copy") <= k)
-        .drop("copy")
+        .drop("copy", "footprint_key")
     )
 
 
@@ -49,13 +51,14 @@ def candidate_scenes(
     cell: float = CELL_DEGREES,
     k: int = CANDIDATES,
 ) -> DataFrame:
-    """(coords, target_date, product) rows that can be among the first k of a distinct request.
+    """Products that can be among the first k of each distinct (ring_key, target_date) request.
 
     Both sides are cut to (day, grid cell) buckets and joined on equality; exact tests follow. A
     pair that shares several cells is kept only in the cell of the lower left corner of the overlap,
     which makes a distinct step unnecessary.
     """
-    wanted = _with_box(requests.select("coords", "target_date").distinct(), "coords", "a_")
+    distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
+    wanted = _with_shape(distinct, "coords", "a_")
     wanted = (
         wanted.withColumn("cell_x", F.explode(_cells("a_x1", "a_x2", cell)))
         .withColumn("cell_y", F.explode(_cells("a_y1", "a_y2", cell)))
@@ -65,7 +68,7 @@ def candidate_scenes(
         )
     )
     offered = (
-        _with_box(best_of_copies(catalog, k), "footprint", "b_")
+        _with_shape(best_of_copies(catalog, k), "footprint", "b_")
         .withColumn("cell_x", F.explode(_cells("b_x1", "b_x2", cell)))
         .withColumn("cell_y", F.explode(_cells("b_y1", "b_y2", cell)))
     )
@@ -77,8 +80,11 @@ def candidate_scenes(
     return (
         wanted.join(offered, ["day", "cell_x", "cell_y"])
         .where(rings.bounds_overlap(a, b) & owner)
-        .where(rings.intersects(F.col("a_ring"), F.col("b_ring")))
-        .select("coords", "target_date", "product_id", "sensing_start", "cloud_cover")
+        .where(
+            (F.col("a_box") & F.col("b_box"))
+            | rings.intersects(F.col("a_edges"), F.col("b_edges"))
+        )
+        .select("ring_key", "target_date", "product_id", "sensing_start", "cloud_cover")
     )
 
 
@@ -95,13 +101,14 @@ def top_scenes(
     Requests need aoi_id, coords (lon/lat ring) and target_date. Equal requests are searched once.
     """
     typed = catalog.where(F.col("product_type") == product_type)
-    order = Window.partitionBy("coords", "target_date").orderBy("cloud_cover", "product_id")
+    keyed = requests.withColumn("ring_key", rings.ring_key(F.col("coords")))
+    order = Window.partitionBy("ring_key", "target_date").orderBy("cloud_cover", "product_id")
     ranked = (
-        candidate_scenes(requests, typed, days, cell, k)
+        candidate_scenes(keyed, typed, days, cell, k)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
     )
-    return requests.join(ranked, ["coords", "target_date"])
+    return keyed.join(ranked, ["ring_key", "target_date"]).drop("ring_key")
 
 
 def select_scenes(requests: DataFrame, catalog: DataFrame, **options) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terradelta.operators import bands, bitrows, metrics, morphology, regions, requests, sampling
 from terradelta.operators.joins import checked_broadcast
 from terradelta.sources.rasters import only_bands
+from terradelta.sources.staging import staged
 
 KEYS = ("job_id", "aoi_id", "date1", "date2")
 KERNEL = 3  # fixed value: neighbourhood of the mask cleaning
@@ -19,7 +20,7 @@ KERNEL = 3  # fixed value: neighbourhood of the mask cleaning
 class Detection:
     """Lazy results of a batch of requests."""
 
-    resolved: DataFrame  # request_id, aoi_id, coords, date1, date2
+    resolved: DataFrame  # request_id, aoi_id, ring_key, coords, date1, date2
     rejected: DataFrame  # request_id, aoi_id, reason
     jobs: DataFrame  # distinct work items with their placed ring and crop window
     words: DataFrame  # cleaned packed masks per job
@@ -29,11 +30,9 @@ class Detection:
         """One row per request: counts, areas and class areas."""
         counts = metrics.count_words(self.words, KEYS)
         per_job = metrics.with_class_areas(metrics.with_change(counts))
-        owners = self.resolved.join(
-            self.jobs.select("job_id", "aoi_id", "coords", "date1", "date2"),
-            ["aoi_id", "coords", "date1", "date2"],
-        ).select("request_id", "job_id")
-        return owners.join(per_job, "job_id").drop("job_id")
+        named = per_job.join(self.jobs.select("job_id", "ring_key"), "job_id").drop("job_id")
+        asked = self.resolved.select("request_id", *requests.JOB)
+        return asked.join(named, list(requests.JOB)).drop("ring_key")
 
     def documents(self, base_uri: str) -> DataFrame:
         return metrics.metrics_document(self.metrics(), base_uri)
@@ -48,8 +47,15 @@ class Detection:
 
 
 def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
-    """Distinct work items, projected onto their raster and cropped to it."""
-    return regions.crop_window(regions.place_rings(requests.distinct_jobs(resolved), meta))
+    """Distinct work items, projected onto their raster and cropped to it.
+
+    Staged, because the pixel filter, the burned masks and the results all read this small table.
+    """
+    placed = regions.place_rings(requests.distinct_jobs(resolved), meta)
+    columns = ["job_id", *requests.JOB, "ring"]
+    window = ["row_min", "row_max", "col_min", "col_max", "crop_width", "crop_height"]
+    jobs = regions.crop_window(placed).select(*columns, *window)
+    return regions.touching(staged(jobs, "jobs"))
 
 
 def pixels_in_reach(pixels: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -111,8 +117,7 @@ def detect_changes(
     ``pixels`` is long (aoi_id, scene_date, band, row, col, dn), ``meta`` places each raster on the
     map. Requests without dates take their AOI's; those without a known polygon are rejected.
     """
-    resolved = requests.default_dates(requests.resolve_aoi(requests_df, aois), aois)
-    resolved = resolved.withColumns({d: F.to_date(d) for d in ("date1", "date2")})
+    resolved = requests.resolve(requests_df, aois)
     rejected = requests.rejected_requests(requests_df, aois)
     jobs = prepare_jobs(resolved, meta)
     steps = morphology.cleaning(KERNEL)

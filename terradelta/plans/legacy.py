@@ -26,26 +26,35 @@ def fit_to_first(image2: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("ao
     return same.select(*resized.columns).unionByName(resized)
 
 
-def gray_difference(image1: DataFrame, image2: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Absolute luma difference per pixel, in one aggregation instead of a self join."""
+def gray_difference(
+    image1: DataFrame, image2: DataFrame, keys: Sequence[str], halo: int
+) -> DataFrame:
+    """Absolute luma difference per pixel, in one aggregation instead of a self join.
+
+    Rows are laid out by word, so packing the result needs no further exchange.
+    """
     both = (
         image1.select(*keys, "row", "col", F.lit(1).alias("side"), *CHANNELS)
         .unionByName(image2.select(*keys, "row", "col", F.lit(2).alias("side"), *CHANNELS))
         .withColumn("gray", spectral.grayscale(*[F.col(c) for c in CHANNELS]))
+        .drop(*CHANNELS)
     )
+    placed = bitrows.with_address(both, halo).repartition(*keys, *bitrows.ADDRESS)
     sides = [F.max(F.when(F.col("side") == i, F.col("gray"))).alias(f"gray{i}") for i in (1, 2)]
     return (
-        both.groupBy(*keys, "row", "col")
+        placed.groupBy(*keys, *bitrows.ADDRESS, "col")
         .agg(*sides)
         .withColumn("difference", spectral.absolute_difference(F.col("gray1"), F.col("gray2")))
     )
 
 
-def legacy_words(image1: DataFrame, image2: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> tuple[DataFrame, int]:
+def legacy_words(
+    image1: DataFrame, image2: DataFrame, keys: Sequence[str] = ("aoi_id",)
+) -> tuple[DataFrame, int]:
     """Cleaned packed change masks of two images of equal size, and their halo."""
     steps = morphology.opening(KERNEL)
     halo = morphology.halo_of(steps)
-    change = gray_difference(image1, image2, keys)
+    change = gray_difference(image1, image2, keys, halo)
     flags = {"mask": F.col("difference") > spectral.GRAY_THRESHOLD}
     words = bitrows.pack(change, keys, flags, halo)
     return morphology.transform_words(words, keys, ["mask"], steps), halo

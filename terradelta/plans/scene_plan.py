@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from terradelta.functions.rings import ring_key
 from terradelta.operators.scenes import select_scenes
 from terradelta.sources.catalog import asset_paths, pending
 
@@ -26,7 +28,9 @@ def plan_scenes(
     product chosen by many requests is fetched once.
     """
     chosen = select_scenes(requests, catalog, **options)
-    keys = ["aoi_id", "coords", "target_date"]
-    unmatched = requests.join(chosen.select(*keys), keys, "left_anti")
+    keys = ["aoi_id", "target_date", "ring_key"]
+    keyed = requests.withColumn("ring_key", ring_key(F.col("coords")))
+    served = chosen.select("aoi_id", "target_date", ring_key(F.col("coords")).alias("ring_key"))
+    unmatched = keyed.join(served, keys, "left_anti").drop("ring_key")
     products = chosen.select("product_id").distinct().join(scenes, "product_id")
     return ScenePlan(chosen, unmatched, pending(asset_paths(products), manifest))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +24,7 @@ from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import detect_changes
 from terradelta.plans.legacy import comparison_strip, detect_changes_legacy, legacy_words
 from terradelta.plans.scene_plan import plan_scenes
-from terradelta.sources import aoi_library, catalog, naming, rasters
+from terradelta.sources import aoi_library, catalog, naming, rasters, staging
 from verification import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +54,6 @@ def _round(value: Column, digits: int) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder (local only where that is unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='terradelta-')}/raster-{uuid.uuid4().hex}"
-
-
 # --- scans, sources, sinks -------------------------------------------------------------------------
 
 
@@ -107,7 +99,7 @@ def pending_assets(spark, sf):
 
 @query
 def raster_roundtrip(spark, sf):
-    folder = _scratch(spark)
+    folder = staging.new_path(spark, "raster")
     rasters.write_raster(fx.dated(spark, sf), folder, "bands")
     return rasters.read_raster(spark, folder).select(
         "aoi_id", F.col("scene_date").cast("string").alias("scene_date"), "row", "col", *fx.BANDS
@@ -309,7 +301,8 @@ def pixel_xy(spark, sf):
 
 
 def _site_windows(spark, sf):
-    return regions.crop_window(regions.place_planar_rings(fx.planar_regions(spark, sf)))
+    placed = regions.place_planar_rings(fx.planar_regions(spark, sf))
+    return regions.touching(regions.crop_window(placed))
 
 
 @query
@@ -352,10 +345,10 @@ def footprint_intersects(spark, sf):
         F.array(cx - 1.5, cy),
     )
     customers = fx.table(spark, sf, "customer").select(
-        "c_custkey", rings.planar(fx.square(x, y, 2.0)).alias("area")
+        "c_custkey", rings.edges(rings.planar(fx.square(x, y, 2.0))).alias("area")
     )
     orders = fx.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", rings.planar(diamond).alias("footprint")
+        "o_orderkey", "o_custkey", rings.edges(rings.planar(diamond)).alias("footprint")
     )
     pairs = orders.join(customers, orders.o_custkey == customers.c_custkey)
     hit = rings.intersects(F.col("area"), F.col("footprint"))
