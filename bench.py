@@ -7,27 +7,16 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from terradelta.session import local  # noqa: E402
 from verification.bench_queries import BENCH  # noqa: E402
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = local(cpus, os.environ.get("BENCH_MEMORY", "16g"))
     spark.range(1000).groupBy().count().collect()  # start the executor threads
     times = {}
     for name, fn in BENCH.items():

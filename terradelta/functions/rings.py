@@ -6,6 +6,8 @@ A lon/lat ring is ``array<array<double>>`` of ``[lon, lat]`` pairs; a planar rin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +93,11 @@ def contains(ring_edges: Column, x: Column, y: Column) -> Column:
     return F.aggregate(ring_edges, F.lit(False), toggle)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` for a predicate, with ``value`` evaluated once."""
+    return F.exists(F.array(value), use)
+
+
 def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
     """Sign of the turn p -> q -> r."""
     return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
@@ -107,22 +114,37 @@ def _on_segment(e: Column, x: Column, y: Column) -> Column:
 
 
 def _edges_meet(e: Column, f: Column) -> Column:
-    s1 = _side(e["x1"], e["y1"], e["x2"], e["y2"], f["x1"], f["y1"])
-    s2 = _side(e["x1"], e["y1"], e["x2"], e["y2"], f["x2"], f["y2"])
-    s3 = _side(f["x1"], f["y1"], f["x2"], f["y2"], e["x1"], e["y1"])
-    s4 = _side(f["x1"], f["y1"], f["x2"], f["y2"], e["x2"], e["y2"])
-    return (
-        ((s1 != s2) & (s3 != s4))
-        | ((s1 == 0) & _on_segment(e, f["x1"], f["y1"]))
-        | ((s2 == 0) & _on_segment(e, f["x2"], f["y2"]))
-        | ((s3 == 0) & _on_segment(f, e["x1"], e["y1"]))
-        | ((s4 == 0) & _on_segment(f, e["x2"], e["y2"]))
+    sides = F.struct(
+        _side(e["x1"], e["y1"], e["x2"], e["y2"], f["x1"], f["y1"]).alias("f1"),
+        _side(e["x1"], e["y1"], e["x2"], e["y2"], f["x2"], f["y2"]).alias("f2"),
+        _side(f["x1"], f["y1"], f["x2"], f["y2"], e["x1"], e["y1"]).alias("e1"),
+        _side(f["x1"], f["y1"], f["x2"], f["y2"], e["x2"], e["y2"]).alias("e2"),
     )
 
+    def decide(s: Column) -> Column:
+        return (
+            ((s["f1"] != s["f2"]) & (s["e1"] != s["e2"]))
+            | ((s["f1"] == 0) & _on_segment(e, f["x1"], f["y1"]))
+            | ((s["f2"] == 0) & _on_segment(e, f["x2"], f["y2"]))
+            | ((s["e1"] == 0) & _on_segment(f, e["x1"], e["y1"]))
+            | ((s["e2"] == 0) & _on_segment(f, e["x2"], e["y2"]))
+        )
 
-def bounds_overlap(a: list[Column], b: list[Column]) -> Column:
-    """Closed bounding boxes share a point: a cheap test to run before :func:`intersects`."""
-    return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+    return _let(sides, decide)
+
+
+def with_shape(df: DataFrame, ring: Column, prefix: str) -> DataFrame:
+    """Add what :func:`shapes_meet` needs of a planar ring: bounds, edges and whether it is a box.
+
+    Runs once per polygon, before any join, so that nothing of it is recomputed per pair.
+    """
+    flat = F.col(f"{prefix}ring")
+    names = [f"{prefix}{n}" for n in ("x1", "y1", "x2", "y2")]
+    # one projection for the ring: six expressions read it
+    shaped = df.withColumn(f"{prefix}ring", ring).withColumns(
+        {**dict(zip(names, bounds(flat))), f"{prefix}edges": edges(flat)}
+    )
+    return shaped.withColumn(f"{prefix}box", is_box(F.col(f"{prefix}edges"))).drop(f"{prefix}ring")
 
 
 def is_box(ring_edges: Column) -> Column:
@@ -132,14 +154,45 @@ def is_box(ring_edges: Column) -> Column:
     )
 
 
-def intersects(edges_a: Column, edges_b: Column) -> Column:
-    """Two closed polygons share a point: one holds a vertex of the other, or an edge pair meets.
+def box_of(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{n}") for n in ("x1", "y1", "x2", "y2")]
 
-    Takes edge arrays, which the caller computes once per polygon and not once per pair.
+
+def bounds_overlap(a: list[Column], b: list[Column]) -> Column:
+    """Closed bounding boxes share a point."""
+    return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
+def _edges_near(ring_edges: Column, box: list[Column]) -> Column:
+    """Edges whose own bounds touch a box."""
+
+    def near(e: Column) -> Column:
+        low = [F.least(e["x1"], e["x2"]), F.least(e["y1"], e["y2"])]
+        high = [F.greatest(e["x1"], e["x2"]), F.greatest(e["y1"], e["y2"])]
+        return bounds_overlap([*low, *high], box)
+
+    return F.filter(ring_edges, near)
+
+
+def shapes_meet(a: str, b: str) -> Column:
+    """Two closed polygons, added as prefixes by :func:`with_shape`, share a point.
+
+    Bounds first; they settle two boxes. Else one polygon holds a vertex of the other, or an edge
+    pair meets, for which only edges near the other polygon are tried.
     """
-    first_a, first_b = F.element_at(edges_a, 1), F.element_at(edges_b, 1)
-    return (
-        contains(edges_b, first_a["x1"], first_a["y1"])
-        | contains(edges_a, first_b["x1"], first_b["y1"])
-        | F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _edges_meet(e, f)))
+    ea, eb = F.col(f"{a}edges"), F.col(f"{b}edges")
+    first_a, first_b = F.element_at(ea, 1), F.element_at(eb, 1)
+    exact = (
+        contains(eb, first_a["x1"], first_a["y1"])
+        | contains(ea, first_b["x1"], first_b["y1"])
+        | _let(
+            F.struct(
+                _edges_near(ea, box_of(b)).alias("a"), _edges_near(eb, box_of(a)).alias("b")
+            ),
+            lambda near: F.exists(
+                near["a"], lambda e: F.exists(near["b"], lambda f: _edges_meet(e, f))
+            ),
+        )
     )
+    boxes = F.col(f"{a}box") & F.col(f"{b}box")
+    return bounds_overlap(box_of(a), box_of(b)) & (boxes | exact)

@@ -18,16 +18,6 @@ def _cells(low: str, high: str, size: float) -> Column:
     return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
 
 
-def _with_shape(df: DataFrame, ring: str, prefix: str) -> DataFrame:
-    """Edges, bounds and whether the ring is a box, computed once per ring, before any join."""
-    flat = rings.planar(F.col(ring))
-    names = [f"{prefix}{n}" for n in ("x1", "y1", "x2", "y2")]
-    shaped = df.withColumns(
-        {**dict(zip(names, rings.bounds(flat))), f"{prefix}edges": rings.edges(flat)}
-    )
-    return shaped.withColumn(f"{prefix}box", rings.is_box(F.col(f"{prefix}edges"))).drop(ring)
-
-
 def best_of_copies(catalog: DataFrame, k: int) -> DataFrame:
     """The k clearest products of each (footprint, day).
 
@@ -58,9 +48,10 @@ def candidate_scenes(
     which makes a distinct step unnecessary.
     """
     distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
-    wanted = _with_shape(distinct, "coords", "a_")
     wanted = (
-        wanted.withColumn("cell_x", F.explode(_cells("a_x1", "a_x2", cell)))
+        rings.with_shape(distinct, rings.planar(F.col("coords")), "a_")
+        .drop("coords")
+        .withColumn("cell_x", F.explode(_cells("a_x1", "a_x2", cell)))
         .withColumn("cell_y", F.explode(_cells("a_y1", "a_y2", cell)))
         .withColumn(
             "day",
@@ -68,22 +59,19 @@ def candidate_scenes(
         )
     )
     offered = (
-        _with_shape(best_of_copies(catalog, k), "footprint", "b_")
+        rings.with_shape(best_of_copies(catalog, k), rings.planar(F.col("footprint")), "b_")
+        .drop("footprint")
         .withColumn("cell_x", F.explode(_cells("b_x1", "b_x2", cell)))
         .withColumn("cell_y", F.explode(_cells("b_y1", "b_y2", cell)))
     )
-    a = [F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]
-    b = [F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]
+    a, b = rings.box_of("a_"), rings.box_of("b_")
     owner = (F.col("cell_x") == F.floor(F.greatest(a[0], b[0]) / cell)) & (
         F.col("cell_y") == F.floor(F.greatest(a[1], b[1]) / cell)
     )
     return (
         wanted.join(offered, ["day", "cell_x", "cell_y"])
-        .where(rings.bounds_overlap(a, b) & owner)
-        .where(
-            (F.col("a_box") & F.col("b_box"))
-            | rings.intersects(F.col("a_edges"), F.col("b_edges"))
-        )
+        .where(owner)
+        .where(rings.shapes_meet("a_", "b_"))
         .select("ring_key", "target_date", "product_id", "sensing_start", "cloud_cover")
     )
 

@@ -8,6 +8,7 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from terradelta.session import local
 from verification.oracle import ORACLE
 from verification.queries import QUERIES
 
@@ -44,15 +45,7 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, sf_dir: str, na
 
 
 def main(sf_dir: str, names: list[str]) -> int:
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = local()
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")

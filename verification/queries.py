@@ -344,15 +344,11 @@ def footprint_intersects(spark, sf):
         F.array(cx - 1.5, cy), F.array(cx, cy - 1.5), F.array(cx + 1.5, cy), F.array(cx, cy + 1.5),
         F.array(cx - 1.5, cy),
     )
-    customers = fx.table(spark, sf, "customer").select(
-        "c_custkey", rings.edges(rings.planar(fx.square(x, y, 2.0))).alias("area")
-    )
-    orders = fx.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", rings.edges(rings.planar(diamond)).alias("footprint")
-    )
+    area, footprint = rings.planar(fx.square(x, y, 2.0)), rings.planar(diamond)
+    customers = rings.with_shape(fx.table(spark, sf, "customer"), area, "a_")
+    orders = rings.with_shape(fx.table(spark, sf, "orders"), footprint, "b_")
     pairs = orders.join(customers, orders.o_custkey == customers.c_custkey)
-    hit = rings.intersects(F.col("area"), F.col("footprint"))
-    return pairs.select("o_orderkey", hit.cast("int").alias("hit"))
+    return pairs.select("o_orderkey", rings.shapes_meet("a_", "b_").cast("int").alias("hit"))
 
 
 # --- joins -----------------------------------------------------------------------------------------
