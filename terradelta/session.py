@@ -22,10 +22,13 @@ def builder(app_name: str = "terradelta") -> SparkSession.Builder:
     return build
 
 
-def local(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local(cpus: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
+    """A session for tests and benchmarks on one machine; dots in names are written as ``__``."""
+    build = builder()
+    for key, value in settings.items():
+        build = build.config(key.replace("__", "."), value)
     spark = (
-        builder()
+        build
         .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
