@@ -174,6 +174,19 @@ def _edges_near(ring_edges: Column, box: list[Column]) -> Column:
     return F.filter(ring_edges, near)
 
 
+def shape_covers(a: str, b: str) -> Column:
+    """Polygon ``a`` holds all of the box ``b``, with nothing of its boundary on the box."""
+    ea, eb = F.col(f"{a}edges"), F.col(f"{b}edges")
+    inner = box_of(b)
+    outer = box_of(a)
+    within = (
+        (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (outer[2] >= inner[2]) & (outer[3] >= inner[3])
+    )
+    corner = F.element_at(eb, 1)
+    apart = ~F.exists(_edges_near(ea, inner), lambda e: F.exists(eb, lambda f: _edges_meet(e, f)))
+    return within & (F.col(f"{a}box") | (contains(ea, corner["x1"], corner["y1"]) & apart))
+
+
 def shapes_meet(a: str, b: str) -> Column:
     """Two closed polygons, added as prefixes by :func:`with_shape`, share a point.
 

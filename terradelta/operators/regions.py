@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from terradelta.functions import rings
 from terradelta.functions.numbers import floor_div
 from terradelta.functions.utm import from_utm
-from terradelta.operators.bitrows import TILE_ROWS, core_width, position_of, bit_at, shift_left
+from terradelta.operators.bitrows import TILE_ROWS, bit_at, core_width, position_of, shift_left
+from terradelta.session import fan_out
 
 # Fixed value: points added between the corners of each edge when bounds are projected.
 DENSIFY_POINTS = 21
@@ -88,19 +89,27 @@ def burn(windows: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
     """
     core = core_width(halo)
     y = F.col("row") + 0.5
-    rows = windows.select(
+    first_tile, last_tile = (floor_div(F.col(c), TILE_ROWS) for c in ("row_min", "row_max"))
+    # a few windows can unfold to many rows: deal out their tiles before that
+    tiles = windows.select(
         *keys,
+        "row_min",
+        "row_max",
         "col_min",
         "col_max",
         rings.edges(F.col("ring")).alias("edges"),
-        F.explode(F.sequence("row_min", "row_max")).alias("row"),
-    )
+        F.explode(F.sequence(first_tile, last_tile)).alias("tile_row"),
+    ).repartition(fan_out(windows.sparkSession), *keys, "tile_row")
+    top = F.greatest(F.col("row_min"), F.col("tile_row") * TILE_ROWS)
+    bottom = F.least(F.col("row_max"), F.col("tile_row") * TILE_ROWS + (TILE_ROWS - 1))
+    rows = tiles.withColumn("row", F.explode(F.sequence(top, bottom)))
     crossing = F.filter("edges", lambda e: (e["y1"] > y) != (e["y2"] > y))
     at = F.transform(
         crossing, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
     )
     cut = rows.select(
         *keys,
+        "tile_row",
         "row",
         "col_min",
         "col_max",
@@ -121,7 +130,7 @@ def burn(windows: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
     inside = F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bits_from(x)))
     return cut.select(
         *keys,
-        floor_div(F.col("row"), TILE_ROWS).alias("tile_row"),
+        "tile_row",
         "word",
         "row",
         inside.alias("inside"),

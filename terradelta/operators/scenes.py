@@ -11,26 +11,57 @@ from terradelta.operators.requests import SEARCH_DAYS
 # Product type searched for and number of candidates kept per request.
 PRODUCT_TYPE = "S2MSI2A"
 CANDIDATES = 5
-CELL_DEGREES = 1.0
 
+CELL_DEGREES = 0.5  # edge of the grid cells that bucket the search; any size gives the same result
 
-def _cells(low: str, high: str, size: float) -> Column:
-    return F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))
+
+def _to_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
+    """One row per grid cell that the bounds touch, with the cell's own shape (prefix ``c_``)."""
+    for axis in ("x", "y"):
+        span = F.sequence(
+            F.floor(F.col(f"{prefix}{axis}1") / size), F.floor(F.col(f"{prefix}{axis}2") / size)
+        )
+        df = df.withColumn(f"cell_{axis}", F.explode(span))
+    x, y = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
+    x2, y2 = (F.col("cell_x") + 1) * F.lit(size), (F.col("cell_y") + 1) * F.lit(size)
+    corners = [(x, y), (x2, y), (x2, y2), (x, y2), (x, y)]
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
+    return rings.with_shape(df, ring, "c_")
+
+
+def wanted_cells(requests: DataFrame, days: int, cell: float) -> DataFrame:
+    """Distinct (ring_key, target_date) requests per day of their window and cell they touch."""
+    distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
+    shaped = rings.with_shape(distinct, rings.planar(F.col("coords")), "a_").drop("coords")
+    touched = _to_cells(shaped, "a_", cell).where(rings.shapes_meet("a_", "c_"))
+    window = F.sequence(F.date_sub("target_date", days), F.date_add("target_date", days))
+    columns = [c for c in shaped.columns if c.startswith("a_")]
+    return touched.select(
+        "ring_key", "target_date", *columns, "cell_x", "cell_y", F.explode(window).alias("day")
+    )
 
 
-def best_of_copies(catalog: DataFrame, k: int) -> DataFrame:
-    """The k clearest products of each (footprint, day).
+def offered_cells(catalog: DataFrame, cell: float, k: int) -> DataFrame:
+    """Products per day and cell, without those that can be among nobody's first k.
 
-    Products with one footprint and day match the same requests, so the rest of such a group can
-    never be among anybody's first k. Spark cuts the groups before the shuffle (window group limit).
+    Every product that covers a whole cell matches every request that touches the cell, so of those
+    only the k clearest per day matter. Of products with one footprint, which match the same
+    requests, the same holds. A crowded cell or a much copied footprint thus shrinks to k rows, and
+    Spark applies the limit before it shuffles (window group limit).
     """
-    same = Window.partitionBy("footprint_key", "day").orderBy("cloud_cover", "product_id")
+    dated = catalog.select(
+        "product_id", "sensing_start", "cloud_cover", "footprint", F.to_date("sensing_start").alias("day")
+    ).withColumn("footprint_key", rings.ring_key(F.col("footprint")))
+    shaped = rings.with_shape(dated, rings.planar(F.col("footprint")), "b_").drop("footprint")
+    columns = [c for c in shaped.columns if c != "footprint_key"]
+    group = F.when(rings.shape_covers("b_", "c_"), F.lit("")).otherwise(F.col("footprint_key"))
+    alike = Window.partitionBy("day", "cell_x", "cell_y", "alike").orderBy("cloud_cover", "product_id")
     return (
-        catalog.withColumn("day", F.to_date("sensing_start"))
-        .withColumn("footprint_key", rings.ring_key(F.col("footprint")))
-        .withColumn("copy", F.row_number().over(same))
-        .where(F.col("copy") <= k)
-        .drop("copy", "footprint_key")
+        _to_cells(shaped, "b_", cell)
+        .select(*columns, "cell_x", "cell_y", group.alias("alike"))
+        .withColumn("place", F.row_number().over(alike))
+        .where(F.col("place") <= k)
+        .drop("place", "alike")
     )
 
 
@@ -43,34 +74,12 @@ def candidate_scenes(
 ) -> DataFrame:
     """Products that can be among the first k of each distinct (ring_key, target_date) request.
 
-    Both sides are cut to (day, grid cell) buckets and joined on equality; exact tests follow. A
-    pair that shares several cells is kept only in the cell of the lower left corner of the overlap,
-    which makes a distinct step unnecessary.
+    Both sides meet in (day, cell) buckets, an equi join, and are then tested exactly. A pair that
+    shares several cells appears once for each.
     """
-    distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
-    wanted = (
-        rings.with_shape(distinct, rings.planar(F.col("coords")), "a_")
-        .drop("coords")
-        .withColumn("cell_x", F.explode(_cells("a_x1", "a_x2", cell)))
-        .withColumn("cell_y", F.explode(_cells("a_y1", "a_y2", cell)))
-        .withColumn(
-            "day",
-            F.explode(F.sequence(F.date_sub("target_date", days), F.date_add("target_date", days))),
-        )
-    )
-    offered = (
-        rings.with_shape(best_of_copies(catalog, k), rings.planar(F.col("footprint")), "b_")
-        .drop("footprint")
-        .withColumn("cell_x", F.explode(_cells("b_x1", "b_x2", cell)))
-        .withColumn("cell_y", F.explode(_cells("b_y1", "b_y2", cell)))
-    )
-    a, b = rings.box_of("a_"), rings.box_of("b_")
-    owner = (F.col("cell_x") == F.floor(F.greatest(a[0], b[0]) / cell)) & (
-        F.col("cell_y") == F.floor(F.greatest(a[1], b[1]) / cell)
-    )
     return (
-        wanted.join(offered, ["day", "cell_x", "cell_y"])
-        .where(owner)
+        wanted_cells(requests, days, cell)
+        .join(offered_cells(catalog, cell, k), ["day", "cell_x", "cell_y"])
         .where(rings.shapes_meet("a_", "b_"))
         .select("ring_key", "target_date", "product_id", "sensing_start", "cloud_cover")
     )
@@ -91,10 +100,12 @@ def top_scenes(
     typed = catalog.where(F.col("product_type") == product_type)
     keyed = requests.withColumn("ring_key", rings.ring_key(F.col("coords")))
     order = Window.partitionBy("ring_key", "target_date").orderBy("cloud_cover", "product_id")
+    # repeats of a pair share its dense rank; dropping them needs no further exchange
     ranked = (
         candidate_scenes(keyed, typed, days, cell, k)
-        .withColumn("rank", F.row_number().over(order))
+        .withColumn("rank", F.dense_rank().over(order))
         .where(F.col("rank") <= k)
+        .dropDuplicates(["ring_key", "target_date", "product_id"])
     )
     return keyed.join(ranked, ["ring_key", "target_date"]).drop("ring_key")
 

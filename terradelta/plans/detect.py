@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,10 @@ class Detection:
     words: DataFrame  # cleaned packed masks per job
     halo: int
 
+    def materialized(self) -> Detection:
+        """Write the packed masks, so that several results do not read the pixels again."""
+        return replace(self, words=staged(self.words, "words"))
+
     def metrics(self) -> DataFrame:
         """One row per request: counts, areas and class areas."""
         counts = metrics.count_words(self.words, KEYS)
@@ -100,9 +104,10 @@ def clipped_pairs(pixels: DataFrame, jobs: DataFrame, halo: int) -> DataFrame:
     The pixel table is shuffled once, by (raster, tile_row, word, row). Stacking, clipping and
     pairing all group or join on supersets of that key, so they stay in place.
     """
-    near = pixels_in_reach(only_bands(pixels), jobs)
+    long = "band" in pixels.columns
+    near = pixels_in_reach(only_bands(pixels) if long else pixels, jobs)
     placed = bitrows.with_address(near, halo).repartition("aoi_id", *bitrows.ADDRESS)
-    stacked = bands.stack_bands(placed)
+    stacked = bands.stack_bands(placed) if long else placed
     masks = regions.burn(jobs, KEYS, halo)
     wanted = (F.col("scene_date") == F.col("date1")) | (F.col("scene_date") == F.col("date2"))
     clipped = regions.clip(stacked, masks, ["aoi_id"], halo, bands.BAND_COLUMNS).where(wanted)
@@ -114,8 +119,9 @@ def detect_changes(
 ) -> Detection:
     """Run all requests.
 
-    ``pixels`` is long (aoi_id, scene_date, band, row, col, dn), ``meta`` places each raster on the
-    map. Requests without dates take their AOI's; those without a known polygon are rejected.
+    ``pixels`` is long (aoi_id, scene_date, band, row, col, dn) or, a quarter of the rows to shuffle,
+    wide (aoi_id, scene_date, row, col, b02, b03, b04, b08). ``meta`` places each raster on the map.
+    Requests without dates take their AOI's; those without a known polygon are rejected.
     """
     resolved = requests.resolve(requests_df, aois)
     rejected = requests.rejected_requests(requests_df, aois)

@@ -22,6 +22,14 @@ def builder(app_name: str = "terradelta") -> SparkSession.Builder:
     return build
 
 
+def fan_out(spark: SparkSession) -> int:
+    """Partitions to give a small table just before each of its rows unfolds to many.
+
+    A fixed number, because adaptive execution would merge partitions that are still small.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def local(cpus: int | str = 8, memory: str = "8g", **settings: str) -> SparkSession:
     """A session for tests and benchmarks on one machine; dots in names are written as ``__``."""
     build = builder()

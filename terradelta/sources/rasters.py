@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradelta.operators.bands import BANDS
+from terradelta.session import fan_out
 
 # Size and colour of the raster that stands in for a failed scene.
 PLACEHOLDER_SIZE = 512
@@ -73,7 +74,8 @@ def placeholder(
     colours = [F.lit(v).alias(n) for n, v in zip(("red", "green", "blue"), rgb)]
     rows = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))
     cols = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))
-    return missing.withColumn("row", rows).withColumn("col", cols).select("*", *colours)
+    lines = missing.withColumn("row", rows).repartition(fan_out(missing.sparkSession))
+    return lines.withColumn("col", cols).select("*", *colours)
 
 
 def with_placeholder(

@@ -94,6 +94,12 @@ def test_many_requests_in_one_plan(site):
     assert site.words.where("bit_count(present) = 0").count() == 0
 
 
+def test_results_of_materialized_masks_are_the_same(site):
+    stored = site.materialized()
+    assert stored.words.inputFiles()
+    assert stored.metrics().exceptAll(site.metrics()).count() == 0
+
+
 def test_points_lie_in_the_patch(site):
     points = site.points(k=9).collect()
     assert points and all(5 <= p.row < 12 and 10 <= p.col < 30 for p in points)

@@ -58,6 +58,26 @@ def test_pair_sharing_many_cells_appears_once(spark):
     assert got == [("q", 1, 1)]
 
 
+def test_crowded_cell_is_cut_before_the_join(spark):
+    """Distinct footprints over one cell: only the clearest k and partial covers reach the join."""
+    over = [product(i, 0, float(i), box(-1 - i / 1000, -1, 4)) for i in range(200)]
+    part = [product(500 + i, 0, 99.0, box(0.1 + i / 1000, 0.1, 0.2)) for i in range(7)]
+    catalog = spark.createDataFrame(over + part, CATALOG)
+    kept = scenes.offered_cells(catalog, 1.0, 5).where("cell_x = 0 and cell_y = 0")
+    assert sorted(r.product_id for r in kept.collect()) == [0, 1, 2, 3, 4, *range(500, 507)]
+    assert found(spark, [("q", DAY, box(0.5, 0.5, 0.1))], over + part) == [("q", i + 1, i) for i in range(5)]
+
+
+def test_slanted_request_and_slanted_covers(spark):
+    """A triangle whose bounds touch cells it does not: covers of those cells must not hide others."""
+    triangle = [[0.0, 0.0], [2.9, 0.0], [0.0, 2.9], [0.0, 0.0]]
+    decoys = [product(i, 0, 1.0, box(2, 2, 1)) for i in range(10)]
+    diamond = [[1.5, -6.0], [9.0, 1.5], [1.5, 9.0], [-6.0, 1.5], [1.5, -6.0]]
+    products = [*decoys, product(50, 0, 8.0, diamond), product(51, 0, 9.0, box(0.2, 0.2, 0.1))]
+    got = found(spark, [("q", DAY, triangle)], products, cell=1.0)
+    assert got == [("q", 1, 50), ("q", 2, 51)]
+
+
 def test_shapes_are_tested_exactly(spark):
     triangle = [[0.0, 0.0], [4.0, 0.0], [0.0, 4.0], [0.0, 0.0]]
     products = [product(1, 0, 5.0, triangle)]

@@ -761,6 +761,7 @@ cte(
         JOIN resolved r ON r.aoi_id = j.aoi_id AND r.coords = j.coords AND r.date1 = j.date1 AND r.date2 = j.date2""",
 )
 register("detect_changes", "SELECT * FROM detected")
+register("detect_changes_wide", "SELECT * FROM detected")
 cte(
     "job_classes",
     f"""SELECT job AS job_id, aoi_id, date1, date2, row, col, CAST(mask = 1 AND wat AS INTEGER) AS surface_water,

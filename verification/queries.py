@@ -595,6 +595,15 @@ def detect(spark, sf):
     return _plain_dates(_detection(spark, sf).metrics())
 
 
+@query
+def detect_changes_wide(spark, sf):
+    """As detect_changes, from pixels stored with one column per band."""
+    detection = detect_changes(
+        fx.requests(spark, sf), fx.dated(spark, sf), fx.aois(spark, sf), fx.raster_meta(spark, sf)
+    )
+    return _plain_dates(detection.metrics())
+
+
 @query
 def detect_points(spark, sf):
     points = _detection(spark, sf).points()
