@@ -174,38 +174,56 @@ def _edges_near(ring_edges: Column, box: list[Column]) -> Column:
     return F.filter(ring_edges, near)
 
 
-def shape_covers(a: str, b: str) -> Column:
-    """Polygon ``a`` holds all of the box ``b``, with nothing of its boundary on the box."""
-    ea, eb = F.col(f"{a}edges"), F.col(f"{b}edges")
-    inner = box_of(b)
-    outer = box_of(a)
-    within = (
-        (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (outer[2] >= inner[2]) & (outer[3] >= inner[3])
+def _edges_of_box(box: list[Column]) -> Column:
+    x1, y1, x2, y2 = box
+    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
+    return F.array(
+        *[
+            F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+            for (a, b), (c, d) in zip(corners, corners[1:])
+        ]
     )
-    corner = F.element_at(eb, 1)
-    apart = ~F.exists(_edges_near(ea, inner), lambda e: F.exists(eb, lambda f: _edges_meet(e, f)))
-    return within & (F.col(f"{a}box") | (contains(ea, corner["x1"], corner["y1"]) & apart))
 
 
-def shapes_meet(a: str, b: str) -> Column:
-    """Two closed polygons, added as prefixes by :func:`with_shape`, share a point.
+def _share_point(ea: Column, box_a: list[Column], eb: Column, box_b: list[Column]) -> Column:
+    """One polygon holds a vertex of the other, or an edge pair meets.
 
-    Bounds first; they settle two boxes. Else one polygon holds a vertex of the other, or an edge
-    pair meets, for which only edges near the other polygon are tried.
+    Only edges near the other polygon are tried.
     """
-    ea, eb = F.col(f"{a}edges"), F.col(f"{b}edges")
     first_a, first_b = F.element_at(ea, 1), F.element_at(eb, 1)
-    exact = (
+    near = F.struct(_edges_near(ea, box_b).alias("a"), _edges_near(eb, box_a).alias("b"))
+    return (
         contains(eb, first_a["x1"], first_a["y1"])
         | contains(ea, first_b["x1"], first_b["y1"])
         | _let(
-            F.struct(
-                _edges_near(ea, box_of(b)).alias("a"), _edges_near(eb, box_of(a)).alias("b")
-            ),
-            lambda near: F.exists(
-                near["a"], lambda e: F.exists(near["b"], lambda f: _edges_meet(e, f))
-            ),
+            near,
+            lambda n: F.exists(n["a"], lambda e: F.exists(n["b"], lambda f: _edges_meet(e, f))),
         )
     )
+
+
+def shapes_meet(a: str, b: str) -> Column:
+    """Two closed polygons, added as prefixes by :func:`with_shape`, share a point.
+
+    Bounds first; they settle two boxes.
+    """
+    exact = _share_point(F.col(f"{a}edges"), box_of(a), F.col(f"{b}edges"), box_of(b))
     boxes = F.col(f"{a}box") & F.col(f"{b}box")
     return bounds_overlap(box_of(a), box_of(b)) & (boxes | exact)
+
+
+def shape_meets_box(a: str, box: list[Column]) -> Column:
+    """A closed polygon and an axis-parallel box share a point."""
+    exact = _share_point(F.col(f"{a}edges"), box_of(a), _edges_of_box(box), box)
+    return bounds_overlap(box_of(a), box) & (F.col(f"{a}box") | exact)
+
+
+def shape_covers_box(a: str, box: list[Column]) -> Column:
+    """A polygon holds all of a box, with nothing of its boundary on it (unless it is a box too)."""
+    x1, y1, x2, y2 = box_of(a)
+    within = (x1 <= box[0]) & (y1 <= box[1]) & (x2 >= box[2]) & (y2 >= box[3])
+    edges_a = F.col(f"{a}edges")
+    apart = ~F.exists(
+        _edges_near(edges_a, box), lambda e: F.exists(_edges_of_box(box), lambda f: _edges_meet(e, f))
+    )
+    return within & (F.col(f"{a}box") | (contains(edges_a, box[0], box[1]) & apart))

@@ -16,24 +16,25 @@ CELL_DEGREES = 0.5  # edge of the grid cells that bucket the search; any size gi
 
 
 def _to_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """One row per grid cell that the bounds touch, with the cell's own shape (prefix ``c_``)."""
+    """One row per grid cell that the bounds touch."""
     for axis in ("x", "y"):
         span = F.sequence(
             F.floor(F.col(f"{prefix}{axis}1") / size), F.floor(F.col(f"{prefix}{axis}2") / size)
         )
         df = df.withColumn(f"cell_{axis}", F.explode(span))
-    x, y = F.col("cell_x") * F.lit(size), F.col("cell_y") * F.lit(size)
-    x2, y2 = (F.col("cell_x") + 1) * F.lit(size), (F.col("cell_y") + 1) * F.lit(size)
-    corners = [(x, y), (x2, y), (x2, y2), (x, y2), (x, y)]
-    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners])
-    return rings.with_shape(df, ring, "c_")
+    return df
+
+
+def _cell_box(size: float) -> list[Column]:
+    x, y = F.col("cell_x"), F.col("cell_y")
+    return [x * F.lit(size), y * F.lit(size), (x + 1) * F.lit(size), (y + 1) * F.lit(size)]
 
 
 def wanted_cells(requests: DataFrame, days: int, cell: float) -> DataFrame:
     """Distinct (ring_key, target_date) requests per day of their window and cell they touch."""
     distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
     shaped = rings.with_shape(distinct, rings.planar(F.col("coords")), "a_").drop("coords")
-    touched = _to_cells(shaped, "a_", cell).where(rings.shapes_meet("a_", "c_"))
+    touched = _to_cells(shaped, "a_", cell).where(rings.shape_meets_box("a_", _cell_box(cell)))
     window = F.sequence(F.date_sub("target_date", days), F.date_add("target_date", days))
     columns = [c for c in shaped.columns if c.startswith("a_")]
     return touched.select(
@@ -54,7 +55,8 @@ def offered_cells(catalog: DataFrame, cell: float, k: int) -> DataFrame:
     ).withColumn("footprint_key", rings.ring_key(F.col("footprint")))
     shaped = rings.with_shape(dated, rings.planar(F.col("footprint")), "b_").drop("footprint")
     columns = [c for c in shaped.columns if c != "footprint_key"]
-    group = F.when(rings.shape_covers("b_", "c_"), F.lit("")).otherwise(F.col("footprint_key"))
+    covers = rings.shape_covers_box("b_", _cell_box(cell))
+    group = F.when(covers, F.lit("")).otherwise(F.col("footprint_key"))
     alike = Window.partitionBy("day", "cell_x", "cell_y", "alike").orderBy("cloud_cover", "product_id")
     return (
         _to_cells(shaped, "b_", cell)
