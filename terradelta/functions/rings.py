@@ -35,8 +35,10 @@ def planar(ring: Column) -> Column:
 
 
 def ring_key(ring: Column) -> Column:
-    """A short scalar that is equal for equal rings, to group and join on instead of arrays."""
-    return F.md5(ring.cast("string"))
+    """128 bits that stand for a ring, to group and join on instead of on nested arrays."""
+    return F.struct(
+        F.xxhash64(F.lit(1), ring).alias("high"), F.xxhash64(F.lit(2), ring).alias("low")
+    )
 
 
 def ring_to_wkt(ring: Column) -> Column:

@@ -56,7 +56,7 @@ def offered_cells(catalog: DataFrame, cell: float, k: int) -> DataFrame:
     shaped = rings.with_shape(dated, rings.planar(F.col("footprint")), "b_").drop("footprint")
     columns = [c for c in shaped.columns if c != "footprint_key"]
     covers = rings.shape_covers_box("b_", _cell_box(cell))
-    group = F.when(covers, F.lit("")).otherwise(F.col("footprint_key"))
+    group = F.when(~covers, F.col("footprint_key"))  # NULL: all products that cover the cell
     alike = Window.partitionBy("day", "cell_x", "cell_y", "alike").orderBy("cloud_cover", "product_id")
     return (
         _to_cells(shaped, "b_", cell)
