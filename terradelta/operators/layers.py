@@ -26,15 +26,21 @@ BORDER_STYLE = {"color": "yellow", "weight": 3, "fill_opacity": 0.15}
 POINT_STYLE = {"radius": 5, "fill_opacity": 0.85}
 
 
-def change_overlay(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+OVERLAY_STEPS = [*morphology.cleaning(3), *morphology.dilation(3)]
+
+
+def change_overlay(
+    pairs: DataFrame, keys: Sequence[str], addressed_halo: int | None = None
+) -> DataFrame:
     """Date-2 colours with the dilated construction and water masks painted on them.
 
     Cleaning and display dilation run on one spread of packed words; the paint bits then meet the
-    pixels in an equi join on (keys, tile_row, word, row).
+    pixels in an equi join on (keys, tile_row, word, row). ``addressed_halo`` says for which halo the
+    pairs carry word addresses, if they do.
     """
     steps = morphology.cleaning(3)
-    halo = morphology.halo_of([*steps, *morphology.dilation(3)])
-    addressed = pairs if "word" in pairs.columns else bitrows.with_address(pairs, halo)
+    halo = morphology.halo_of(OVERLAY_STEPS)
+    addressed = pairs if addressed_halo == halo else bitrows.with_address(pairs, halo)
     words = bitrows.pack(addressed, keys, change_flags(), halo)
     words = bitrows.spread(words, keys, ["mask", "vegetation", "water"], halo)
     for step in steps:

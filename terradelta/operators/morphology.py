@@ -102,9 +102,15 @@ def transform_words(
     names: Sequence[str],
     steps: Sequence[Step],
     carry: Sequence[str] = (),
+    halo: int | None = None,
 ) -> DataFrame:
-    """Run ``steps`` on packed words; ``carry`` columns travel along unchanged."""
-    halo = halo_of(steps)
+    """Run ``steps`` on packed words; ``carry`` columns travel along unchanged.
+
+    ``halo`` is what the words were packed with, by default the smallest that fits the steps.
+    """
+    halo = halo or halo_of(steps)
+    if halo < halo_of(steps):
+        raise ValueError("the words were packed with too small a halo for these steps")
     for part in _rounds(steps):
         words = bitrows.spread(words, keys, [*names, *carry], halo)
         for step in part:

@@ -7,13 +7,23 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradelta.operators import bands, bitrows, metrics, morphology, regions, requests, sampling
+from terradelta.operators import (
+    bands,
+    bitrows,
+    layers,
+    metrics,
+    morphology,
+    regions,
+    requests,
+    sampling,
+)
 from terradelta.operators.joins import checked_broadcast
 from terradelta.sources.rasters import only_bands
 from terradelta.sources.staging import staged
 
 KEYS = ("job_id", "aoi_id", "date1", "date2")
 KERNEL = 3  # fixed value: neighbourhood of the mask cleaning
+UNSERVED_REASON = "no pixels of both dates inside the polygon"
 
 
 @dataclass
@@ -23,7 +33,9 @@ class Detection:
     resolved: DataFrame  # request_id, aoi_id, ring_key, coords, date1, date2
     rejected: DataFrame  # request_id, aoi_id, reason
     jobs: DataFrame  # distinct work items with their placed ring and crop window
+    pairs: DataFrame  # clipped pixels of both dates per job, laid out by word
     words: DataFrame  # cleaned packed masks per job
+    meta: DataFrame
     halo: int
 
     def materialized(self) -> Detection:
@@ -38,6 +50,27 @@ class Detection:
         asked = self.resolved.select("request_id", *requests.JOB)
         return asked.join(named, list(requests.JOB)).drop("ring_key")
 
+    def unserved(self) -> DataFrame:
+        """Resolved requests without a result: no raster, or no scene of one of the dates."""
+        served = self.metrics().select("request_id")
+        missing = self.resolved.join(served, "request_id", "left_anti")
+        return missing.select("request_id", "aoi_id", F.lit(UNSERVED_REASON).alias("reason"))
+
+    def masks(self) -> DataFrame:
+        """The cleaned mask and the three classes per pixel, as 0/1."""
+        classes = metrics.class_words()
+        words = self.words.withColumns(classes)
+        return bitrows.unpack(words, KEYS, ["mask", *classes], self.halo)
+
+    def overlay(self) -> DataFrame:
+        """Date-2 colours with the changes painted on them."""
+        return layers.change_overlay(self.pairs, KEYS, addressed_halo=self.halo)
+
+    def features(self, k: int = sampling.SAMPLE_SIZE) -> DataFrame:
+        """Border and sampled points of each job as styled GeoJSON features."""
+        points = layers.lonlat_points(self.points(k), self.meta)
+        return layers.feature_layers(self.jobs, points, KEYS)
+
     def documents(self, base_uri: str) -> DataFrame:
         return metrics.metrics_document(self.metrics(), base_uri)
 
@@ -56,7 +89,7 @@ def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
     Staged, because the pixel filter, the burned masks and the results all read this small table.
     """
     placed = regions.place_rings(requests.distinct_jobs(resolved), meta)
-    columns = ["job_id", *requests.JOB, "ring"]
+    columns = ["job_id", *requests.JOB, "coords", "ring"]
     window = ["row_min", "row_max", "col_min", "col_max", "crop_width", "crop_height"]
     jobs = regions.crop_window(placed).select(*columns, *window)
     return regions.touching(staged(jobs, "jobs"))
@@ -127,8 +160,8 @@ def detect_changes(
     rejected = requests.rejected_requests(requests_df, aois)
     jobs = prepare_jobs(resolved, meta)
     steps = morphology.cleaning(KERNEL)
-    halo = morphology.halo_of(steps)
+    halo = morphology.halo_of(layers.OVERLAY_STEPS)
     pairs = clipped_pairs(pixels, jobs, halo)
     words = bitrows.pack(pairs, KEYS, bands.change_flags(), halo)
-    words = morphology.transform_words(words, KEYS, ["mask"], steps, ["vegetation", "water"])
-    return Detection(resolved, rejected, jobs, words, halo)
+    words = morphology.transform_words(words, KEYS, ["mask"], steps, ["vegetation", "water"], halo)
+    return Detection(resolved, rejected, jobs, pairs, words, meta, halo)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terradelta.functions.rings import ring_key
 from terradelta.operators.scenes import select_scenes
 from terradelta.sources.catalog import asset_paths, pending
+from terradelta.sources.rasters import placeholder
 
 
 @dataclass
@@ -18,6 +19,10 @@ class ScenePlan:
     unmatched: DataFrame  # requests without any product: they get a placeholder raster
     to_fetch: DataFrame  # distinct assets not in the manifest
 
+    def placeholders(self, **options) -> DataFrame:
+        """A constant raster for each unmatched request."""
+        return placeholder(self.unmatched.select("aoi_id", "target_date"), **options)
+
 
 def plan_scenes(
     requests: DataFrame, catalog: DataFrame, scenes: DataFrame, manifest: DataFrame, **options

@@ -770,6 +770,49 @@ cte(
 )
 cte("job_ranks", ranked("job_classes", "job_id, aoi_id, date1, date2"))
 register("detect_points", sample("job_ranks", 200))
+cte(
+    "job_masks",
+    f"""SELECT job AS job_id, aoi_id, date1, date2, row, col, red2, green2, blue2, mask,
+        CAST(mask = 1 AND veg AS INTEGER) AS vegetation_loss,
+        CAST(mask = 1 AND wat AS INTEGER) AS surface_water,
+        CAST(mask = 1 AND NOT veg AND NOT wat AS INTEGER) AS new_construction FROM {job_clean}""",
+)
+register("detect_masks", "SELECT * EXCLUDE (red2, green2, blue2) FROM job_masks")
+job_paint_c = chain("job_masks", "new_construction", [("max", 1)], "job_id", "jpc")
+job_paint_w = chain(job_paint_c, "surface_water", [("max", 1)], "job_id", "jpw")
+register(
+    "detect_overlay",
+    "SELECT job_id, aoi_id, date1, date2, row, col, "
+    + ", ".join(
+        f"CASE WHEN surface_water = 1 THEN {w} WHEN new_construction = 1 THEN {c} ELSE {n}2 END AS {n}"
+        for n, w, c in (("red", 0, 255), ("green", 100, 0), ("blue", 255, 0))
+    )
+    + f" FROM {job_paint_w}",
+)
+cte("job_sampled", sample("job_ranks", 200))
+cte(
+    "job_points",
+    "SELECT job_id, aoi_id, date1, date2, class, lat, lon FROM job_sampled JOIN plonlat USING (aoi_id, row, col)",
+)
+register(
+    "detect_features",
+    f"""SELECT job AS job_id, aoi_id, date1, date2, 'Yellow AOI Border' AS layer, 'Polygon' AS geometry,
+        replace({micro('coords')}, ',', ' ') AS micro, 'AOI Boundary' AS label, 'yellow' AS color,
+        3 AS size, 0.15::DOUBLE AS fill_opacity FROM jobs
+        WHERE job IN (SELECT job FROM job_win WHERE c0 <= c1 AND r0 <= r1) UNION ALL
+        SELECT job_id, aoi_id, date1, date2,
+        CASE class WHEN 'new_construction' THEN 'Red Dots (New Construction)'
+                   ELSE 'Blue Dots (Surface Water)' END, 'Point',
+        CAST(CAST(round(lon * 1e6) AS BIGINT) AS VARCHAR) || ' '
+        || CAST(CAST(round(lat * 1e6) AS BIGINT) AS VARCHAR),
+        CASE class WHEN 'new_construction' THEN 'New Construction' ELSE 'Surface Water Change' END,
+        CASE class WHEN 'new_construction' THEN 'red' ELSE 'blue' END, 5, 0.85::DOUBLE FROM job_points""",
+)
+register(
+    "unserved_requests",
+    """SELECT request_id, aoi_id, 'no pixels of both dates inside the polygon' AS reason FROM resolved
+       WHERE request_id NOT IN (SELECT request_id FROM detected)""",
+)
 _url = "'http://localhost:8000/outputs/processed/' || aoi_id || '/"
 register(
     "metrics_document",

@@ -560,16 +560,20 @@ def date_window(spark, sf):
 @query
 def feature_layers(spark, sf):
     sites = fx.aois(spark, sf).select("aoi_id", "coords")
-    features = layers.feature_layers(sites, _points(spark, sf), KEYS)
+    return _read_features(layers.feature_layers(sites, _points(spark, sf), KEYS), KEYS)
+
+
+def _read_features(features, keys):
+    """The text of GeoJSON features as columns, coordinates in millionths of a degree."""
     parsed = F.from_json(
         "feature",
         "type string, geometry struct<type string, coordinates string>, properties struct<"
         "tooltip string, popup string, color string, weight int, radius int, fill_opacity double>",
     )
-    read = features.select("aoi_id", "layer", parsed.alias("f"))
+    read = features.select(*keys, "layer", parsed.alias("f"))
     numbers = F.regexp_extract_all("f.geometry.coordinates", F.lit(r"(-?\d[0-9.eE+-]*)"), 1)
     return read.select(
-        "aoi_id",
+        *keys,
         "layer",
         F.col("f.geometry.type").alias("geometry"),
         F.array_join(F.transform(numbers, lambda n: _micro(n.cast("double"))), " ").alias("micro"),
@@ -610,6 +614,27 @@ def detect_points(spark, sf):
     return _plain_dates(points.drop("n"))
 
 
+@query
+def detect_masks(spark, sf):
+    return _plain_dates(_detection(spark, sf).masks())
+
+
+@query
+def detect_overlay(spark, sf):
+    return _plain_dates(_detection(spark, sf).overlay())
+
+
+@query
+def detect_features(spark, sf):
+    features = _detection(spark, sf).features()
+    return _plain_dates(_read_features(features, ["job_id", "aoi_id", "date1", "date2"]))
+
+
+@query
+def unserved_requests(spark, sf):
+    return _detection(spark, sf).unserved()
+
+
 @query
 def metrics_document(spark, sf):
     documents = _plain_dates(_detection(spark, sf).documents(OUTPUTS))
