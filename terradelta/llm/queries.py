@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import decontaminate, licenses, packing, quality, secret_scan, simhash, url_filter
+from terradelta.llm import decontaminate, extraction, language, licenses, packing, quality, secret_scan, simhash, suffixes, url_filter
 
 #: Block (True) and allow (False) rules on host and path.
 URL_RULES = {"net/": True, "example.net/en/": False, "example.com/de/": True, "org/fr/": False}
@@ -102,11 +102,27 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter_query,
+    "op2_language": language_query,
     "op3_license_scan": license_query,
     "op4_simhash": simhash_query,
     "op5_quality": quality_query,
+    "op6_extraction": extraction_query,
+    "op7_suffix_dedup": suffix_query,
     "op8_packing": packing_query,
     "op9_secret_scan": secrets_query,
     "op10_decontaminate": decontaminate_query,
