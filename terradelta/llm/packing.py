@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -24,7 +25,8 @@ CACHED = 400_000  # words whose ids a task remembers
 END = 0  # the id that ends a document
 _BLOCK = 4096  # rounds whose totals are summed up together
 
-# What a task yields for a packet: its place in the task's queue, its place in the document, its ids.
+# What a task yields for a packet: its place in the task's queue, its place in the document, its ids. All ids
+# of a vocabulary below 65,536 fit into two bytes, which halves what is stored and shuffled.
 _PACKETS = (
     "part int, doc_id long, queue string, before long, start long, length long, doc_tokens long, ids binary"
 )
@@ -44,6 +46,8 @@ class Encoder:
         with open(public_tokenizers.path(ranks), "rb") as lines:  # a file of the installed module
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        if self.exact.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are stored in two bytes")
         self.known = _Known(self.ids)
 
     def ids(self, text: str) -> bytes:
@@ -105,9 +109,9 @@ def _rows(encoder: Encoder, end: bytes, part: int, sent: dict[str, int], sequenc
         found = encoder.encode(text) + end
         total = len(found) // 4
         for start in range(0, total, sequence):
-            piece = found[4 * start : 4 * (start + sequence)]
-            yield part, doc_id, queue, sent.get(queue, 0), start, len(piece) // 4, total, piece
-            sent[queue] = sent.get(queue, 0) + len(piece) // 4
+            piece = np.frombuffer(found, "<u4")[start : start + sequence]
+            yield part, doc_id, queue, sent.get(queue, 0), start, len(piece), total, piece.astype("<u2").tobytes()
+            sent[queue] = sent.get(queue, 0) + len(piece)
 
 
 def _ahead(total: str, order: list[str], within: list[str]) -> Column:
@@ -145,42 +149,41 @@ def schedule(tokens: DataFrame, window: int = ROUND) -> DataFrame:
     blocks = blocks.select("block", _ahead("all", ["block"], [F.lit(0)]).alias("base"))
     start = F.col("base") + _ahead("tokens", ["round", "queue"], ["block"])
     starts = turns.join(blocks, "block").select("round", "queue", "first", start.alias("begin"))
-    stream = sent.join(staged(starts, "starts"), ["round", "queue"])
+    # Both sides are laid out by round, so the tokens move once and whole sequences end up together.
+    stream = sent.repartition("round").join(staged(starts, "starts").repartition("round"), ["round", "queue"])
     return stream.withColumn("place", F.col("begin") + F.col("at") - F.col("first"))
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = ROUND) -> DataFrame:
-    """Pieces of sequences of ``sequence`` tokens: doc_id, source queue, start, length, ids, doc_tokens, round, sequence_id, offset.
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = ROUND, ids: bool = True) -> DataFrame:
+    """Pieces of sequences of ``sequence`` tokens.
 
-    A document is its token ids and END. All sequences but the last are full, so only that one is padded.
-    ``ids`` holds the piece's token ids as little-endian unsigned 32-bit numbers. The tokens cross the
-    network once, to their round and queue. A null text is empty (one token), null sources share a queue,
-    null doc_ids are kept, repeated rows are packed again, an empty table gives no piece.
+    Returns doc_id, queue (the source), start, length, doc_tokens, round, sequence_id, offset, ids_crc32 and,
+    if asked for, ids: the piece's token ids as little-endian unsigned 32-bit numbers, of which ids_crc32 is
+    the checksum. A document is its token ids and END. All sequences but the last are full, so only that one
+    is padded. The tokens cross the network once, to their round. A null text is empty (one token), null
+    sources share a queue, null doc_ids are kept, repeated rows are packed again, an empty table gives no
+    piece.
     """
-    tokens = staged(packets(docs, sequence), "packets")
-    stream = schedule(tokens, window)
-    head = F.least("length", F.lit(sequence) - F.col("place") % sequence)
-    cut = stream.withColumn("head", head).withColumn(
-        "piece",
-        F.explode(
-            F.when(
-                F.col("head") < F.col("length"),
-                F.array(
-                    F.struct(F.lit(0).cast("long").alias("at"), F.col("head").alias("n")),
-                    F.struct(F.col("head").alias("at"), (F.col("length") - F.col("head")).alias("n")),
-                ),
-            ).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("head").alias("n"))))
-        ),
-    )
-    place = F.col("place") + F.col("piece.at")
-    return cut.select(
-        "doc_id",
-        "queue",
-        (F.col("start") + F.col("piece.at")).alias("start"),
-        F.col("piece.n").alias("length"),
-        F.substring("ids", (4 * F.col("piece.at") + 1).cast("int"), (4 * F.col("piece.n")).cast("int")).alias("ids"),
-        "doc_tokens",
-        "round",
-        F.expr(f"(place + piece.at) div {sequence}").alias("sequence_id"),
-        (place % sequence).alias("offset"),
-    )
+    stream = schedule(staged(packets(docs, sequence), "packets"), window)
+    names = ["doc_id", "queue", "start", "length", "doc_tokens", "round", "place", "ids"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1024):
+            out = [[] for _ in range(9 + ids)]
+            for doc_id, queue, start, length, total, turn, place, packed in zip(*(c.to_pylist() for c in part.columns)):
+                wide = np.frombuffer(packed, "<u2").astype("<u4")
+                at = 0
+                while at < length:
+                    n = min(length - at, sequence - (place + at) % sequence)
+                    piece = wide[at : at + n].tobytes()
+                    row = (doc_id, queue, start + at, n, total, turn, *divmod(place + at, sequence), zlib.crc32(piece), piece)
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], fields)
+
+    schema = "doc_id long, queue string, start long, length long, doc_tokens long, round long, sequence_id long, offset long, ids_crc32 long"
+    schema += ", ids binary" * ids
+    fields = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), *[pa.int64()] * 7, *[pa.binary()] * ids]
+    return stream.select(*names).mapInArrow(cut, schema)

@@ -93,13 +93,11 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(pieces: DataFrame) -> DataFrame:
     """Pieces with a checksum in place of their ids."""
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_pieces(packing.pack(table(spark, sf_dir, "documents")))
+    return packed_pieces(packing.pack(table(spark, sf_dir, "documents"), ids=False))
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:

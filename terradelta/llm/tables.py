@@ -27,7 +27,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     joins with it meet a plain scan, so that Spark knows its size and can split skewed partitions.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +254,7 @@ def test_packing(docs, hard, spark):
             ends[p["sequence_id"]] = p["offset"] + p["length"]
         assert sorted(ends) == list(range(len(ends)))
         assert all(ends[s] == packing.SEQUENCE for s in range(len(ends) - 1))
+        assert all(p["ids_crc32"] == zlib.crc32(p["ids"]) for p in pieces)
     assert packing.pack(docs.limit(0)).count() == 0
 
 
