@@ -15,13 +15,37 @@ from pyspark.sql import types as T
 from terradelta.functions.utm import to_utm
 
 
+def closed(ring: Column) -> Column:
+    """The ring as [lon, lat] pairs without further coordinates, its first point repeated at the end."""
+    flat = F.transform(ring, lambda p: F.slice(p, 1, 2))
+    shut = F.element_at(flat, 1) == F.element_at(flat, -1)
+    return F.when(F.size(flat) == 0, flat).when(shut, flat).otherwise(F.concat(flat, F.slice(flat, 1, 1)))
+
+
 def normalize_ring(df: DataFrame, column: str) -> DataFrame:
-    """Unwrap a ring that arrives as the only member of an outer list (GeoJSON style)."""
+    """Close a ring; a list of rings (GeoJSON style: border, then holes) becomes one ring.
+
+    Rings after the first are reached from the first point and left to it again. Such a cut runs there and
+    back along the same line, so it flips nothing under the even-odd rule, and holes stay holes.
+    """
     kind = df.schema[column].dataType
     depth = 0
     while isinstance(kind, T.ArrayType):
         kind, depth = kind.elementType, depth + 1
-    return df.withColumn(column, F.element_at(column, 1)) if depth == 3 else df
+    if depth < 3:
+        return df.withColumn(column, closed(F.col(column)))
+    rings = F.filter(F.transform(column, closed), lambda r: F.size(r) > 0)
+    start = F.slice(F.element_at(rings, 1), 1, 1)
+    joined = F.flatten(F.transform(rings, lambda r, i: F.when(i == 0, r).otherwise(F.concat(r, start))))
+    return df.withColumn(column, F.when(F.size(rings) > 0, joined).when(F.col(column).isNotNull(), F.array().cast("array<array<double>>")))
+
+
+def is_polygon(ring: Column) -> Column:
+    """At least three different points, all with two finite coordinates."""
+    whole = F.forall(
+        ring, lambda p: p.isNotNull() & (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= 360))
+    )
+    return whole & (F.size(F.array_distinct(ring)) >= 3)
 
 
 def swap_axes(ring: Column) -> Column:

@@ -25,9 +25,9 @@ WATER_RGB = (0, 100, 255)
 
 
 def brightness(dn: Column, max_dn: int = MAX_DN) -> Column:
-    """Digital number to 0..255, clipped at ``max_dn`` and truncated."""
+    """Digital number to 0..255, clipped at ``max_dn`` and truncated; null stays null."""
     clipped = F.least(F.greatest(dn.cast("long"), F.lit(0).cast("long")), F.lit(max_dn).cast("long"))
-    return int_div(clipped * 255, max_dn).cast("int")
+    return F.when(dn.isNotNull(), int_div(clipped * 255, max_dn).cast("int"))
 
 
 def natural_rgb(red: Column, green: Column, blue: Column, max_dn: int = MAX_DN) -> list[Column]:
@@ -40,10 +40,10 @@ def natural_rgb(red: Column, green: Column, blue: Column, max_dn: int = MAX_DN)
 
 
 def normalized_difference(a: Column, b: Column) -> Column:
-    """(a - b) / (a + b) in single precision, 0 where the sum is 0."""
+    """(a - b) / (a + b) in single precision, 0 where the sum is 0 and null where a value is missing."""
     fa, fb = a.cast("float"), b.cast("float")
     total = fa + fb
-    return F.when(total != 0, ((fa - fb) / total).cast("float")).otherwise(F.lit(0.0).cast("float"))
+    return F.when(total == 0, F.lit(0.0).cast("float")).otherwise(((fa - fb) / total).cast("float"))
 
 
 def ndvi(nir: Column, red: Column) -> Column:

@@ -22,8 +22,8 @@ POINT_LAYERS = {
     "new_construction": ("Red Dots (New Construction)", "New Construction", "red"),
     "surface_water": ("Blue Dots (Surface Water)", "Surface Water Change", "blue"),
 }
-BORDER_STYLE = {"color": "yellow", "weight": 3, "fill_opacity": 0.15}
-POINT_STYLE = {"radius": 5, "fill_opacity": 0.85}
+BORDER_STYLE = {"color": "yellow", "weight": 3, "fill": True, "fill_color": "yellow", "fill_opacity": 0.15}
+POINT_STYLE = {"radius": 5, "fill": True, "fill_opacity": 0.85}
 
 
 OVERLAY_STEPS = [*morphology.cleaning(3), *morphology.dilation(3)]
@@ -89,6 +89,11 @@ def _style(values: dict[str, object]) -> list[Column]:
     return [F.lit(v).alias(k) for k, v in values.items()]
 
 
+def _whose(keys: Sequence[str]) -> list[Column]:
+    """The keys as properties, so that a feature read alone still names its request."""
+    return [F.col(k).cast("string").alias(k) for k in keys]
+
+
 def border_features(aois: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One styled polygon feature per ring, as GeoJSON text."""
     feature = F.struct(
@@ -96,7 +101,7 @@ def border_features(aois: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit("Polygon").alias("type"), F.array(F.col("coords")).alias("coordinates")
         ).alias("geometry"),
-        F.struct(F.lit(BORDER_TOOLTIP).alias("tooltip"), *_style(BORDER_STYLE)).alias("properties"),
+        F.struct(*_whose(keys), F.lit(BORDER_TOOLTIP).alias("tooltip"), *_style(BORDER_STYLE)).alias("properties"),
     )
     return aois.select(*keys, F.lit(BORDER_LAYER).alias("layer"), F.to_json(feature).alias("feature"))
 
@@ -117,7 +122,7 @@ def point_features(points: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")
         ).alias("geometry"),
         F.struct(
-            of_class(1).alias("popup"), of_class(2).alias("color"), *_style(POINT_STYLE)
+            *_whose(keys), of_class(1).alias("popup"), of_class(2).alias("color"), of_class(2).alias("fill_color"), *_style(POINT_STYLE)
         ).alias("properties"),
     )
     return points.select(*keys, of_class(0).alias("layer"), F.to_json(feature).alias("feature"))

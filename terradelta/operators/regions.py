@@ -149,7 +149,8 @@ def clip(px: DataFrame, masks: DataFrame, on: Sequence[str], halo: int, values:
     return (
         px.join(masks, [*on, "tile_row", "word", "row"])
         .where(F.col("col").between(F.col("col_min"), F.col("col_max")))
-        .withColumns({v: F.when(inside, F.col(v)).otherwise(F.lit(0)) for v in values})
+        # a missing value stays missing, inside and outside
+        .withColumns({v: F.when(inside | F.col(v).isNull(), F.col(v)).otherwise(F.lit(0)) for v in values})
         .withColumn("inside", inside.cast("int"))
         .drop("col_min", "col_max")
     )

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terradelta.functions.rings import normalize_ring, ring_key
+from terradelta.functions.rings import is_polygon, normalize_ring, ring_key
+from terradelta.sources.aoi_library import DEFAULT_DATES
 
-# Dates used when neither the request nor its AOI names one.
-FALLBACK_DATES = ("2024-02-28", "2026-04-03")
+FALLBACK_DATES = tuple(DEFAULT_DATES)  # used when neither the request nor its AOI names one
 REJECT_REASON = "AOI not in the library and no polygon given"
+BAD_RING = "polygon needs three different points with two coordinates each"
+BAD_DATE = "date is not yyyy-MM-dd"
 
 SEARCH_DAYS = 5  # fixed value: days searched on either side of a target date
 
 
 def date_window(day: Column, days: int = SEARCH_DAYS) -> list[Column]:
     """First and last calendar day of the window around ``day`` (yyyy-MM-dd string or date)."""
-    parsed = F.to_date(day)
+    parsed = day.try_cast("date")
     return [F.date_sub(parsed, days).alias("window_start"), F.date_add(parsed, days).alias("window_end")]
 
 
@@ -34,17 +36,26 @@ def _resolved_ring() -> Column:
 
 
 def resolve_aoi(requests: DataFrame, aois: DataFrame) -> DataFrame:
-    """Requests with a ring: their own if given, else the library's."""
+    """Requests with a polygon: their own if given, else the library's."""
     joined = _with_library(requests, aois).withColumn("coords", _resolved_ring())
-    return joined.where(F.col("coords").isNotNull()).drop("library_coords", "default_dates")
+    return joined.where(is_polygon(F.col("coords"))).drop("library_coords", "default_dates")
 
 
-def rejected_requests(requests: DataFrame, aois: DataFrame) -> DataFrame:
-    """Requests with neither a ring of their own nor a library entry, with the reason."""
-    without_ring = requests.where(F.coalesce(F.size("coords"), F.lit(0)) <= 0)
-    return without_ring.join(aois.select("aoi_id"), "aoi_id", "left_anti").select(
-        "request_id", "aoi_id", F.lit(REJECT_REASON).alias("reason")
+def _checked(requests: DataFrame, aois: DataFrame) -> DataFrame:
+    """Requests with ring, dates (null where they can't be read) and why they are rejected (null if not)."""
+    joined = _with_library(requests, aois).withColumn("coords", _resolved_ring())
+    dated = joined.withColumns({name: day.try_cast("date") for name, day in _filled_dates(joined).items()})
+    reason = (
+        F.when(F.col("coords").isNull(), F.lit(REJECT_REASON))
+        .when(~F.coalesce(is_polygon(F.col("coords")), F.lit(False)), F.lit(BAD_RING))
+        .when(F.col("date1").isNull() | F.col("date2").isNull(), F.lit(BAD_DATE))
     )
+    return dated.withColumn("reason", reason)
+
+
+def rejected_requests(requests: DataFrame, aois: DataFrame) -> DataFrame:
+    """Requests without a polygon, with a broken one, or with a date that can't be read; each with its reason."""
+    return _checked(requests, aois).where("reason IS NOT NULL").select("request_id", "aoi_id", "reason")
 
 
 def _library_date(df: DataFrame, i: int) -> Column:
@@ -74,12 +85,9 @@ def default_dates(requests: DataFrame, aois: DataFrame) -> DataFrame:
 
 def resolve(requests: DataFrame, aois: DataFrame) -> DataFrame:
     """Ring and dates in one join with the library: request_id, aoi_id, ring_key, coords, dates."""
-    joined = _with_library(requests, aois).withColumn("coords", _resolved_ring())
-    dates = {name: F.to_date(day) for name, day in _filled_dates(joined).items()}
-    return (
-        joined.where(F.col("coords").isNotNull())
-        .withColumns({**dates, "ring_key": ring_key(F.col("coords"))})
-        .select("request_id", "aoi_id", "ring_key", "coords", "date1", "date2")
+    good = _checked(requests, aois).where("reason IS NULL")
+    return good.withColumn("ring_key", ring_key(F.col("coords"))).select(
+        "request_id", "aoi_id", "ring_key", "coords", "date1", "date2"
     )
 
 

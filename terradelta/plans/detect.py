@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.operators import (
@@ -17,18 +17,35 @@ from terradelta.operators import (
     requests,
     sampling,
 )
-from terradelta.operators.joins import checked_broadcast
+from terradelta.functions.numbers import floor_div
 from terradelta.sources.rasters import only_bands
-from terradelta.sources.staging import staged
 
 KEYS = ("job_id", "aoi_id", "date1", "date2")
 KERNEL = 3  # fixed value: neighbourhood of the mask cleaning
 UNSERVED_REASON = "no pixels of both dates inside the polygon"
 
 
+def _issues() -> Column:
+    """What a job's rectangle lacks, from its pixels and the values counted in n_*: bands, or pixels of a date."""
+    area, found = F.col("crop_width") * F.col("crop_height"), []
+    for i in (1, 2):
+        counts = {band: F.col(f"n_{name}_{i}") for band, name in zip(bands.BANDS, bands.BAND_COLUMNS)}
+        day = F.col(f"date{i}").cast("string")
+        least, most = F.least(*counts.values()), F.greatest(*counts.values())
+        found.append(F.when(most == 0, F.concat(F.lit("no pixels on "), day)))
+        for band, n in counts.items():
+            found.append(F.when((n == 0) & (most > 0), F.concat(F.lit(f"missing band {band} on "), day)))
+        part = F.concat(least.cast("string"), F.lit(" of "), area.cast("string"), F.lit(" pixels on "), day)
+        found.append(F.when((least > 0) & (least < area), part))
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*found))), "; ")
+
+
 @dataclass
 class Detection:
-    """Lazy results of a batch of requests."""
+    """Results of a batch of requests, all lazy: nothing runs before one of them is read or written.
+
+    Only jobs whose rectangle is complete, every pixel with all bands on both dates, have results.
+    """
 
     resolved: DataFrame  # request_id, aoi_id, ring_key, coords, date1, date2
     rejected: DataFrame  # request_id, aoi_id, reason
@@ -38,33 +55,55 @@ class Detection:
     meta: DataFrame
     halo: int
 
-    def materialized(self) -> Detection:
-        """Write the packed masks, so that several results do not read the pixels again."""
-        return replace(self, words=staged(self.words, "words"))
+    def materialized(self, path: str) -> Detection:
+        """Write the packed masks to ``path``, which all executors share, so that several results do not read the pixels again."""
+        self.words.write.parquet(path)
+        return replace(self, words=self.words.sparkSession.read.schema(self.words.schema).parquet(path))
+
+    def complete_jobs(self) -> DataFrame:
+        """Keys of the jobs whose rectangle is complete."""
+        full = self.words.groupBy(*KEYS).agg(F.sum(F.bit_count("complete")).alias("complete"))
+        area = self.jobs.select("job_id", (F.col("crop_width") * F.col("crop_height")).alias("area"))
+        return full.join(area, "job_id").where("complete = area").select(*KEYS)
+
+    def complete_words(self) -> DataFrame:
+        return self.words.join(self.complete_jobs(), list(KEYS), "left_semi")
+
+    def incomplete(self) -> DataFrame:
+        """Requests whose rectangle lacks pixels or bands, with what it lacks."""
+        values = [F.count(f"{b}_{i}").alias(f"n_{b}_{i}") for i in (1, 2) for b in bands.BAND_COLUMNS]
+        counted = self.pairs.groupBy("job_id").agg(*values)
+        judged = self.jobs.join(counted, "job_id").withColumn("reason", _issues()).where("reason <> ''")
+        asked = self.resolved.select("request_id", *requests.JOB)
+        return asked.join(judged.select(*requests.JOB, "reason"), list(requests.JOB)).select("request_id", "aoi_id", "reason")
 
     def metrics(self) -> DataFrame:
         """One row per request: counts, areas and class areas."""
         counts = metrics.count_words(self.words, KEYS)
-        per_job = metrics.with_class_areas(metrics.with_change(counts))
+        whole = counts.join(self.complete_jobs(), list(KEYS), "left_semi")
+        per_job = metrics.with_class_areas(metrics.with_change(whole))
         named = per_job.join(self.jobs.select("job_id", "ring_key"), "job_id").drop("job_id")
         asked = self.resolved.select("request_id", *requests.JOB)
         return asked.join(named, list(requests.JOB)).drop("ring_key")
 
     def unserved(self) -> DataFrame:
-        """Resolved requests without a result: no raster, or no scene of one of the dates."""
-        served = self.metrics().select("request_id")
-        missing = self.resolved.join(served, "request_id", "left_anti")
-        return missing.select("request_id", "aoi_id", F.lit(UNSERVED_REASON).alias("reason"))
+        """Resolved requests without a result: no raster, no scene of one of the dates, or an incomplete rectangle."""
+        served = self.complete_jobs().join(self.jobs, list(KEYS)).select(*requests.JOB)
+        missing = self.resolved.join(served, list(requests.JOB), "left_anti")
+        why = self.incomplete().where("reason NOT LIKE '%no pixels on%'").select("request_id", "reason")
+        reason = F.coalesce("reason", F.lit(UNSERVED_REASON)).alias("reason")
+        return missing.join(why, "request_id", "left").select("request_id", "aoi_id", reason)
 
     def masks(self) -> DataFrame:
         """The cleaned mask and the three classes per pixel, as 0/1."""
         classes = metrics.class_words()
-        words = self.words.withColumns(classes)
+        words = self.complete_words().withColumns(classes)
         return bitrows.unpack(words, KEYS, ["mask", *classes], self.halo)
 
     def overlay(self) -> DataFrame:
         """Date-2 colours with the changes painted on them."""
-        return layers.change_overlay(self.pairs, KEYS, addressed_halo=self.halo)
+        pairs = self.pairs.join(self.complete_jobs(), list(KEYS), "left_semi")
+        return layers.change_overlay(pairs, KEYS, addressed_halo=self.halo)
 
     def features(self, k: int = sampling.SAMPLE_SIZE) -> DataFrame:
         """Border and sampled points of each job as styled GeoJSON features."""
@@ -78,7 +117,7 @@ class Detection:
         """Evenly spaced pixels of the two displayed classes per job."""
         classes = metrics.class_words()
         shown = {c: classes[c] for c in ("new_construction", "surface_water")}
-        long = sampling.class_long(self.words, KEYS, shown)
+        long = sampling.class_long(self.complete_words(), KEYS, shown)
         keys = [*KEYS, "class"]
         return sampling.even_sample(sampling.rank_words(long, keys), keys, self.halo, k)
 
@@ -86,65 +125,44 @@ class Detection:
 def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
     """Distinct work items, projected onto their raster and cropped to it.
 
-    Staged, because the pixel filter, the burned masks and the results all read this small table.
+    A small table; the exchanges that its readers share are computed once.
     """
     placed = regions.place_rings(requests.distinct_jobs(resolved), meta)
     columns = ["job_id", *requests.JOB, "coords", "ring"]
     window = ["row_min", "row_max", "col_min", "col_max", "crop_width", "crop_height"]
     jobs = regions.crop_window(placed).select(*columns, *window)
-    return regions.touching(staged(jobs, "jobs"))
+    return regions.touching(jobs)
 
 
 def pixels_in_reach(pixels: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Drop pixels no job can use, before they are shuffled.
+    """Drop pixels of tiles and dates no job needs, before they are laid out.
 
-    The needed (raster, date) boxes are broadcast only when few; otherwise the filter is left out
-    and the later join with the job masks decides alone.
+    Always a semi join on (raster, date, tile_row); where stored pixels are partitioned by these, it also
+    keeps their files from being read. Spark chooses how to join by measured sizes.
     """
-    needed = (
-        jobs.select(
-            "aoi_id",
-            F.explode(F.array("date1", "date2")).alias("scene_date"),
-            "row_min",
-            "row_max",
-            "col_min",
-            "col_max",
-        )
-        .groupBy("aoi_id", "scene_date")
-        .agg(
-            F.min("row_min").alias("row_min"),
-            F.max("row_max").alias("row_max"),
-            F.min("col_min").alias("col_min"),
-            F.max("col_max").alias("col_max"),
-        )
-    )
-    small = checked_broadcast(needed)
-    if small is None:
-        return pixels
-    p, n = pixels.alias("p"), small.alias("n")
-    reach = (
-        (F.col("p.aoi_id") == F.col("n.aoi_id"))
-        & (F.col("p.scene_date") == F.col("n.scene_date"))
-        & F.col("p.row").between(F.col("n.row_min"), F.col("n.row_max"))
-        & F.col("p.col").between(F.col("n.col_min"), F.col("n.col_max"))
-    )
-    return p.join(n, reach, "left_semi")
+    tiles = F.sequence(floor_div(F.col("row_min"), bitrows.TILE_ROWS), floor_div(F.col("row_max"), bitrows.TILE_ROWS))
+    needed = bands.by_date(jobs.select("aoi_id", "date1", "date2", F.explode(tiles).alias("tile_row")))
+    if "tile_row" not in pixels.columns:
+        pixels = pixels.withColumn("tile_row", floor_div(F.col("row"), bitrows.TILE_ROWS))
+    on = ["aoi_id", "scene_date", "tile_row"]
+    return pixels.join(needed.select(*on).distinct(), on, "left_semi")
 
 
 def clipped_pairs(pixels: DataFrame, jobs: DataFrame, halo: int) -> DataFrame:
-    """Both dates of each job's clipped rectangle, one row per pixel.
+    """Both dates of each job's clipped rectangle, one row per pixel seen on any of them.
 
-    The pixel table is shuffled once, by (raster, tile_row, word, row). Stacking, clipping and
-    pairing all group or join on supersets of that key, so they stay in place.
+    Pixels are laid out once, by (raster, tile_row, word, row). Stacking, clipping and pairing all group or
+    join on supersets of that key, so they stay in place; the date is part of the join with the burned
+    masks, so a pixel meets only the jobs that ask for its date.
     """
     long = "band" in pixels.columns
     near = pixels_in_reach(only_bands(pixels) if long else pixels, jobs)
-    placed = bitrows.with_address(near, halo).repartition("aoi_id", *bitrows.ADDRESS)
+    layout = ["aoi_id", *bitrows.ADDRESS]
+    placed = bitrows.with_address(near, halo).repartition(*layout)
     stacked = bands.stack_bands(placed) if long else placed
-    masks = regions.burn(jobs, KEYS, halo)
-    wanted = (F.col("scene_date") == F.col("date1")) | (F.col("scene_date") == F.col("date2"))
-    clipped = regions.clip(stacked, masks, ["aoi_id"], halo, bands.BAND_COLUMNS).where(wanted)
-    return bands.pair_columns(clipped, ["job_id", "aoi_id"], bands.BAND_COLUMNS)
+    masks = bands.by_date(regions.burn(jobs, KEYS, halo)).repartition(*layout)
+    clipped = regions.clip(stacked, masks, ["aoi_id", "scene_date"], halo, bands.BAND_COLUMNS)
+    return bands.pair_columns(clipped, ["job_id", "aoi_id"], bands.BAND_COLUMNS, partial=True)
 
 
 def detect_changes(
@@ -163,5 +181,5 @@ def detect_changes(
     halo = morphology.halo_of(layers.OVERLAY_STEPS)
     pairs = clipped_pairs(pixels, jobs, halo)
     words = bitrows.pack(pairs, KEYS, bands.change_flags(), halo)
-    words = morphology.transform_words(words, KEYS, ["mask"], steps, ["vegetation", "water"], halo)
+    words = morphology.transform_words(words, KEYS, ["mask"], steps, ["complete", "vegetation", "water"], halo)
     return Detection(resolved, rejected, jobs, pairs, words, meta, halo)

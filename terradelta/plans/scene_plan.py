@@ -18,6 +18,7 @@ class ScenePlan:
     chosen: DataFrame  # best product per request
     unmatched: DataFrame  # requests without any product: they get a placeholder raster
     to_fetch: DataFrame  # distinct assets not in the manifest
+    unlocated: DataFrame  # chosen products that have no scene row
 
     def placeholders(self, **options) -> DataFrame:
         """A constant raster for each unmatched request."""
@@ -37,5 +38,7 @@ def plan_scenes(
     keyed = requests.withColumn("ring_key", ring_key(F.col("coords")))
     served = chosen.select("aoi_id", "target_date", ring_key(F.col("coords")).alias("ring_key"))
     unmatched = keyed.join(served, keys, "left_anti").drop("ring_key")
-    products = chosen.select("product_id").distinct().join(scenes, "product_id")
-    return ScenePlan(chosen, unmatched, pending(asset_paths(products), manifest))
+    products = chosen.select("product_id").distinct()
+    unlocated = products.join(scenes, "product_id", "left_anti")
+    assets = asset_paths(products.join(scenes, "product_id"))
+    return ScenePlan(chosen, unmatched, pending(assets, manifest), unlocated)

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Pixels stay where (raster, word address) put them while they join on that and the date as well.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Plans here are built from many small expressions; do not record a call site for each of them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terradelta.functions.numbers import floor_div
 from terradelta.operators.bands import BANDS
+from terradelta.operators.bitrows import TILE_ROWS
 from terradelta.session import fan_out
 
 # Size and colour of the raster that stands in for a failed scene.
@@ -40,22 +42,25 @@ def write_raster(
     path: str,
     kind: str,
     keys: Sequence[str] = ("aoi_id",),
-    rows_per_part: int = 512,
+    dates: Sequence[str] = ("scene_date",),
+    rows_per_part: int = TILE_ROWS,
     mode: str = "overwrite",
 ) -> None:
-    """Write one raster kind, partitioned by raster and date, one file per band of raster rows.
+    """Write one raster kind, partitioned by raster, dates and tile_row (blocks of raster rows).
 
-    Rows are laid out by (keys, date, block of rows), so a large raster is written by many tasks and
-    a row range of it is read from few files.
+    A large raster is written by many tasks, and a reader that names rasters, dates and tiles opens their
+    files only. Overwriting replaces the partitions that ``df`` holds; other rasters stay.
     """
-    block = F.floor(F.col("row") / rows_per_part)
+    parts = [*keys, *dates, "tile_row"]
     (
-        df.select(*keys, "scene_date", "row", "col", *KINDS[kind])
-        .repartition(*keys, "scene_date", block)
-        .sortWithinPartitions(*keys, "scene_date", "row", "col")
+        df.select(*keys, *dates, "row", "col", *KINDS[kind])
+        .withColumn("tile_row", floor_div(F.col("row"), rows_per_part))
+        .repartition(*parts)
+        .sortWithinPartitions(*parts, "row", "col")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy(*keys, "scene_date")
+        .partitionBy(*parts)
         .parquet(path)
     )
 

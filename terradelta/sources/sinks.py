@@ -11,5 +11,5 @@ def write_metrics(documents: DataFrame, path: str, fmt: str = "json", mode: str
 
 
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """GeoJSON features as text lines, one folder per layer."""
+    """GeoJSON features as text lines, one folder per layer; each names its request in its properties."""
     features.select("layer", "feature").write.mode(mode).partitionBy("layer").text(path)

@@ -9,7 +9,7 @@ from terradelta.operators import bands, bitrows, metrics, morphology, regions
 from terradelta.plans.detect import detect_changes
 from terradelta.plans.legacy import detect_changes_legacy
 from terradelta.schemas import PIXELS, RASTER_META, REQUESTS
-from terradelta.sources import rasters, sinks, staging
+from terradelta.sources import rasters, sinks
 from terradelta.sources.aoi_library import aoi_library
 from verification import fixtures as fx
 
@@ -94,8 +94,8 @@ def test_many_requests_in_one_plan(site):
     assert site.words.where("bit_count(present) = 0").count() == 0
 
 
-def test_results_of_materialized_masks_are_the_same(site):
-    stored = site.materialized()
+def test_results_of_materialized_masks_are_the_same(site, tmp_path):
+    stored = site.materialized(str(tmp_path / "words"))
     assert stored.words.inputFiles()
     assert stored.metrics().exceptAll(site.metrics()).count() == 0
 
@@ -144,11 +144,6 @@ def test_placeholder_for_missing_rasters(spark):
     assert {tuple(r)[3:] for r in got if r.k == "b"} == {(15, 32, 67)}
 
 
-def test_staging_uses_the_shared_folder(spark, shared_dir):
-    staged = staging.staged(spark.range(5), "numbers")
-    assert staged.count() == 5 and staged.inputFiles()[0].startswith(f"file://{shared_dir}")
-
-
 def test_legacy_identical_and_different_images(spark):
     rng = np.random.default_rng(6)
     size = (30, 40)

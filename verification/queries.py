@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import detect_changes
 from terradelta.plans.legacy import comparison_strip, detect_changes_legacy, legacy_words
 from terradelta.plans.scene_plan import plan_scenes
-from terradelta.sources import aoi_library, catalog, naming, rasters, staging
+from terradelta.sources import aoi_library, catalog, naming, rasters
 from verification import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +100,8 @@ def pending_assets(spark, sf):
 
 @query
 def raster_roundtrip(spark, sf):
-    folder = staging.new_path(spark, "raster")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/raster-{uuid.uuid4().hex}"
     rasters.write_raster(fx.dated(spark, sf), folder, "bands")
     return rasters.read_raster(spark, folder).select(
         "aoi_id", F.col("scene_date").cast("string").alias("scene_date"), "row", "col", *fx.BANDS
