@@ -190,6 +190,28 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gappy_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bands`` without B08 of the second date on odd sites and without seven rows of it on site2, site6, ..."""
+    site, late = _site_number(), F.col("scene_date") == F.lit(DATE2).cast("date")
+    lost_band = late & (site % 2 == 1) & (F.col("band") == "B08")
+    lost_rows = late & (site % 4 == 2) & (F.col("row") < 7)
+    return bands(spark, sf_dir).where(~lost_band & ~lost_rows)
+
+
+def broken_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with unknown areas, polygons of two points or none, open polygons and impossible dates."""
+    c = F.col("c_custkey")
+    line = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((1.0, 2.0), (3.0, 2.0), (1.0, 2.0))))
+    open_ring = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((1.0, 2.0), (3.0, 2.0), (3.0, 4.0))))
+    return table(spark, sf_dir, "customer").select(
+        c.alias("request_id"),
+        F.when(c % 3 == 0, F.lit("nowhere")).otherwise(F.lit("hinjewadi")).alias("aoi_id"),
+        F.when(c % 5 == 0, F.lit("2024-13-45")).otherwise(F.lit(DATE1)).alias("date1"),
+        F.lit(DATE2).alias("date2"),
+        F.when(c % 4 == 1, line).when(c % 4 == 2, open_ring).alias("coords"),
+    )
+
+
 def square(x: Column, y: Column, side: float) -> Column:
     x2, y2 = x + side, y + side
     return F.array(F.array(x, y), F.array(x2, y), F.array(x2, y2), F.array(x, y2), F.array(x, y))

@@ -512,6 +512,13 @@ register(
     """SELECT request_id, aoi_id, 'AOI not in the library and no polygon given' AS reason FROM reqs
        WHERE coords IS NULL AND aoi_id NOT IN (SELECT aoi_id FROM aois)""",
 )
+register(
+    "rejected_bad_input",
+    """SELECT * FROM (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 'nowhere' ELSE 'hinjewadi' END AS aoi_id,
+       CASE WHEN c_custkey % 4 NOT IN (1, 2) AND c_custkey % 3 = 0 THEN 'AOI not in the library and no polygon given'
+            WHEN c_custkey % 4 = 1 THEN 'polygon needs three different points with two coordinates each'
+            WHEN c_custkey % 5 = 0 THEN 'date is not yyyy-MM-dd' END AS reason FROM customer) WHERE reason IS NOT NULL""",
+)
 register(
     "default_dates",
     """SELECT request_id, coalesce(q.date1, a.date1, '2024-02-28') AS date1,
@@ -761,6 +768,27 @@ cte(
         JOIN resolved r ON r.aoi_id = j.aoi_id AND r.coords = j.coords AND r.date1 = j.date1 AND r.date2 = j.date2""",
 )
 register("detect_changes", "SELECT * FROM detected")
+cte("job_sites", "SELECT j.*, w.r0, w.r1, w.c0, w.c1, CAST(substr(j.aoi_id, 5) AS BIGINT) AS site FROM jobs j JOIN job_win w ON w.job = j.job WHERE w.c1 >= w.c0 AND w.r1 >= w.r0")
+cte(
+    "job_gaps",
+    """SELECT job, aoi_id, coords, date1, date2, list_distinct(list_filter([
+         CASE WHEN date1 = '2026-04-03' THEN gap END, CASE WHEN date2 = '2026-04-03' THEN gap END], lambda x: x IS NOT NULL)) AS gaps
+       FROM (SELECT *, CASE WHEN site % 2 = 1 THEN 'missing band B08 on 2026-04-03'
+         WHEN site % 4 = 2 AND r0 < 7 THEN
+           CASE WHEN r1 < 7 THEN 'no pixels on 2026-04-03'
+           ELSE CAST(CAST((r1 - 6) * (c1 - c0 + 1) AS BIGINT) AS VARCHAR) || ' of '
+             || CAST(CAST((r1 - r0 + 1) * (c1 - c0 + 1) AS BIGINT) AS VARCHAR) || ' pixels on 2026-04-03' END END AS gap
+       FROM job_sites)""",
+)
+_ASKED = "resolved r ON r.aoi_id = g.aoi_id AND r.coords = g.coords AND r.date1 = g.date1 AND r.date2 = g.date2"
+register(
+    "incomplete_rasters",
+    f"SELECT r.request_id, r.aoi_id, g.gaps[1] AS reason FROM job_gaps g JOIN {_ASKED} WHERE len(g.gaps) > 0",
+)
+register(
+    "detect_complete_only",
+    f"SELECT d.* FROM detected d WHERE d.request_id IN (SELECT r.request_id FROM job_gaps g JOIN {_ASKED} WHERE len(g.gaps) = 0)",
+)
 register("detect_changes_wide", "SELECT * FROM detected")
 cte(
     "job_classes",

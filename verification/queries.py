@@ -395,6 +395,11 @@ def rejected_requests(spark, sf):
     return requests.rejected_requests(fx.requests(spark, sf), fx.aois(spark, sf))
 
 
+@query
+def rejected_bad_input(spark, sf):
+    return requests.rejected_requests(fx.broken_requests(spark, sf), fx.aois(spark, sf))
+
+
 @query
 def default_dates(spark, sf):
     filled = requests.default_dates(fx.requests(spark, sf), fx.aois(spark, sf))
@@ -637,6 +642,24 @@ def unserved_requests(spark, sf):
     return _detection(spark, sf).unserved()
 
 
+def _gappy(spark, sf):
+    return detect_changes(
+        fx.requests(spark, sf), fx.gappy_bands(spark, sf), fx.aois(spark, sf), fx.raster_meta(spark, sf)
+    )
+
+
+@query
+def incomplete_rasters(spark, sf):
+    """What the rectangles of requests lack, from rasters without a band or without some rows."""
+    return _gappy(spark, sf).incomplete()
+
+
+@query
+def detect_complete_only(spark, sf):
+    """Requests that rasters with gaps can still answer."""
+    return _plain_dates(_gappy(spark, sf).metrics())
+
+
 @query
 def metrics_document(spark, sf):
     documents = _plain_dates(_detection(spark, sf).documents(OUTPUTS))
