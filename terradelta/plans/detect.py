@@ -100,6 +100,20 @@ class Detection:
         words = self.complete_words().withColumns(classes)
         return bitrows.unpack(words, KEYS, ["mask", *classes], self.halo)
 
+    def rasters(self) -> DataFrame:
+        """Display colours, ndvi and ndwi of both dates of each job: kinds rgb, ndvi and ndwi of the raster sink."""
+        pairs = bands.with_indices(self.pairs.join(self.complete_jobs(), list(KEYS), "left_semi"))
+        dates = [
+            F.struct(
+                F.col(f"date{i}").alias("scene_date"),
+                *[c.alias(n) for n, c in zip(("red", "green", "blue"), bands.rgb_of(i))],
+                F.col(f"ndvi_{i}").alias("ndvi"),
+                F.col(f"ndwi_{i}").alias("ndwi"),
+            )
+            for i in (1, 2)
+        ]
+        return pairs.select(*KEYS, "row", "col", F.inline(F.array_distinct(F.array(*dates))))
+
     def overlay(self) -> DataFrame:
         """Date-2 colours with the changes painted on them."""
         pairs = self.pairs.join(self.complete_jobs(), list(KEYS), "left_semi")

@@ -872,3 +872,24 @@ register(
     """SELECT aoi_id, CAST(target_date AS VARCHAR) AS target_date FROM sreq
        WHERE aoi_id NOT IN (SELECT aoi_id FROM found)""",
 )
+
+
+# --- through the sinks ------------------------------------------------------------------------------
+
+register("mask_sink", "SELECT job_id, aoi_id, date1, date2, row, col, mask FROM job_masks")
+ORACLE["overlay_sink"] = ORACLE["detect_overlay"]
+ORACLE["feature_sink"] = ORACLE["detect_features"]
+
+
+def both_dates(name: str, values: list[str], source: str) -> None:
+    """One row per distinct date; ``values`` end in the number of the date."""
+    parts = [
+        f"SELECT job AS job_id, aoi_id, date1, date2, date{i} AS scene_date, row, col, {', '.join(v.format(i=i) for v in values)} FROM {source}"
+        for i in (1, 2)
+    ]
+    register(name, " UNION ".join(parts))
+
+
+both_dates("rgb_sink", ["red{i} AS red", "green{i} AS green", "blue{i} AS blue"], "job_rgb")
+both_dates("ndvi_sink", ["round(CAST(ndvi_{i} AS DOUBLE), 6) + 0.0 AS ndvi"], "job_idx")
+both_dates("ndwi_sink", ["round(CAST(ndwi_{i} AS DOUBLE), 6) + 0.0 AS ndwi"], "job_idx")

@@ -25,7 +25,7 @@ from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import detect_changes
 from terradelta.plans.legacy import comparison_strip, detect_changes_legacy, legacy_words
 from terradelta.plans.scene_plan import plan_scenes
-from terradelta.sources import aoi_library, catalog, naming, rasters
+from terradelta.sources import aoi_library, catalog, naming, rasters, sinks
 from verification import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,10 +98,15 @@ def pending_assets(spark, sf):
     return catalog.pending(assets, fx.manifest(spark, sf))
 
 
+def _scratch(spark) -> str:
+    """A new folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/written-{uuid.uuid4().hex}"
+
+
 @query
 def raster_roundtrip(spark, sf):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/raster-{uuid.uuid4().hex}"
+    folder = _scratch(spark)
     rasters.write_raster(fx.dated(spark, sf), folder, "bands")
     return rasters.read_raster(spark, folder).select(
         "aoi_id", F.col("scene_date").cast("string").alias("scene_date"), "row", "col", *fx.BANDS
@@ -660,6 +665,55 @@ def detect_complete_only(spark, sf):
     return _plain_dates(_gappy(spark, sf).metrics())
 
 
+def _through_sink(spark, raster, kind, dates=("date1", "date2")):
+    """A job's rasters written and read back; a second write of one job must leave the others in place."""
+    folder, keys = _scratch(spark), ("job_id", "aoi_id")
+    rasters.write_raster(raster, folder, kind, keys, dates)
+    one = raster.where(F.col("job_id") % 7 == 3)
+    rasters.write_raster(one, folder, kind, keys, dates)
+    back = rasters.read_raster(spark, folder).withColumns({d: F.col(d).cast("string") for d in dates})
+    back = back.withColumn("job_id", F.col("job_id").cast("long"))
+    return back.select("job_id", "aoi_id", *dates, "row", "col", *rasters.KINDS[kind])
+
+
+@query
+def mask_sink(spark, sf):
+    return _through_sink(spark, _detection(spark, sf).masks(), "mask")
+
+
+@query
+def overlay_sink(spark, sf):
+    return _through_sink(spark, _detection(spark, sf).overlay(), "overlay")
+
+
+@query
+def rgb_sink(spark, sf):
+    return _through_sink(spark, _detection(spark, sf).rasters(), "rgb", ("date1", "date2", "scene_date"))
+
+
+@query
+def ndvi_sink(spark, sf):
+    back = _through_sink(spark, _detection(spark, sf).rasters(), "ndvi", ("date1", "date2", "scene_date"))
+    return back.withColumn("ndvi", _round(F.col("ndvi").cast("double"), 6))
+
+
+@query
+def ndwi_sink(spark, sf):
+    back = _through_sink(spark, _detection(spark, sf).rasters(), "ndwi", ("date1", "date2", "scene_date"))
+    return back.withColumn("ndwi", _round(F.col("ndwi").cast("double"), 6))
+
+
+@query
+def feature_sink(spark, sf):
+    """Features written as text and read back: the text alone tells the request."""
+    folder = _scratch(spark)
+    sinks.write_features(_detection(spark, sf).features(), folder)
+    whose = F.from_json("value", "properties struct<job_id string, aoi_id string, date1 string, date2 string>").properties
+    text = spark.read.text(folder).select("layer", F.col("value").alias("feature"), whose.alias("w"))
+    keyed = text.select(F.col("w.job_id").cast("long").alias("job_id"), "w.aoi_id", "w.date1", "w.date2", "layer", "feature")
+    return _read_features(keyed, ["job_id", "aoi_id", "date1", "date2"])
+
+
 @query
 def metrics_document(spark, sf):
     documents = _plain_dates(_detection(spark, sf).documents(OUTPUTS))
