@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terradelta.llm.tables import staged
 
 BUCKETS = 1 << 14  # of hashed n-grams; bounds every table of counts or weights
+TARGETS = 100_000  # trusted texts that the target is counted on, about; more are sampled by a hash of doc_id
 PRIOR = 200.0  # n-grams of the raw corpus that the target is smoothed with
 RATIO = -0.065  # least mean log ratio of a text that is kept
 MIN_WORDS = 50
@@ -110,10 +111,14 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def ratio_weights(docs: DataFrame, labels: DataFrame) -> Column:
     """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one array of BUCKETS doubles.
 
-    Target: every text with a label of quality 1. Raw: every text. The target is smoothed with PRIOR
-    n-grams of the raw distribution, so that what it lacks counts against a text by a bounded amount.
+    Target: the texts with a label of quality 1, of which TARGETS are enough; their ids, at most about a
+    megabyte, are broadcast, so that no text is shuffled. Raw: every text. The target is smoothed with
+    PRIOR n-grams of the raw distribution, so that what it lacks counts against a text by a bounded amount.
     """
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    parts = 1 << 20
+    share = -(-parts * TARGETS // max(TARGETS, trusted.count()))
+    trusted = F.broadcast(trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share))
     per_bucket = staged(ngram_counts(docs, trusted), "ngrams")
     total = per_bucket.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
     row = total.first()
