@@ -2,4 +2,58 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TOKENS = r"regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
+
+_URLS = rf"""
+WITH parts AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")} AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+         string_split(host, '.') AS labels FROM parts),
+sited AS (
+  SELECT *, (SELECT min(i) FROM range(1, len(labels) + 1) t(i)
+             WHERE labels[i] IN ('ads-track', 'free-bets', 'cheap-pills', 'spam-farm', 'casino-win', 'adult-x')) AS first FROM ruled)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN first IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN first IS NOT NULL THEN array_to_string(labels[first:], '.') END AS site
+FROM sited"""
+
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, coalesce({_TERMS.format("text")}, []) AS words FROM documents),
+b AS (SELECT item_id, {_TERMS.format("text")} AS words FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS phrase
+      FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+            FROM (SELECT *, least(13, len(words)) AS n FROM b) WHERE n > 0)),
+p AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS phrase
+      FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w))),
+hits AS (SELECT doc_id, i, n, item_id FROM p JOIN w USING (n, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+_REPEATS = f"""
+WITH d AS (SELECT doc_id, {_TOKENS.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, i, md5(array_to_string(words[i + 1:i + 50], ' ')) AS phrase
+      FROM (SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS i FROM d)),
+again AS (SELECT phrase FROM p GROUP BY phrase HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM p JOIN again USING (phrase)),
+marked AS (SELECT *, CASE WHEN i <= 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
+SELECT doc_id, min(i) AS first_word, max(i) + 50 AS end_word FROM runs GROUP BY doc_id, run"""
+
+ORACLE: dict[str, str] = {
+    "op1_url_filter": _URLS,
+    "op7_suffix_dedup": _REPEATS,
+    "op10_decontaminate": _CONTAMINATION,
+}

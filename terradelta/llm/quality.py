@@ -11,7 +11,7 @@ from terradelta.llm.tables import staged
 
 BUCKETS = 1 << 14  # of hashed n-grams; bounds every table of counts or weights
 TARGETS = 100_000  # trusted texts that the target is counted on, about; more are sampled by a hash of doc_id
-PRIOR = 200.0  # n-grams of the raw corpus that the target is smoothed with
+PRIOR = 300_000.0  # n-grams of the raw corpus that the target is smoothed with, so that few labels decide little
 RATIO = -0.065  # least mean log ratio of a text that is kept
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
@@ -29,6 +29,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(_flat(text), " "), "")  # a plain separator needs no regular expression
 
 
+def _settled(value: Column) -> Column:
+    """``value``, computed before any filter on it.
+
+    The optimizer would copy the steps behind a column into a filter, once for each use of each step; it
+    leaves what depends on the row's number in place.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _bucket(x: Column) -> Column:
     return x.bitwiseAND(F.lit(BUCKETS - 1))
 
@@ -75,7 +84,7 @@ def _repeats(hashed: DataFrame) -> DataFrame:
     # A window covers its three words unless the next repeated window begins earlier.
     covered = F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(3)), F.lit(3)))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)
-    return places.withColumn("n_repeat_words", total).drop("_twins", "_places", "_low")
+    return places.withColumn("n_repeat_words", _settled(total)).drop("_twins", "_places", "_low")
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -108,12 +117,12 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("_good"), F.lit(0)).alias("target"))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame) -> Column:
+def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float) -> Column:
     """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one array of BUCKETS doubles.
 
     Target: the texts with a label of quality 1, of which TARGETS are enough; their ids, at most about a
     megabyte, are broadcast, so that no text is shuffled. Raw: every text. The target is smoothed with
-    PRIOR n-grams of the raw distribution, so that what it lacks counts against a text by a bounded amount.
+    ``prior`` n-grams of the raw distribution, so that what it lacks counts against a text by a bounded amount.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     parts = 1 << 20
@@ -123,15 +132,15 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> Column:
     total = per_bucket.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
     row = total.first()
     p_raw = F.col("raw") / F.lit(float(max(1, row["all_raw"])))
-    weight = F.ln((F.col("target") + PRIOR * p_raw) / F.lit(row["all_target"] + PRIOR)) - F.ln(p_raw)
+    weight = F.ln((F.col("target") + prior * p_raw) / F.lit(row["all_target"] + prior)) - F.ln(p_raw)
     rows = per_bucket.where("raw > 0").select("bucket", weight.alias("weight")).collect()  # at most BUCKETS rows
     weights = dict.fromkeys(range(BUCKETS), "0.0") | {r["bucket"]: repr(r["weight"]) for r in rows}
     return F.split(F.lit(",".join(weights[b] for b in range(BUCKETS))), ",").cast("array<double>")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, ratio: float) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, ratio: float, prior: float) -> DataFrame:
     """``docs`` with all counts, ``llr``, ``base_failed`` and ``kept``."""
-    weights = ratio_weights(docs, labels)
+    weights = ratio_weights(docs, labels, prior)
     counted = text_counts(docs)
 
     def add(total: Column, gram: Column) -> Column:
@@ -139,11 +148,11 @@ def _judged(docs: DataFrame, labels: DataFrame, ratio: float) -> DataFrame:
 
     total = F.aggregate("_hashes", F.lit(0.0), add) + F.aggregate("_pairs", F.lit(0.0), add)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    scored = counted.withColumn("llr", total / F.greatest(2 * F.col("n_words"), F.lit(1)))
+    scored = counted.withColumn("llr", _settled(total / F.greatest(2 * F.col("n_words"), F.lit(1))))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= ratio))
 
 
-def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float = PRIOR) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, the counts, llr, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over half of the words repeated. ``llr`` is the mean log
@@ -153,10 +162,10 @@ def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO) -> DataFrame
     repeated ones count once; a null text has no words; repeated rows give repeated results.
     """
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
-    return _judged(docs.select("doc_id", "text"), labels, ratio).select(*names)
+    return _judged(docs.select("doc_id", "text"), labels, ratio, prior).select(*names)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, ratio: float = RATIO) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float = PRIOR) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, decided row by row without a join of texts."""
     inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return _judged(inner, labels, ratio).where("kept").select("_row.*")
+    return _judged(inner, labels, ratio, prior).where("kept").select("_row.*")

@@ -73,7 +73,7 @@ def test_quality_verdict_follows_the_target(spark):
     bad = [(100 + i, " ".join(f"junk{j % 90}" for j in range(i, i + 80))) for i in range(20)]
     table = spark.createDataFrame(good + bad, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100, 0, 0), (None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"] for r in quality.keep_good(table, labels).collect()}
+    kept = {r["doc_id"] for r in quality.keep_good(table, labels, prior=200.0).collect()}
     assert kept == {i for i, _ in good}
     judged = quality.judge(table, labels.limit(0)).collect()
     assert all(r["llr"] == pytest.approx(0, abs=1e-9) for r in judged)
