@@ -170,12 +170,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
     need no rule.
     """
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             keep = []
             for text, spans in zip(utf8(part.column("text")), part.column("hit_spans").to_pylist()):
                 hit = sum(s["last"] - s["first"] + 1 for s in spans)
                 keep.append(not (hit and 100 * hit >= percent * len(terms(text))))
-            yield part.filter(pa.array(keep, pa.bool_())).select(docs.columns)
+            yield part.filter(pa.array(keep, pa.bool_())).select(names)
 
     return _hits(docs, benchmark, window, MAX_WORDS).mapInArrow(run, docs.schema)
