@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.functions import spectral
 from terradelta.operators import bitrows, layers, metrics, morphology
 from terradelta.operators.resize import resize_bilinear
+from terradelta.sources.naming import legacy_artifact_names
 
 CHANNELS = ("red", "green", "blue")
 KERNEL = 5  # fixed value: neighbourhood of the mask opening
@@ -69,6 +70,15 @@ def legacy_metrics(words: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataF
     return metrics.with_change(counts, digits=4)
 
 
+def legacy_document(counted: DataFrame, day: Column | str = "date2") -> DataFrame:
+    """Nested document per area: counts, percentage, area and the names of the three images made from it."""
+    names = legacy_artifact_names(F.col("aoi_id"), F.col(day) if isinstance(day, str) else day)
+    files = F.struct(*[names[kind].alias(kind) for kind in ("processed", "clean_map", "comparison")])
+    return counted.select(
+        "aoi_id", "total_pixels", "changed_pixels", "change_percentage", "changed_area_km2", files.alias("filenames")
+    )
+
+
 def detect_changes_legacy(
     image1: DataFrame, image2: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("aoi_id",)
 ) -> DataFrame:

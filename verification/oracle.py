@@ -640,6 +640,13 @@ def legacy_summary(source: str) -> str:
 
 register("legacy_metrics", legacy_summary(legacy_full))
 register("detect_changes_legacy", legacy_summary(legacy_resized))
+register(
+    "legacy_document",
+    f"""SELECT aoi_id, total_pixels, changed_pixels, change_percentage, changed_area_km2,
+        'processed_' || aoi_id || '_2026-04-03_2026.png' AS processed,
+        'clean_change_map_' || aoi_id || '_2026-04-03_2026.png' AS clean_map,
+        'comparison_' || aoi_id || '_2026-04-03_2026.png' AS comparison FROM ({legacy_summary(legacy_resized)})""",
+)
 register(
     "raster_extent",
     """SELECT aoi_id, min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max,

@@ -515,6 +515,15 @@ def legacy_metrics(spark, sf):
     return summarize(words)
 
 
+@query
+def legacy_document(spark, sf):
+    from terradelta.plans.legacy import legacy_document as document
+
+    counted = detect_changes_legacy(fx.image(spark, sf, 1), fx.small_image2(spark, sf), fx.image_sizes(spark, sf))
+    made = document(counted, F.lit(fx.DATE2))
+    return made.select(*[c for c in made.columns if c != "filenames"], "filenames.*")
+
+
 @query
 def raster_extent(spark, sf):
     return regions.raster_extent(fx.pixels(spark, sf))
