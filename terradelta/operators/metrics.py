@@ -22,13 +22,15 @@ def class_words() -> dict[str, Column]:
 
 
 def count_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixel counts per key from cleaned, owned words."""
+    """Pixel counts per key from cleaned, owned words; with complete_pixels if the words say which are."""
 
     def total(bits: Column) -> Column:
         return F.sum(F.bit_count(bits)).cast("long")
 
     classes = class_words()
+    complete = [total(F.col("complete")).alias("complete_pixels")] if "complete" in words.columns else []
     return words.groupBy(*keys).agg(
+        *complete,
         total(F.col("present")).alias("total_pixels"),
         total(F.col("mask")).alias("changed_pixels"),
         total(classes["new_construction"]).alias("construction_pixels"),

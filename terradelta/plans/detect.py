@@ -80,9 +80,10 @@ class Detection:
     def metrics(self) -> DataFrame:
         """One row per request: counts, areas and class areas."""
         counts = metrics.count_words(self.words, KEYS)
-        whole = counts.join(self.complete_jobs(), list(KEYS), "left_semi")
-        per_job = metrics.with_class_areas(metrics.with_change(whole))
-        named = per_job.join(self.jobs.select("job_id", "ring_key"), "job_id").drop("job_id")
+        per_job = metrics.with_class_areas(metrics.with_change(counts))
+        area = (F.col("crop_width") * F.col("crop_height")).alias("area")
+        whole = per_job.join(self.jobs.select("job_id", "ring_key", area), "job_id").where("complete_pixels = area")
+        named = whole.drop("job_id", "area", "complete_pixels")
         asked = self.resolved.select("request_id", *requests.JOB)
         return asked.join(named, list(requests.JOB)).drop("ring_key")
 
@@ -119,6 +120,12 @@ class Detection:
         pairs = self.pairs.join(self.complete_jobs(), list(KEYS), "left_semi")
         return layers.change_overlay(pairs, KEYS, addressed_halo=self.halo)
 
+    def bounds(self) -> DataFrame:
+        """Lon/lat bounds and centre of each job's cropped rectangle."""
+        frame = {"x0": "crop_x0", "y0": "crop_y0", "width": "crop_width", "height": "crop_height"}
+        cropped = self.jobs.select(*KEYS, "epsg", "px", "py", *[F.col(c).alias(n) for n, c in frame.items()])
+        return regions.bounds_center(cropped, KEYS)
+
     def features(self, k: int = sampling.SAMPLE_SIZE) -> DataFrame:
         """Border and sampled points of each job as styled GeoJSON features."""
         points = layers.lonlat_points(self.points(k), self.meta)
@@ -144,6 +151,7 @@ def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
     placed = regions.place_rings(requests.distinct_jobs(resolved), meta)
     columns = ["job_id", *requests.JOB, "coords", "ring"]
     window = ["row_min", "row_max", "col_min", "col_max", "crop_width", "crop_height"]
+    window += ["epsg", "crop_x0", "crop_y0", "px", "py"]
     jobs = regions.crop_window(placed).select(*columns, *window)
     return regions.touching(jobs)
 

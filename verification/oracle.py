@@ -881,6 +881,28 @@ register(
 )
 
 
+cte(
+    "job_border_xy",
+    """SELECT job, x, y FROM (SELECT job, x0 + 10 * c0 AS left_x, x0 + 10 * (c1 + 1) AS right_x, y0 - 10 * r0 AS top_y,
+         y0 - 10 * (r1 + 1) AS bottom_y, x0 + 10 * c0 + 10 * (c1 - c0 + 1) * i / 22.0::DOUBLE AS ax,
+         y0 - 10 * (r1 + 1) + 10 * (r1 - r0 + 1) * i / 22.0::DOUBLE AS ay
+         FROM job_sites JOIN meta USING (aoi_id), range(23) t(i)),
+       LATERAL (VALUES (ax, top_y), (ax, bottom_y), (left_x, ay), (right_x, ay)) v(x, y)""",
+)
+cte("job_border_ll", inverse("job_border_xy", "job"))
+cte(
+    "job_boxes",
+    """SELECT job, min(lon) AS lon_min, min(lat) AS lat_min, max(lon) AS lon_max, max(lat) AS lat_max
+       FROM job_border_ll GROUP BY job""",
+)
+register(
+    "job_bounds",
+    "SELECT b.job AS job_id, aoi_id, date1, date2, "
+    + ", ".join(rounded(c, 6, c) for c in ("lon_min", "lat_min", "lon_max", "lat_max"))
+    + f", {rounded('(lat_min + lat_max) / 2', 6, 'center_lat')},"
+    + f" {rounded('(lon_min + lon_max) / 2', 6, 'center_lon')} FROM job_boxes b JOIN jobs j ON j.job = b.job",
+)
+
 # --- through the sinks ------------------------------------------------------------------------------
 
 register("mask_sink", "SELECT job_id, aoi_id, date1, date2, row, col, mask FROM job_masks")

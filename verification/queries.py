@@ -651,6 +651,13 @@ def detect_features(spark, sf):
     return _plain_dates(_read_features(features, ["job_id", "aoi_id", "date1", "date2"]))
 
 
+@query
+def job_bounds(spark, sf):
+    box = _plain_dates(_detection(spark, sf).bounds())
+    keys = ["job_id", "aoi_id", "date1", "date2"]
+    return box.select(*keys, *[_round(F.col(c), 6).alias(c) for c in box.columns[4:]])
+
+
 @query
 def unserved_requests(spark, sf):
     return _detection(spark, sf).unserved()
