@@ -42,7 +42,7 @@ class Encoder:
 
     def __init__(self, tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> None:
         self.exact = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        self.exact.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.exact.get_added_tokens_decoder().values())
         with open(public_tokenizers.path(ranks), "rb") as lines:  # a file of the installed module
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -58,6 +58,8 @@ class Encoder:
         return np.array(found, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text:
             return self.ids(text)
         first, *rest = text.split(" ")

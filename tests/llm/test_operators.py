@@ -233,6 +233,15 @@ def test_tokens_equal_the_tokenizer():
         assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in exact), text
 
 
+def test_tokens_equal_a_fresh_tokenizer():
+    encoder, fresh = packing.Encoder(), packing.Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    assert fresh.encode("a <|endoftext|> end", add_special_tokens=False).ids == [64, 220, 50256, 886]
+    odd = ["<|endoftext|>", "a <|endoftext|> end", "a<|endoftext|>b c", "Ж  <|endoftext|><|endoftext|> 中", "<|endoftext|", "< |endoftext|>", "<|ENDOFTEXT|>"]
+    for text in odd + [t for _, t, *_ in HARD if t]:
+        exact = fresh.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in exact), text
+
+
 def test_packing(docs, hard, spark):
     encoder = packing.Encoder()
     for table in (docs, hard):
