@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -22,10 +23,12 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Strings that may be a secret; they must hold a digit and a letter, and follow a sensitive word closely.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+#: More of the same after one, such as the next lines of a PEM block; no context to judge it by.
+MORE = re.compile(rb"(?:\s+[A-Za-z0-9+/_=-]{16,}(?!\S))*")
 SENSITIVE = re.compile(rb"pass(?:word|wd|phrase|code)|secret|token|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private|signature|\bkey\b|\bpwd\b", re.IGNORECASE)
-REACH = 48  # bytes before a candidate in which the sensitive word stands
+REACH = 48  # bytes before a candidate in which the sensitive word stands, on its line or the line before
 AROUND = 160  # bytes of context on each side that the compressor sees
-NOVEL = 0.8  # bytes the compressor needs for each byte of a candidate
+NOVEL = 0.9  # share of the entropy of random characters of a candidate's alphabet that the compressor needs
 
 #: What common identifiers look like; primes the compressor, so that such names cost few bytes.
 IDENTIFIERS = (
@@ -40,6 +43,12 @@ IDENTIFIERS = (
     b" internationalization configuration implementation initialization serialization authentication application"
 )
 
+#: Stands before short contexts. Without other text the compressor stores what a key adds for less than it is worth.
+FILLER = (
+    b"On the whole they were glad that the weather had changed, and nobody asked how long it would take to walk back"
+    b" over the hills; some had brought bread, others only wine."
+)
+
 
 class Span(NamedTuple):
     """A find in code points, end exclusive."""
@@ -61,13 +70,32 @@ def _compressor() -> zstandard.ZstdCompressor:
 def novelty(before: bytes, candidate: bytes, after: bytes) -> float:
     """Compressed bytes that the candidate adds to its surroundings, for each of its bytes."""
     compress = _compressor().compress
+    before = FILLER[: max(0, AROUND - len(before) - len(after))] + before
     return (len(compress(before + after + candidate)) - len(compress(before + after))) / max(1, len(candidate))
 
 
+def entropy(candidate: bytes) -> float:
+    """Bytes for each character of a random string over the candidate's alphabet.
+
+    The alphabet: digits, upper and lower case letters (of a case only A-F if no others stand there) as far as
+    they occur, and the other characters that occur.
+    """
+    seen = set(candidate)
+    size = 10 * any(48 <= c < 58 for c in seen) + sum(not chr(c).isalnum() for c in seen)
+    for first in b"Aa":
+        places = [c - first for c in seen if first <= c < first + 26]
+        size += (6 if max(places) < 6 else 26) if places else 0
+    return math.log2(max(2, size)) / 8
+
+
 def _novel(text: bytes, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """Candidates in a sensitive context that compress badly and touch no base find."""
-    covered = sorted((a, b) for a, b, _ in taken)
-    at = 0
+    """Candidates in a sensitive context that compress badly and are not covered by a base find.
+
+    The sensitive word stands on the same line or the one before; what follows a find after white space
+    alone, like the lines of a PEM block, shares its context.
+    """
+    covered = sorted(taken)
+    at, origin, last = 0, 0, None
     for m in CANDIDATE.finditer(text):
         found = m.group()
         if found.isalpha() or not any(48 <= c < 58 for c in found) or not any(c >= 65 for c in found):
@@ -75,10 +103,21 @@ def _novel(text: bytes, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int
         a, b = m.span()
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        if at < len(covered) and covered[at][0] < b:
+        # A run of digits in a key may be a hex find; the value of an assignment reaches the end of a candidate.
+        near = at
+        while near < len(covered) and covered[near][0] < b and covered[near][2] != "assign" and not (covered[near][0] <= a and b <= covered[near][1]):
+            near += 1
+        if near < len(covered) and covered[near][0] < b:
+            continue
+        low = max(0, a - REACH)
+        line = max(low, text.rfind(b"\n", low, a))
+        line = max(low, text.rfind(b"\n", low, line) + 1)
+        follows = last is not None and a - last <= REACH and text[last:a].isspace()
+        if not follows and not SENSITIVE.search(text, line, a):
             continue
-        line = text.rfind(b"\n", max(0, a - REACH), a) + 1
-        if SENSITIVE.search(text, max(line, a - REACH, 0), a) and novelty(text[max(0, a - AROUND) : a], found, text[b : b + AROUND]) >= NOVEL:
+        start, end = origin if follows else a, MORE.match(text, b, b + 16 * AROUND).end()
+        if novelty(text[max(0, start - AROUND) : start], found, text[end : end + AROUND]) >= NOVEL * entropy(found):
+            origin, last = start, b
             yield a, b, "novel"
 
 

@@ -216,6 +216,33 @@ def test_novel_secrets():
     assert secret_scan.redacted("token = 'aaaabbbbccccddddeeee1'") == "[SECRET]'"
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PROSE = "They went along the river until evening and spoke about the harvest, which had been poor. " * 3
+
+
+@pytest.mark.parametrize("around", ["", PROSE])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", UPPER + "0123456789", UPPER.lower() + "0123456789", UPPER + UPPER.lower() + "0123456789+/"])
+def test_novel_secrets_of_all_lengths(alphabet, around):
+    rng = random.Random(6)
+    for length in (16, 20, 32, 64, 128, 256, 512, 2048):
+        for _ in range(20):
+            key = "".join(rng.choices(alphabet, k=length - 2)) + "7A"
+            text = f"{around}\nAuthorization: Bearer {key}\n{around}"
+            assert [text[s.start : s.end] for s in secret_scan.scan(text.encode()) if s.kind == "novel"] == [key], (length, key)
+            assert secret_scan.redacted(text) == text.replace(key, "[SECRET]")
+
+
+def test_novel_secrets_below_their_name():
+    rng = random.Random(7)
+    lines = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(12)]
+    assert secret_scan.redacted(f"the api key is:\n{lines[0]}\n") == "the api key is:\n[SECRET]\n"
+    assert secret_scan.redacted(f"a\r\nclient secret\r\n  {lines[0]}") == "a\r\nclient secret\r\n  [SECRET]"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----\n"
+    assert secret_scan.redacted(pem.format("\n".join(lines))) == pem.format("\n".join(["[SECRET]"] * 12))
+    apart = f"api key\nis not here\n{lines[0]}"
+    assert secret_scan.redacted(apart) == apart
+
+
 def test_redact_keeps_columns(hard):
     out = secret_scan.redact(hard)
     assert out.columns == hard.columns
