@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from terradelta.llm.tables import staged
 
-BUCKETS = 1 << 14  # of hashed n-grams; bounds every table of counts or weights
-TARGETS = 100_000  # trusted texts that the target is counted on, about; more are sampled by a hash of doc_id
-PRIOR = 300_000.0  # n-grams of the raw corpus that the target is smoothed with, so that few labels decide little
+BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 17  # of hashed n-grams; the most bound every table of weights to a megabyte
+CHARS = 512  # characters of the corpus for each bucket, between these bounds
+MARKS = 1 << 23  # bits that tell most texts without a trusted label before the exact join
+PRIOR = 1000.0  # least n-grams of the raw corpus that the target is smoothed with
 RATIO = -0.065  # least mean log ratio of a text that is kept
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
@@ -38,8 +40,8 @@ def _settled(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def _bucket(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(BUCKETS - 1))
+def _bucket(x: Column, buckets: int) -> Column:
+    return x.bitwiseAND(F.lit(buckets - 1))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -106,45 +108,76 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return counted.withColumn("n_words", F.size("_hashes").cast("long"))
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``(bucket, raw, target)``: hashed words and word pairs of all texts, and of those whose doc_id is trusted.
+def buckets_for(docs: DataFrame) -> int:
+    """The power of two of buckets that a corpus gets: one for about CHARS characters, within the bounds."""
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, chars // CHARS - 1).bit_length()))
 
-    The last word is paired with the end of the text. Each task sends at most BUCKETS rows.
-    """
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1).cast("long")), "doc_id", "left")
-    hashed = _hashed(marked)
-    grams = hashed.select("_good", F.explode(F.concat("_hashes", "_pairs")).alias("gram")).select("_good", _bucket(F.col("gram")).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("_good"), F.lit(0)).alias("target"))
+
+def _counts(docs: DataFrame, buckets: int, name: str) -> DataFrame:
+    """``(bucket, name)``: hashed words and word pairs of all texts. Each task sends at most a row for each bucket."""
+    grams = _hashed(docs.select("text")).select(F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
+    return grams.groupBy(_bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias(name))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float) -> Column:
-    """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one array of BUCKETS doubles.
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows ``(doc_id, text)`` whose doc_id has a label of quality 1: all of them.
 
-    Target: the texts with a label of quality 1, of which TARGETS are enough; their ids, at most about a
-    megabyte, are broadcast, so that no text is shuffled. Raw: every text. The target is smoothed with
-    ``prior`` n-grams of the raw distribution, so that what it lacks counts against a text by a bounded amount.
+    A bitmap of hashed ids, at most MARKS bits whatever the labels, is broadcast; the rows that it lets pass, few
+    more than the trusted ones while the ids are fewer than the bits, meet the ids in an exact join.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    parts = 1 << 20
-    share = -(-parts * TARGETS // max(TARGETS, trusted.count()))
-    trusted = F.broadcast(trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share))
-    per_bucket = staged(ngram_counts(docs, trusted), "ngrams")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    place, bit = F.shiftright(spot, 6).alias("_place"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    marks = trusted.select(place, bit.alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_marks"))
+    likely = docs.select("doc_id", "text", place, bit.alias("_bit")).join(F.broadcast(staged(marks, "marks")), "_place")
+    likely = likely.where(F.col("_marks").bitwiseAND(F.col("_bit")) != 0).select("doc_id", "text")
+    return likely.join(trusted, "doc_id", "left_semi")
+
+
+def ngram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(bucket, raw, target)``: hashed words and word pairs of all texts, and of all those that ``labels`` trust.
+
+    The last word is paired with the end of the text.
+    """
+    raw, target = _counts(docs, buckets, "raw"), _counts(trusted_texts(docs, labels), buckets, "target")
+    return raw.join(target, "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target"))
+
+
+def prior_for(target: int, buckets: int) -> float:
+    """N-grams of the raw distribution that smooth a target of ``target`` n-grams.
+
+    It grows with the root of the target's size and of the buckets: a small target has noisy counts and is
+    smoothed by more than itself, a large one by a small share, and either can still tell a text from it.
+    """
+    return max(PRIOR, 2 * math.sqrt(target * buckets))
+
+
+def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float | None) -> tuple[Column, int]:
+    """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one array of doubles; and the number of buckets.
+
+    Target: the texts with a label of quality 1. Raw: every text. The target is smoothed with ``prior`` n-grams
+    of the raw distribution (None: by ``prior_for``), so that what it lacks counts against a text by a bounded amount.
+    """
+    buckets = buckets_for(docs)
+    per_bucket = staged(ngram_counts(docs, labels, buckets), "ngrams")
     total = per_bucket.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
     row = total.first()
+    prior = prior_for(row["all_target"], buckets) if prior is None else prior
     p_raw = F.col("raw") / F.lit(float(max(1, row["all_raw"])))
     weight = F.ln((F.col("target") + prior * p_raw) / F.lit(row["all_target"] + prior)) - F.ln(p_raw)
-    rows = per_bucket.where("raw > 0").select("bucket", weight.alias("weight")).collect()  # at most BUCKETS rows
-    weights = dict.fromkeys(range(BUCKETS), "0.0") | {r["bucket"]: repr(r["weight"]) for r in rows}
-    return F.split(F.lit(",".join(weights[b] for b in range(BUCKETS))), ",").cast("array<double>")
+    rows = per_bucket.where("raw > 0").select("bucket", weight.alias("weight")).collect()  # at most MOST_BUCKETS rows
+    weights = dict.fromkeys(range(buckets), "0.0") | {r["bucket"]: repr(r["weight"]) for r in rows}
+    return F.split(F.lit(",".join(weights[b] for b in range(buckets))), ",").cast("array<double>"), buckets
 
 
-def _judged(docs: DataFrame, labels: DataFrame, ratio: float, prior: float) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, ratio: float, prior: float | None) -> DataFrame:
     """``docs`` with all counts, ``llr``, ``base_failed`` and ``kept``."""
-    weights = ratio_weights(docs, labels, prior)
+    weights, buckets = ratio_weights(docs, labels, prior)
     counted = text_counts(docs)
 
     def add(total: Column, gram: Column) -> Column:
-        return total + F.get(weights, _bucket(gram))
+        return total + F.get(weights, _bucket(gram, buckets))
 
     total = F.aggregate("_hashes", F.lit(0.0), add) + F.aggregate("_pairs", F.lit(0.0), add)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -152,7 +185,7 @@ def _judged(docs: DataFrame, labels: DataFrame, ratio: float, prior: float) -> D
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= ratio))
 
 
-def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float = PRIOR) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, the counts, llr, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over half of the words repeated. ``llr`` is the mean log
@@ -165,7 +198,7 @@ def judge(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float
     return _judged(docs.select("doc_id", "text"), labels, ratio, prior).select(*names)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float = PRIOR) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, ratio: float = RATIO, prior: float | None = None) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, decided row by row without a join of texts."""
     inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     return _judged(inner, labels, ratio, prior).where("kept").select("_row.*")

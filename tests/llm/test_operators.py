@@ -95,6 +95,31 @@ def test_quality_ratio_by_hand(spark):
         assert got[d] == pytest.approx(sum(weight[g] for g in x) / 4)
 
 
+def test_quality_verdict_of_few_labels_with_production_values(spark):
+    rng = random.Random(11)
+
+    def made(stem, n):
+        return [" ".join(f"{stem}{int(400 * rng.random() ** 2)}" for _ in range(300)) for _ in range(n)]
+
+    table = list(enumerate(made("fine", 60) + made("junk", 60)))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")  # about 12,000 n-grams
+    kept = {r["doc_id"] for r in quality.keep_good(spark.createDataFrame(table, "doc_id long, text string"), labels).collect()}
+    assert kept == set(range(60))
+
+
+def test_quality_target_counts_every_trusted_text(spark):
+    made = [(i, " ".join(f"t{i}x{j}" for j in range(60))) for i in range(90)]
+    table = spark.createDataFrame([*made, made[0]], "doc_id long, text string")
+    labels = spark.range(400_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    counts = quality.ngram_counts(table, labels).collect()
+    assert sum(r["raw"] for r in counts) == 91 * 120 and all(r["raw"] == r["target"] for r in counts)
+    some = quality.ngram_counts(table, labels.where("doc_id % 3 = 0").union(labels.where("doc_id = 0"))).collect()
+    assert sum(r["target"] for r in some) == 31 * 120
+    assert all(r["llr"] == pytest.approx(0, abs=1e-9) for r in quality.judge(table, labels).collect())
+    assert quality.buckets_for(table) == quality.BUCKETS and quality.buckets_for(table.limit(0)) == quality.BUCKETS
+    assert quality.buckets_for(spark.range(100).select(F.repeat(F.lit("a"), 200_000).alias("text"))) == 1 << 16
+
+
 def test_simhash_groups(docs, hard):
     for table in (docs, hard.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
         prints = [(d, plain.fingerprint(t)) for d, t in texts(table)]
