@@ -20,7 +20,6 @@ from terradelta.llm.tables import slices, staged
 
 SEQUENCE = 1024  # tokens
 ROUND = 64 * SEQUENCE  # tokens of a window in which every source has its share
-MAX_QUEUES = 4096  # more sources than this share queues by a hash; bounds what a task and the driver hold
 CACHED = 400_000  # words whose ids a task remembers
 END = 0  # the id that ends a document
 _BLOCK = 4096  # rounds whose totals are summed up together
@@ -86,9 +85,7 @@ def packets(docs: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     ``part`` is the task that made a packet and ``before`` the tokens of the same queue that the task met
     before it: with the totals of the tasks these give every packet its place in its queue.
     """
-    many = docs.select("source").distinct().count() > MAX_QUEUES
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    queue = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string") if many else source
+    queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(), TaskContext.get().partitionId()
@@ -134,11 +131,10 @@ def schedule(tokens: DataFrame, window: int = ROUND) -> DataFrame:
     """
     slim = tokens.groupBy("part", "queue").agg(F.sum("length").alias("tokens"))
     sums = staged(slim, "queues")  # a row for each task and queue
-    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
-    rounds = max(1, -(-sum(totals.values()) // window))
-    quanta = sums.sparkSession.createDataFrame(
-        [(queue, max(1, -(-n // rounds))) for queue, n in totals.items()], "queue string, quantum long"
-    )  # at most MAX_QUEUES rows
+    total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    rounds = max(1, -(-total // window))
+    share = F.expr(f"greatest(1, (sum(tokens) + {rounds - 1}) div {rounds})")
+    quanta = staged(sums.groupBy("queue").agg(share.alias("quantum")), "quanta")
     offsets = sums.withColumn("ahead", _ahead("tokens", ["part"], ["queue"])).join(quanta, "queue")
     placed = tokens.join(staged(offsets.drop("tokens"), "offsets"), ["part", "queue"])
     at = F.col("ahead") + F.col("before")

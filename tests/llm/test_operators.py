@@ -335,6 +335,20 @@ def test_packing_keeps_the_mixture(spark):
             assert abs(r["n"] - share[r["queue"]] * window) <= 2 * packing.SEQUENCE
 
 
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
+    made = [(i, "word " * 20, f"s{i}") for i in range(4200)] + [(5000 + i, "word " * 400, "hot") for i in range(200)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string")
+    window = 16 * packing.SEQUENCE
+    pieces = packing.pack(table, window=window, ids=False).collect()
+    sources = {i: s for i, _, s in made}
+    assert all(p["queue"] == sources[p["doc_id"]] for p in pieces)
+    total = sum(p["length"] for p in pieces)
+    hot = [0] * (1 + max(p["round"] for p in pieces))
+    for p in pieces:
+        hot[p["round"]] += p["length"] * (p["queue"] == "hot")
+    assert len(hot) >= 9 and all(abs(n - sum(hot) / total * window) <= 2 * packing.SEQUENCE for n in hot[:-1])
+
+
 def test_suffixes(docs, spark):
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(75)]
