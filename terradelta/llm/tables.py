@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names. Where it is unset, as in tests on one machine, a new local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """The folder ``spark.checkpoint.dir`` names. Where it is unset, a new local one on one machine, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+    return folder or _local_folder()
 
 
 @cache
