@@ -52,8 +52,64 @@ marked AS (SELECT *, CASE WHEN i <= 50 + lag(i) OVER (PARTITION BY doc_id ORDER
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked)
 SELECT doc_id, min(i) AS first_word, max(i) + 50 AS end_word FROM runs GROUP BY doc_id, run"""
 
+_AUDIT = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+      FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN min(w.doc_id) OVER (PARTITION BY body) < w.doc_id THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM f a, f b, f c, f e, f g
+           WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (
+  SELECT part, filter_order, step, x,
+         count(*) FILTER (NOT contains(failed, x) AND translate(failed, before, '') = failed) AS kept,
+         count(*) FILTER (contains(failed, x) AND translate(failed, before, '') = failed) AS removed,
+         count(*) FILTER (contains(failed, x) AND translate(failed, before, '') <> failed) AS redundant,
+         count(*) FILTER (failed = x) AS unique_fails,
+         sum(good) FILTER (contains(failed, x) AND translate(failed, before, '') = failed) AS good_lost,
+         sum(bad) FILTER (contains(failed, x) AND translate(failed, before, '') = failed) AS toxic_lost
+  FROM d, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted"""
+
+_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+stats AS (SELECT count(*) FILTER (len(words) > 0) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM d)
+       WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM tf, stats GROUP BY term, docs),
+scored AS (SELECT item_id, row, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+           FROM tf JOIN weight USING (term) JOIN q USING (term), stats GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
+_EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
 ORACLE: dict[str, str] = {
     "op1_url_filter": _URLS,
     "op7_suffix_dedup": _REPEATS,
     "op10_decontaminate": _CONTAMINATION,
+    "op11_filter_audit": _AUDIT,
+    "op12_ranked_search": _SEARCH,
+    "op13_exact_dedup": _EXACT,
 }

@@ -8,7 +8,21 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import decontaminate, extraction, language, licenses, packing, quality, secret_scan, simhash, suffixes, url_filter
+from terradelta.llm import (
+    decontaminate,
+    exact_dedup,
+    extraction,
+    filter_audit,
+    language,
+    licenses,
+    packing,
+    quality,
+    ranked_search,
+    secret_scan,
+    simhash,
+    suffixes,
+    url_filter,
+)
 
 #: Block (True) and allow (False) rules on host and path.
 URL_RULES = {"net/": True, "example.net/en/": False, "example.com/de/": True, "org/fr/": False}
@@ -113,6 +127,20 @@ def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+    stays = exact_dedup.kept(F.col("doc_id"), F.col("keep_id"))
+    return found.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter_query,
     "op2_language": language_query,
@@ -124,4 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing_query,
     "op9_secret_scan": secrets_query,
     "op10_decontaminate": decontaminate_query,
+    "op11_filter_audit": audit_query,
+    "op12_ranked_search": search_query,
+    "op13_exact_dedup": exact_dedup_query,
 }
