@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terradelta.functions.utm import to_utm
+from terradelta.functions.projection import is_supported, to_crs
 
 
 def closed(ring: Column) -> Column:
@@ -70,14 +70,17 @@ def ring_to_wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON(("), F.array_join(points, ", "), F.lit("))"))
 
 
-def ring_to_utm(ring: Column, epsg: Column) -> Column:
-    """A lon/lat ring projected vertex by vertex to a planar ring in metres."""
+def ring_to_crs(ring: Column, epsg: Column) -> Column:
+    """A lon/lat ring projected vertex by vertex to a planar ring in the raster's CRS; null where that is not supported."""
 
     def project(p: Column) -> Column:
-        x, y = to_utm(p[0], p[1], epsg)
+        x, y = to_crs(p[0], p[1], epsg)
         return F.struct(x.alias("x"), y.alias("y"))
 
-    return F.transform(ring, project)
+    return F.when(is_supported(epsg), F.transform(ring, project))
+
+
+ring_to_utm = ring_to_crs  # for callers that know their rasters to be in UTM
 
 
 def ring_to_pixels(ring: Column, x0: Column, y0: Column, px: Column, py: Column) -> Column:

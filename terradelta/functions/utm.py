@@ -39,6 +39,11 @@ def zone_of(epsg: Column) -> Column:
     return F.pmod(epsg, F.lit(100))
 
 
+def is_utm(epsg: Column) -> Column:
+    """Whether an EPSG code is one of the 60 zones, north or south."""
+    return epsg.between(32601, 32660) | epsg.between(32701, 32760)
+
+
 def is_south(epsg: Column) -> Column:
     return epsg >= 32700
 
@@ -56,7 +61,7 @@ def _atanh(x: Column) -> Column:
 
 
 def to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres of a longitude/latitude in degrees."""
+    """Easting and northing in metres of a longitude/latitude in degrees; null unless ``epsg`` is a UTM zone."""
     phi = F.radians(lat)
     dlam = F.radians(lon) - _central_meridian(epsg)
     conformal = F.sinh(_atanh(F.sin(phi)) - _atanh(F.sin(phi) * ECCENTRICITY) * ECCENTRICITY)
@@ -67,11 +72,11 @@ def to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
         east = east + F.cos(xi * (2.0 * j)) * F.sinh(eta * (2.0 * j)) * a
         north = north + F.sin(xi * (2.0 * j)) * F.cosh(eta * (2.0 * j)) * a
     k = SCALE * RECTIFYING_RADIUS
-    return east * k + FALSE_EASTING, north * k + _false_northing(epsg)
+    return F.when(is_utm(epsg), east * k + FALSE_EASTING), F.when(is_utm(epsg), north * k + _false_northing(epsg))
 
 
 def from_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of an easting/northing in metres."""
+    """Longitude and latitude in degrees of an easting/northing in metres; null unless ``epsg`` is a UTM zone."""
     k = SCALE * RECTIFYING_RADIUS
     xi0 = (y - _false_northing(epsg)) / k
     eta0 = (x - FALSE_EASTING) / k
@@ -84,4 +89,4 @@ def from_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     for j, d in enumerate(DELTA, start=1):
         phi = phi + F.sin(chi * (2.0 * j)) * d
     lam = F.atan2(F.sinh(eta), F.cos(xi)) + _central_meridian(epsg)
-    return F.degrees(lam), F.degrees(phi)
+    return F.when(is_utm(epsg), F.degrees(lam)), F.when(is_utm(epsg), F.degrees(phi))

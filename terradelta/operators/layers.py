@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.functions import spectral
-from terradelta.functions.utm import from_utm
+from terradelta.functions.projection import from_crs
 from terradelta.operators import bitrows, morphology
 from terradelta.operators.bands import change_flags, rgb_of
 from terradelta.operators.metrics import class_words
@@ -81,7 +81,7 @@ def side_by_side(panels: Sequence[DataFrame], widths: DataFrame, keys: Sequence[
 def lonlat_points(points: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Add the lat and lon of pixel centres."""
     placed = pixel_xy(points, meta, on, ["epsg"])
-    lon, lat = from_utm(F.col("x"), F.col("y"), F.col("epsg"))
+    lon, lat = from_crs(F.col("x"), F.col("y"), F.col("epsg"))
     return placed.withColumns({"lat": lat, "lon": lon}).drop("x", "y", "epsg")
 
 

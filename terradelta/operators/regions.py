@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradelta.functions import rings
 from terradelta.functions.numbers import floor_div
-from terradelta.functions.utm import from_utm
-from terradelta.operators.bitrows import TILE_ROWS, bit_at, core_width, position_of, shift_left
+from terradelta.functions.projection import from_crs
+from terradelta.operators.bitrows import TILE_ROWS, bit_at, core_bits, core_width, position_of, shift_left
 from terradelta.session import fan_out
 
 # Fixed value: points added between the corners of each edge when bounds are projected.
@@ -32,9 +32,9 @@ def pixel_xy(
 
 def place_rings(regions: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Add ``ring``: the lon/lat ``coords`` in fractional (col, row) coordinates of the raster."""
-    utm = rings.ring_to_utm(F.col("coords"), F.col("epsg"))
+    projected = rings.ring_to_crs(F.col("coords"), F.col("epsg"))
     return place_planar_rings(
-        regions.join(meta, list(on)).withColumn("planar_ring", utm)
+        regions.join(meta, list(on)).withColumn("planar_ring", projected)
     ).drop("planar_ring")
 
 
@@ -80,63 +80,74 @@ def touching(windows: DataFrame) -> DataFrame:
     return windows.where("crop_width > 0 and crop_height > 0")
 
 
-def burn(windows: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
+def burn(windows: DataFrame, keys: Sequence[str], halo: int, carry: Sequence[str] = ()) -> DataFrame:
     """Polygons as packed masks: one row per raster row and word of each crop window.
 
-    ``inside`` has a bit set where a pixel centre lies in the ring (even-odd rule). A row's crossings
-    with the ring edges are found once, so no polygon test runs per pixel. Output: keys, tile_row,
-    word, row, inside, col_min, col_max.
+    ``inside`` has a bit set where a pixel centre lies in the ring (even-odd rule). Every edge is swept on its
+    own: it becomes one row for each raster row that it crosses, which flips all pixels to its right. A word's
+    own crossings are united by a grouped exclusive or, those to its left by their parity, so a border of many
+    edges costs its crossings and not edges times rows. Output: keys, carry, tile_row, word, row, inside,
+    col_min, col_max.
     """
     core = core_width(halo)
-    y = F.col("row") + 0.5
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    limits = [*keys, *carry, "row_min", "row_max", "col_min", "col_max"]
     first_tile, last_tile = (floor_div(F.col(c), TILE_ROWS) for c in ("row_min", "row_max"))
-    # a few windows can unfold to many rows: deal out their tiles before that
-    tiles = windows.select(
-        *keys,
-        "row_min",
-        "row_max",
-        "col_min",
-        "col_max",
-        rings.edges(F.col("ring")).alias("edges"),
-        F.explode(F.sequence(first_tile, last_tile)).alias("tile_row"),
-    ).repartition(fan_out(windows.sparkSession), *keys, "tile_row")
+    tiles = windows.select(*limits, F.explode(F.sequence(first_tile, last_tile)).alias("tile_row"))
+    nothing = {"at_row": F.lit(None).cast("long"), "at_word": F.lit(None).cast("long"), "flipped": zero, "crossings": zero}
+    dealt = (
+        tiles.withColumns(nothing)
+        .unionByName(_crossings(windows.select(*limits, "ring"), core, halo))
+        # a few windows can unfold to many rows: deal out their tiles before that
+        .repartition(fan_out(windows.sparkSession), *keys, "tile_row")
+    )
     top = F.greatest(F.col("row_min"), F.col("tile_row") * TILE_ROWS)
     bottom = F.least(F.col("row_max"), F.col("tile_row") * TILE_ROWS + (TILE_ROWS - 1))
-    rows = tiles.withColumn("row", F.explode(F.sequence(top, bottom)))
-    crossing = F.filter("edges", lambda e: (e["y1"] > y) != (e["y2"] > y))
-    at = F.transform(
-        crossing, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+    words = F.sequence(floor_div(F.col("col_min"), core), floor_div(F.col("col_max"), core))
+    crossed = F.col("at_row").isNotNull()
+    rows = dealt.withColumn("row", F.explode(F.when(crossed, F.array("at_row")).otherwise(F.sequence(top, bottom))))
+    cells = rows.withColumn("word", F.explode(F.when(crossed, F.array("at_word")).otherwise(words)))
+    united = cells.groupBy(*limits, "tile_row", "row", "word").agg(
+        F.bit_xor("flipped").alias("flipped"), F.sum("crossings").alias("crossings")
     )
-    cut = rows.select(
+    before = Window.partitionBy(*keys, "tile_row", "row").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("crossings").over(before), zero).bitwiseAND(one) == 1
+    whole = F.when(odd, shift_left(F.lit(-1).cast("long"), halo)).otherwise(zero)
+    return united.select(
         *keys,
+        *carry,
         "tile_row",
+        "word",
         "row",
+        F.col("flipped").bitwiseXOR(whole).bitwiseAND(core_bits(halo)).alias("inside"),
         "col_min",
         "col_max",
-        at.alias("at"),
-        F.explode(
-            F.sequence(floor_div(F.col("col_min"), core), floor_div(F.col("col_max"), core))
-        ).alias("word"),
     )
-    first = F.col("word") * core
 
-    def bits_from(x):
-        """The word's pixels whose centre is at or right of x."""
-        ahead = F.ceil(x - 0.5) - first
-        skipped = F.least(F.greatest(ahead, F.lit(0).cast("long")), F.lit(core).cast("long"))
-        return shift_left(F.lit(-1).cast("long"), (skipped + halo).cast("int"))
 
-    # Each crossing flips every pixel to its right; an even count leaves it outside.
-    inside = F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bits_from(x)))
-    return cut.select(
-        *keys,
-        "tile_row",
-        "word",
-        "row",
-        inside.alias("inside"),
-        "col_min",
-        "col_max",
-    )
+def _crossings(windows: DataFrame, core: int, halo: int) -> DataFrame:
+    """One row per ring edge and raster row that it crosses, with the word where it does.
+
+    An edge crosses the rows whose centre lies at or below its upper end and above its lower one, so that no
+    vertex counts twice. Crossings right of the window flip nothing and are left out.
+    """
+    edges = windows.select("*", F.explode(rings.edges(F.col("ring"))).alias("e")).drop("ring").select("*", "e.*").drop("e")
+    upper, lower = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first = F.greatest(F.ceil(upper - 0.5), F.col("row_min"))
+    last = F.least(F.ceil(lower - 0.5) - 1, F.col("row_max"))
+    swept = edges.where(first <= last).withColumn("at_row", F.explode(F.sequence(first, last)))
+    y = F.col("at_row") + 0.5
+    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    met = swept.where((F.col("y1") > y) != (F.col("y2") > y)).withColumn("at_col", F.greatest(F.ceil(at - 0.5), F.col("col_min")))
+    placed = met.where("at_col <= col_max").withColumn("at_word", floor_div(F.col("at_col"), core))
+    skipped = (F.col("at_col") - F.col("at_word") * core + halo).cast("int")
+    return placed.withColumns(
+        {
+            "tile_row": floor_div(F.col("at_row"), TILE_ROWS),
+            "flipped": shift_left(F.lit(-1).cast("long"), skipped),
+            "crossings": F.lit(1).cast("long"),
+        }
+    ).drop("x1", "y1", "x2", "y2", "at_col")
 
 
 def clip(px: DataFrame, masks: DataFrame, on: Sequence[str], halo: int, values: Sequence[str]) -> DataFrame:
@@ -178,7 +189,7 @@ def bounds_center(meta: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFra
             )
         ),
     )
-    lon, lat = from_utm(F.col("x"), F.col("y"), F.col("epsg"))
+    lon, lat = from_crs(F.col("x"), F.col("y"), F.col("epsg"))
     return (
         points.select(*keys, lon.alias("lon"), lat.alias("lat"))
         .groupBy(*keys)

@@ -95,7 +95,12 @@ JOB = ("aoi_id", "ring_key", "date1", "date2")
 
 
 def distinct_jobs(resolved: DataFrame) -> DataFrame:
-    """One row per distinct (AOI, ring, dates); equal requests are computed once."""
-    return resolved.groupBy(*JOB).agg(
-        F.min("request_id").alias("job_id"), F.first("coords").alias("coords")
+    """One row per distinct (AOI, ring, dates); equal requests are computed once.
+
+    ``job_id`` is a digest of what the job computes, so requests that share an id, or have none, keep their
+    own jobs, and the same job has the same id in every batch. ``first_request`` is its smallest request_id.
+    """
+    distinct = resolved.groupBy(*JOB).agg(
+        F.min("request_id").alias("first_request"), F.first("coords").alias("coords")
     )
+    return distinct.withColumn("job_id", F.xxhash64(*JOB))

@@ -49,7 +49,7 @@ class Detection:
 
     resolved: DataFrame  # request_id, aoi_id, ring_key, coords, date1, date2
     rejected: DataFrame  # request_id, aoi_id, reason
-    jobs: DataFrame  # distinct work items with their placed ring and crop window
+    jobs: DataFrame  # distinct work items with their placed ring and crop window; first_request names one that asks
     pairs: DataFrame  # clipped pixels of both dates per job, laid out by word
     words: DataFrame  # cleaned packed masks per job
     meta: DataFrame
@@ -69,13 +69,17 @@ class Detection:
     def complete_words(self) -> DataFrame:
         return self.words.join(self.complete_jobs(), list(KEYS), "left_semi")
 
-    def incomplete(self) -> DataFrame:
-        """Requests whose rectangle lacks pixels or bands, with what it lacks."""
+    def _gaps(self) -> DataFrame:
+        """What the rectangles of jobs lack."""
         values = [F.count(f"{b}_{i}").alias(f"n_{b}_{i}") for i in (1, 2) for b in bands.BAND_COLUMNS]
         counted = self.pairs.groupBy("job_id").agg(*values)
         judged = self.jobs.join(counted, "job_id").withColumn("reason", _issues()).where("reason <> ''")
+        return judged.select(*requests.JOB, "reason")
+
+    def incomplete(self) -> DataFrame:
+        """Requests whose rectangle lacks pixels or bands, with what it lacks."""
         asked = self.resolved.select("request_id", *requests.JOB)
-        return asked.join(judged.select(*requests.JOB, "reason"), list(requests.JOB)).select("request_id", "aoi_id", "reason")
+        return asked.join(self._gaps(), list(requests.JOB)).select("request_id", "aoi_id", "reason")
 
     def metrics(self) -> DataFrame:
         """One row per request: counts, areas and class areas."""
@@ -91,9 +95,10 @@ class Detection:
         """Resolved requests without a result: no raster, no scene of one of the dates, or an incomplete rectangle."""
         served = self.complete_jobs().join(self.jobs, list(KEYS)).select(*requests.JOB)
         missing = self.resolved.join(served, list(requests.JOB), "left_anti")
-        why = self.incomplete().where("reason NOT LIKE '%no pixels on%'").select("request_id", "reason")
+        # a job that lacks all pixels of one date keeps the general reason unless the other date has gaps of its own
+        why = self._gaps().where("reason NOT RLIKE '^no pixels on [-0-9]+(; no pixels on [-0-9]+)?$'")
         reason = F.coalesce("reason", F.lit(UNSERVED_REASON)).alias("reason")
-        return missing.join(why, "request_id", "left").select("request_id", "aoi_id", reason)
+        return missing.join(why, list(requests.JOB), "left").select("request_id", "aoi_id", reason)
 
     def masks(self) -> DataFrame:
         """The cleaned mask and the three classes per pixel, as 0/1."""
@@ -149,7 +154,7 @@ def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
     A small table; the exchanges that its readers share are computed once.
     """
     placed = regions.place_rings(requests.distinct_jobs(resolved), meta)
-    columns = ["job_id", *requests.JOB, "coords", "ring"]
+    columns = ["job_id", "first_request", *requests.JOB, "coords", "ring"]
     window = ["row_min", "row_max", "col_min", "col_max", "crop_width", "crop_height"]
     window += ["epsg", "crop_x0", "crop_y0", "px", "py"]
     jobs = regions.crop_window(placed).select(*columns, *window)
@@ -160,14 +165,15 @@ def pixels_in_reach(pixels: DataFrame, jobs: DataFrame) -> DataFrame:
     """Drop pixels of tiles and dates no job needs, before they are laid out.
 
     Always a semi join on (raster, date, tile_row); where stored pixels are partitioned by these, it also
-    keeps their files from being read. Spark chooses how to join by measured sizes.
+    keeps their files from being read. Spark chooses how to join by measured sizes. The list of tiles is dealt
+    out by the whole key: left where the jobs are, by raster alone, it would draw the pixels there.
     """
     tiles = F.sequence(floor_div(F.col("row_min"), bitrows.TILE_ROWS), floor_div(F.col("row_max"), bitrows.TILE_ROWS))
     needed = bands.by_date(jobs.select("aoi_id", "date1", "date2", F.explode(tiles).alias("tile_row")))
     if "tile_row" not in pixels.columns:
         pixels = pixels.withColumn("tile_row", floor_div(F.col("row"), bitrows.TILE_ROWS))
     on = ["aoi_id", "scene_date", "tile_row"]
-    return pixels.join(needed.select(*on).distinct(), on, "left_semi")
+    return pixels.join(needed.select(*on).repartition(*on).distinct(), on, "left_semi")
 
 
 def clipped_pairs(pixels: DataFrame, jobs: DataFrame, halo: int) -> DataFrame:

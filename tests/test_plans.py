@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from terradelta.operators import bands, bitrows, metrics, morphology
+from terradelta.operators import bands, bitrows, metrics, morphology, regions
 from terradelta.plans.detect import clipped_pairs, detect_changes
 from terradelta.sources import rasters
 from verification import fixtures as fx
@@ -73,6 +73,33 @@ def test_pixels_are_shuffled_once_until_they_are_packed(no_broadcast, sf_dir, st
     assert "dynamicpruning" in plan.lower()
 
 
+@pytest.mark.parametrize("every_key", ["true", "false"])
+def test_pixels_stored_by_tile_never_move_by_raster_alone(no_broadcast, sf_dir, tmp_path, every_key):
+    spark, name = no_broadcast, "spark.sql.requireAllClusterKeysForCoPartition"
+    rasters.write_raster(fx.dated(spark, sf_dir), str(tmp_path / "stored"), "bands")
+    usual = spark.conf.get(name)
+    spark.conf.set(name, every_key)
+    try:
+        found = detect_changes(
+            fx.requests(spark, sf_dir), rasters.read_raster(spark, str(tmp_path / "stored")), fx.aois(spark, sf_dir), fx.raster_meta(spark, sf_dir)
+        )
+        plan = plan_of(found.words)
+    finally:
+        spark.conf.set(name, usual)
+    scans = [part for part in re.split(r"(?=Exchange )", plan) if "b02#" in part and "FileScan" in part]
+    assert scans and all(re.match(r"Exchange hashpartitioning\(aoi_id#\d+, scene_date#\d+, (cast\()?tile_row#\d+", part) for part in scans)
+    assert "dynamicpruning" in plan.lower()
+
+
+def test_edges_are_swept_one_by_one(spark, sf_dir):
+    windows = regions.crop_window(regions.place_planar_rings(fx.planar_regions(spark, sf_dir)))
+    burned = regions.burn(windows, ["aoi_id"], 4)
+    plan = burned._jdf.queryExecution().optimizedPlan().toString()
+    rows = plan.index("Generate explode")  # the last to unfold
+    assert "bit_xor(flipped" in plan and "edges" not in plan[:rows] and "filter(" not in plan
+    assert "Generate explode(zip_with(" in plan  # one row for each edge, before rows or words unfold
+
+
 def test_band_scan_reads_only_what_it_needs(spark, stored):
     df = rasters.read_pixels(spark, stored, ["B04"]).where("scene_date = '2024-02-28'").select("dn")
     plan = plan_of(df)

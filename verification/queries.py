@@ -611,6 +611,13 @@ def _detection(spark, sf):
     )
 
 
+def _by_request(detection, df):
+    """Jobs named by the smallest id among the requests that share them."""
+    names = detection.jobs.select("job_id", "first_request")
+    named = df.join(names, "job_id").withColumn("job_id", F.col("first_request")).drop("first_request")
+    return named
+
+
 def _plain_dates(df):
     return df.withColumns({d: F.col(d).cast("string") for d in ("date1", "date2")})
 
@@ -631,31 +638,35 @@ def detect_changes_wide(spark, sf):
 
 @query
 def detect_points(spark, sf):
-    points = _detection(spark, sf).points()
-    return _plain_dates(points.drop("n"))
+    found = _detection(spark, sf)
+    return _plain_dates(_by_request(found, found.points().drop("n")))
 
 
 @query
 def detect_masks(spark, sf):
-    return _plain_dates(_detection(spark, sf).masks())
+    found = _detection(spark, sf)
+    return _plain_dates(_by_request(found, found.masks()))
 
 
 @query
 def detect_overlay(spark, sf):
-    return _plain_dates(_detection(spark, sf).overlay())
+    found = _detection(spark, sf)
+    return _plain_dates(_by_request(found, found.overlay()))
 
 
 @query
 def detect_features(spark, sf):
-    features = _detection(spark, sf).features()
-    return _plain_dates(_read_features(features, ["job_id", "aoi_id", "date1", "date2"]))
+    found = _detection(spark, sf)
+    features = _read_features(found.features(), ["job_id", "aoi_id", "date1", "date2"])
+    return _plain_dates(_by_request(found, features))
 
 
 @query
 def job_bounds(spark, sf):
-    box = _plain_dates(_detection(spark, sf).bounds())
+    found = _detection(spark, sf)
+    box = _plain_dates(found.bounds())
     keys = ["job_id", "aoi_id", "date1", "date2"]
-    return box.select(*keys, *[_round(F.col(c), 6).alias(c) for c in box.columns[4:]])
+    return _by_request(found, box.select(*keys, *[_round(F.col(c), 6).alias(c) for c in box.columns[4:]]))
 
 
 @query
@@ -681,41 +692,41 @@ def detect_complete_only(spark, sf):
     return _plain_dates(_gappy(spark, sf).metrics())
 
 
-def _through_sink(spark, raster, kind, dates=("date1", "date2")):
+def _through_sink(spark, found, raster, kind, dates=("date1", "date2")):
     """A job's rasters written and read back; a second write of one job must leave the others in place."""
     folder, keys = _scratch(spark), ("job_id", "aoi_id")
     rasters.write_raster(raster, folder, kind, keys, dates)
     one = raster.where(F.col("job_id") % 7 == 3)
     rasters.write_raster(one, folder, kind, keys, dates)
     back = rasters.read_raster(spark, folder).withColumns({d: F.col(d).cast("string") for d in dates})
-    back = back.withColumn("job_id", F.col("job_id").cast("long"))
+    back = _by_request(found, back.withColumn("job_id", F.col("job_id").cast("long")))
     return back.select("job_id", "aoi_id", *dates, "row", "col", *rasters.KINDS[kind])
 
 
 @query
 def mask_sink(spark, sf):
-    return _through_sink(spark, _detection(spark, sf).masks(), "mask")
+    return _through_sink(spark, (found := _detection(spark, sf)), found.masks(), "mask")
 
 
 @query
 def overlay_sink(spark, sf):
-    return _through_sink(spark, _detection(spark, sf).overlay(), "overlay")
+    return _through_sink(spark, (found := _detection(spark, sf)), found.overlay(), "overlay")
 
 
 @query
 def rgb_sink(spark, sf):
-    return _through_sink(spark, _detection(spark, sf).rasters(), "rgb", ("date1", "date2", "scene_date"))
+    return _through_sink(spark, (found := _detection(spark, sf)), found.rasters(), "rgb", ("date1", "date2", "scene_date"))
 
 
 @query
 def ndvi_sink(spark, sf):
-    back = _through_sink(spark, _detection(spark, sf).rasters(), "ndvi", ("date1", "date2", "scene_date"))
+    back = _through_sink(spark, (found := _detection(spark, sf)), found.rasters(), "ndvi", ("date1", "date2", "scene_date"))
     return back.withColumn("ndvi", _round(F.col("ndvi").cast("double"), 6))
 
 
 @query
 def ndwi_sink(spark, sf):
-    back = _through_sink(spark, _detection(spark, sf).rasters(), "ndwi", ("date1", "date2", "scene_date"))
+    back = _through_sink(spark, (found := _detection(spark, sf)), found.rasters(), "ndwi", ("date1", "date2", "scene_date"))
     return back.withColumn("ndwi", _round(F.col("ndwi").cast("double"), 6))
 
 
@@ -723,11 +734,12 @@ def ndwi_sink(spark, sf):
 def feature_sink(spark, sf):
     """Features written as text and read back: the text alone tells the request."""
     folder = _scratch(spark)
-    sinks.write_features(_detection(spark, sf).features(), folder)
+    found = _detection(spark, sf)
+    sinks.write_features(found.features(), folder)
     whose = F.from_json("value", "properties struct<job_id string, aoi_id string, date1 string, date2 string>").properties
     text = spark.read.text(folder).select("layer", F.col("value").alias("feature"), whose.alias("w"))
     keyed = text.select(F.col("w.job_id").cast("long").alias("job_id"), "w.aoi_id", "w.date1", "w.date2", "layer", "feature")
-    return _read_features(keyed, ["job_id", "aoi_id", "date1", "date2"])
+    return _by_request(found, _read_features(keyed, ["job_id", "aoi_id", "date1", "date2"]))
 
 
 @query
