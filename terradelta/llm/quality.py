@@ -8,11 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terradelta.llm.membership import listed_rows
 from terradelta.llm.tables import staged
 
 BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 17  # of hashed n-grams; the most bound every table of weights to a megabyte
 CHARS = 512  # characters of the corpus for each bucket, between these bounds
-MARKS = 1 << 23  # bits that tell most texts without a trusted label before the exact join
 PRIOR = 1000.0  # least n-grams of the raw corpus that the target is smoothed with
 RATIO = -0.065  # least mean log ratio of a text that is kept
 MIN_WORDS = 50
@@ -121,18 +121,12 @@ def _counts(docs: DataFrame, buckets: int, name: str) -> DataFrame:
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows ``(doc_id, text)`` whose doc_id has a label of quality 1: all of them.
+    """The rows ``(doc_id, text)`` whose doc_id has a label of quality 1: all of them, and none of the texts moves.
 
-    A bitmap of hashed ids, at most MARKS bits whatever the labels, is broadcast; the rows that it lets pass, few
-    more than the trusted ones while the ids are fewer than the bits, meet the ids in an exact join.
+    Ids meet ids; the answer goes out as a cascade of bounded bitmaps that is exact (``membership.listed_rows``).
     """
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
-    place, bit = F.shiftright(spot, 6).alias("_place"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
-    marks = trusted.select(place, bit.alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_marks"))
-    likely = docs.select("doc_id", "text", place, bit.alias("_bit")).join(F.broadcast(staged(marks, "marks")), "_place")
-    likely = likely.where(F.col("_marks").bitwiseAND(F.col("_bit")) != 0).select("doc_id", "text")
-    return likely.join(trusted, "doc_id", "left_semi")
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    return listed_rows(docs.select("doc_id", "text"), "doc_id", trusted)
 
 
 def ngram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
