@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradelta.llm.tables import staged
+from terradelta.llm.tables import drop_staged, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,14 +17,22 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie the larger neighbours of each node to the smallest of its neighbours and itself."""
     least = staged(edges.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("least")), "least")
-    return edges.join(least, "lo", "left").select("hi", F.coalesce("least", "lo").alias("lo"))
+    tied = edges.join(least, "lo", "left").select("hi", F.coalesce("least", "lo").alias("lo"))
+    return _written(tied.distinct(), "large", least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie the smaller neighbours of each node, and the node, to the smallest of them."""
     least = staged(edges.groupBy("hi").agg(F.min("lo").alias("least")), "least")
     moved = edges.join(least, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-    return moved.union(least.select("hi", F.col("least").alias("lo")))
+    return _written(moved.union(least.select("hi", F.col("least").alias("lo"))).distinct(), "small", least)
+
+
+def _written(edges: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """``edges`` staged; what they were made of goes."""
+    table = staged(edges, name)
+    drop_staged(*used)
+    return table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,6 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("hi > lo").select("hi", "lo").distinct(), "edges")
     before, now = None, _state(edges)
     while now != before:
-        edges = staged(_small_star(staged(_large_star(edges).distinct(), "large")).distinct(), "small")
+        large = _large_star(edges)
+        drop_staged(edges)
+        edges = _small_star(large)
+        drop_staged(large)
         before, now = now, _state(edges)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
