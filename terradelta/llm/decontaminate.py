@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terradelta.llm.membership import fresh
 from terradelta.llm.tables import slices, utf8
 from terradelta.llm.words import terms
 
@@ -55,7 +56,7 @@ def _chunks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, by
     sized = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-    )
+    ).distinct()
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-total // (2 * max_words)))  # a word and its separator take two characters at least
     for part in range(parts):
@@ -63,11 +64,12 @@ def _chunks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, by
         yield [(r["item_id"], r["text"].encode()) for r in rows]
 
 
-def _hits(frame: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
-    """``frame`` with the hit word ranges of its ``text`` in ``hit_spans`` and the items in ``hit_items``."""
+def _hits(frame: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> tuple[DataFrame, str, str]:
+    """``frame`` with the hit word ranges of its ``text`` and the items, in two new columns; and their names."""
+    hit_spans, hit_items = (fresh(frame.columns, n) for n in ("hit_spans", "hit_items"))
     found = frame.withColumns({
-        "hit_spans": F.lit(None).cast("array<struct<first:long,last:long>>"),
-        "hit_items": F.lit(None).cast("array<string>"),
+        hit_spans: F.lit(None).cast("array<struct<first:long,last:long>>"),
+        hit_items: F.lit(None).cast("array<string>"),
     })
     for items in _chunks(benchmark, max_words):
         sent = frame.sparkSession.sparkContext.broadcast(items)
@@ -77,17 +79,17 @@ def _hits(frame: DataFrame, benchmark: DataFrame, window: int, max_words: int) -
             for part in slices(batches):
                 columns = dict(zip(part.schema.names, part.columns))
                 spans, names = [], []
-                for text, old, who in zip(utf8(columns["text"]), columns["hit_spans"].to_pylist(), columns["hit_items"].to_pylist()):
+                for text, old, who in zip(utf8(columns["text"]), columns[hit_spans].to_pylist(), columns[hit_items].to_pylist()):
                     new, items = automaton.scan(terms(text))
                     merged = united([(s["first"], s["last"]) for s in old or ()] + new)
                     spans.append([{"first": a, "last": b} for a, b in merged])
                     names.append(sorted(items.union(who or ())))
-                columns["hit_spans"] = pa.array(spans, columns["hit_spans"].type)
-                columns["hit_items"] = pa.array(names, columns["hit_items"].type)
+                columns[hit_spans] = pa.array(spans, columns[hit_spans].type)
+                columns[hit_items] = pa.array(names, columns[hit_items].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), part.schema.names)
 
         found = found.mapInArrow(one_pass, found.schema)
-    return found
+    return found, hit_spans, hit_items
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -103,7 +105,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
     repeated items count once, a null item_id counts as the empty string, and repeated rows give repeated
     results.
     """
-    found = _hits(docs.select("doc_id", "text"), benchmark, window, max_words)
+    found, _, _ = _hits(docs.select("doc_id", "text"), benchmark, window, max_words)
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -167,17 +169,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
     """The rows of ``docs`` that are not contaminated.
 
     Decided while scanning, row by row: texts are neither shuffled nor joined, and repeated or null ids
-    need no rule.
+    need no rule. Columns of any name pass through; null texts and an empty benchmark are not contaminated.
     """
 
     names = docs.columns
+    found, hit_spans, _ = _hits(docs, benchmark, window, MAX_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             keep = []
-            for text, spans in zip(utf8(part.column("text")), part.column("hit_spans").to_pylist()):
+            for text, spans in zip(utf8(part.column("text")), part.column(hit_spans).to_pylist()):
                 hit = sum(s["last"] - s["first"] + 1 for s in spans)
                 keep.append(not (hit and 100 * hit >= percent * len(terms(text))))
             yield part.filter(pa.array(keep, pa.bool_())).select(names)
 
-    return _hits(docs, benchmark, window, MAX_WORDS).mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, docs.schema)

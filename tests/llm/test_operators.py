@@ -453,3 +453,28 @@ def test_language_of_pages(spark, sf_dir, hard):
 def test_registered_queries_need_no_tmp():
     assert set(queries.QUERIES) >= {f"op{n}_{x}" for n, x in ((1, "url_filter"), (5, "quality"), (10, "decontaminate"))}
     assert os.path.exists(packing.public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_no_text_moves_to_find_the_trusted_ones(spark, sf_dir):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = quality.trusted_texts(queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "text#" in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    table = spark.createDataFrame([(1, words, 7, "x", None), (2, "clean text", None, "y", [1]), (3, None, 1, None, None), (None, "", 2, "z", None)],
+                                  "doc_id long, text string, hit_spans int, hit_items string, _hit_spans array<int>")
+    bench = spark.createDataFrame([("a", words), ("a", words), (None, None)], "item_id string, text string")
+    out = decontaminate.clean(table, bench)
+    assert out.schema == table.schema
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, table.where("doc_id IS NULL OR doc_id > 1").collect()))
+    assert decontaminate.clean(table.limit(0), bench).count() == 0 and decontaminate.clean(table, bench.limit(0)).count() == 4
