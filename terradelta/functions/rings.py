@@ -58,6 +58,16 @@ def planar(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
+def unwrapped(ring: Column) -> Column:
+    """A lon/lat ring that crosses the 180th meridian with its western longitudes counted on beyond 180.
+
+    A ring crosses it if an edge jumps by more than 180 degrees; all others stay as they are.
+    """
+    jumps = F.zip_with(ring, F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, q: F.abs(p[0] - q[0]) > 180.0)
+    east = F.transform(ring, lambda p: F.array(F.when(p[0] < 0, p[0] + 360.0).otherwise(p[0]), p[1]))
+    return F.when(F.exists(jumps, lambda j: j), east).otherwise(ring)
+
+
 def ring_key(ring: Column) -> Column:
     """128 bits that stand for a ring, to group and join on instead of on nested arrays."""
     return F.struct(
@@ -241,6 +251,24 @@ def shapes_meet(a: str, b: str) -> Column:
     return bounds_overlap(box_of(a), box_of(b)) & (boxes | exact)
 
 
+def turned(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with shape ``b`` turned by whole circles of longitude to where it is nearest to shape ``a``."""
+    apart = F.col(f"{a}x1") + F.col(f"{a}x2") - F.col(f"{b}x1") - F.col(f"{b}x2")
+    by = F.round(apart / 720.0) * 360.0
+    turn = F.col(f"{b}turn")
+
+    def shifted(e: Column) -> Column:
+        return F.struct((e["x1"] + turn).alias("x1"), e["y1"].alias("y1"), (e["x2"] + turn).alias("x2"), e["y2"].alias("y2"))
+
+    same = F.col(f"{b}edges")
+    moved = F.when(turn == 0, same).otherwise(F.transform(same, shifted))
+    return (
+        df.withColumn(f"{b}turn", by)
+        .withColumns({f"{b}x1": F.col(f"{b}x1") + turn, f"{b}x2": F.col(f"{b}x2") + turn, f"{b}edges": moved})
+        .drop(f"{b}turn")
+    )
+
+
 def shape_meets_box(a: str, box: list[Column]) -> Column:
     """A closed polygon and an axis-parallel box share a point."""
     exact = _share_point(F.col(f"{a}edges"), box_of(a), _edges_of_box(box), box)

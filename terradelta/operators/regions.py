@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terradelta.functions import rings
 from terradelta.functions.numbers import floor_div
+from terradelta.functions.once import with_once
 from terradelta.functions.projection import from_crs
 from terradelta.operators.bitrows import TILE_ROWS, bit_at, core_bits, core_width, position_of, shift_left
 from terradelta.session import fan_out
@@ -33,19 +34,16 @@ def pixel_xy(
 def place_rings(regions: DataFrame, meta: DataFrame, on: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Add ``ring``: the lon/lat ``coords`` in fractional (col, row) coordinates of the raster."""
     projected = rings.ring_to_crs(F.col("coords"), F.col("epsg"))
-    return place_planar_rings(
-        regions.join(meta, list(on)).withColumn("planar_ring", projected)
-    ).drop("planar_ring")
+    met = with_once(regions.join(meta, list(on)), {"planar_ring": projected})
+    return place_planar_rings(met).drop("planar_ring")
 
 
 def place_planar_rings(regions: DataFrame) -> DataFrame:
     """Add ``ring`` from a ``planar_ring`` in raster CRS metres; needs the raster_meta columns."""
-    return regions.withColumn(
-        "ring",
-        rings.ring_to_pixels(
-            F.col("planar_ring"), F.col("x0"), F.col("y0"), F.col("px"), F.col("py")
-        ),
+    ring = rings.ring_to_pixels(
+        F.col("planar_ring"), F.col("x0"), F.col("y0"), F.col("px"), F.col("py")
     )
+    return with_once(regions, {"ring": ring})
 
 
 def crop_window(placed: DataFrame) -> DataFrame:
@@ -56,13 +54,14 @@ def crop_window(placed: DataFrame) -> DataFrame:
     x_min, y_min, x_max, y_max = rings.bounds(F.col("ring"))
     zero = F.lit(0).cast("long")
     return (
-        placed.withColumns(
+        with_once(
+            placed,
             {
                 "col_min": F.greatest(F.floor(x_min), zero),
                 "col_max": F.least(F.ceil(x_max), F.col("width")) - 1,
                 "row_min": F.greatest(F.floor(y_min), zero),
                 "row_max": F.least(F.ceil(y_max), F.col("height")) - 1,
-            }
+            },
         )
         .withColumns(
             {

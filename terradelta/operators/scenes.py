@@ -15,26 +15,31 @@ CANDIDATES = 5
 CELL_DEGREES = 0.5  # edge of the grid cells that bucket the search; any size gives the same result
 
 
-def _to_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """One row per grid cell that the bounds touch."""
+def to_cells(df: DataFrame, prefix: str, size: float, column: str | None = None) -> DataFrame:
+    """One row per grid cell that the bounds touch, in cell_x and cell_y.
+
+    Columns are counted around the globe, so that bounds beyond 180 degrees meet those beyond -180;
+    ``column`` keeps the count along the bounds as well. ``size`` divides 360.
+    """
     for axis in ("x", "y"):
         span = F.sequence(
             F.floor(F.col(f"{prefix}{axis}1") / size), F.floor(F.col(f"{prefix}{axis}2") / size)
         )
         df = df.withColumn(f"cell_{axis}", F.explode(span))
-    return df
+    kept = df.withColumn(column, F.col("cell_x")) if column else df
+    return kept.withColumn("cell_x", F.pmod(F.col("cell_x"), F.lit(round(360 / size))))
 
 
 def _cell_box(size: float) -> list[Column]:
-    x, y = F.col("cell_x"), F.col("cell_y")
+    x, y = F.col("along"), F.col("cell_y")
     return [x * F.lit(size), y * F.lit(size), (x + 1) * F.lit(size), (y + 1) * F.lit(size)]
 
 
 def wanted_cells(requests: DataFrame, days: int, cell: float) -> DataFrame:
     """Distinct (ring_key, target_date) requests per day of their window and cell they touch."""
     distinct = requests.groupBy("ring_key", "target_date").agg(F.first("coords").alias("coords"))
-    shaped = rings.with_shape(distinct, rings.planar(F.col("coords")), "a_").drop("coords")
-    touched = _to_cells(shaped, "a_", cell).where(rings.shape_meets_box("a_", _cell_box(cell)))
+    shaped = rings.with_shape(distinct, rings.planar(rings.unwrapped(F.col("coords"))), "a_").drop("coords")
+    touched = to_cells(shaped, "a_", cell, "along").where(rings.shape_meets_box("a_", _cell_box(cell)))
     window = F.sequence(F.date_sub("target_date", days), F.date_add("target_date", days))
     columns = [c for c in shaped.columns if c.startswith("a_")]
     return touched.select(
@@ -53,13 +58,13 @@ def offered_cells(catalog: DataFrame, cell: float, k: int) -> DataFrame:
     dated = catalog.select(
         "product_id", "sensing_start", "cloud_cover", "footprint", F.to_date("sensing_start").alias("day")
     ).withColumn("footprint_key", rings.ring_key(F.col("footprint")))
-    shaped = rings.with_shape(dated, rings.planar(F.col("footprint")), "b_").drop("footprint")
+    shaped = rings.with_shape(dated, rings.planar(rings.unwrapped(F.col("footprint"))), "b_").drop("footprint")
     columns = [c for c in shaped.columns if c != "footprint_key"]
     covers = rings.shape_covers_box("b_", _cell_box(cell))
     group = F.when(~covers, F.col("footprint_key"))  # NULL: all products that cover the cell
     alike = Window.partitionBy("day", "cell_x", "cell_y", "alike").orderBy("cloud_cover", "product_id")
     return (
-        _to_cells(shaped, "b_", cell)
+        to_cells(shaped, "b_", cell, "along")
         .select(*columns, "cell_x", "cell_y", group.alias("alike"))
         .withColumn("place", F.row_number().over(alike))
         .where(F.col("place") <= k)
@@ -79,9 +84,9 @@ def candidate_scenes(
     Both sides meet in (day, cell) buckets, an equi join, and are then tested exactly. A pair that
     shares several cells appears once for each.
     """
+    met = wanted_cells(requests, days, cell).join(offered_cells(catalog, cell, k), ["day", "cell_x", "cell_y"])
     return (
-        wanted_cells(requests, days, cell)
-        .join(offered_cells(catalog, cell, k), ["day", "cell_x", "cell_y"])
+        rings.turned(met, "a_", "b_")
         .where(rings.shapes_meet("a_", "b_"))
         .select("ring_key", "target_date", "product_id", "sensing_start", "cloud_cover")
     )

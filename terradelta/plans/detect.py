@@ -17,6 +17,7 @@ from terradelta.operators import (
     requests,
     sampling,
 )
+from terradelta.functions import projection
 from terradelta.functions.numbers import floor_div
 from terradelta.sources.rasters import only_bands
 
@@ -54,6 +55,7 @@ class Detection:
     words: DataFrame  # cleaned packed masks per job
     meta: DataFrame
     halo: int
+    framed_by: tuple[str, ...] = ("aoi_id",)  # what names a row of meta
 
     def materialized(self, path: str) -> Detection:
         """Write the packed masks to ``path``, which all executors share, so that several results do not read the pixels again."""
@@ -97,8 +99,10 @@ class Detection:
         missing = self.resolved.join(served, list(requests.JOB), "left_anti")
         # a job that lacks all pixels of one date keeps the general reason unless the other date has gaps of its own
         why = self._gaps().where("reason NOT RLIKE '^no pixels on [-0-9]+(; no pixels on [-0-9]+)?$'")
-        reason = F.coalesce("reason", F.lit(UNSERVED_REASON)).alias("reason")
-        return missing.join(why, list(requests.JOB), "left").select("request_id", "aoi_id", reason)
+        unknown = F.concat(F.lit(f"{projection.UNSUPPORTED}: EPSG "), "epsg").alias("unknown")
+        off_map = self.meta.where(~projection.is_supported(F.col("epsg"))).select("aoi_id", unknown).distinct()
+        told = missing.join(why, list(requests.JOB), "left").join(off_map, "aoi_id", "left")
+        return told.select("request_id", "aoi_id", F.coalesce("reason", "unknown", F.lit(UNSERVED_REASON)).alias("reason"))
 
     def masks(self) -> DataFrame:
         """The cleaned mask and the three classes per pixel, as 0/1."""
@@ -133,7 +137,7 @@ class Detection:
 
     def features(self, k: int = sampling.SAMPLE_SIZE) -> DataFrame:
         """Border and sampled points of each job as styled GeoJSON features."""
-        points = layers.lonlat_points(self.points(k), self.meta)
+        points = layers.lonlat_points(self.points(k), self.meta, self.framed_by)
         return layers.feature_layers(self.jobs, points, KEYS)
 
     def documents(self, base_uri: str) -> DataFrame:
@@ -193,6 +197,13 @@ def clipped_pairs(pixels: DataFrame, jobs: DataFrame, halo: int) -> DataFrame:
     return bands.pair_columns(clipped, ["job_id", "aoi_id"], bands.BAND_COLUMNS, partial=True)
 
 
+def cleaned_words(pairs: DataFrame, halo: int) -> DataFrame:
+    """Packed masks of paired pixels: cleaned changes, and the flags of their classes and of completeness."""
+    words = bitrows.pack(pairs, KEYS, bands.change_flags(), halo)
+    steps = morphology.cleaning(KERNEL)
+    return morphology.transform_words(words, KEYS, ["mask"], steps, ["complete", "vegetation", "water"], halo)
+
+
 def detect_changes(
     requests_df: DataFrame, pixels: DataFrame, aois: DataFrame, meta: DataFrame
 ) -> Detection:
@@ -205,9 +216,7 @@ def detect_changes(
     resolved = requests.resolve(requests_df, aois)
     rejected = requests.rejected_requests(requests_df, aois)
     jobs = prepare_jobs(resolved, meta)
-    steps = morphology.cleaning(KERNEL)
     halo = morphology.halo_of(layers.OVERLAY_STEPS)
     pairs = clipped_pairs(pixels, jobs, halo)
-    words = bitrows.pack(pairs, KEYS, bands.change_flags(), halo)
-    words = morphology.transform_words(words, KEYS, ["mask"], steps, ["complete", "vegetation", "water"], halo)
+    words = cleaned_words(pairs, halo)
     return Detection(resolved, rejected, jobs, pairs, words, meta, halo)

@@ -289,3 +289,94 @@ def bench_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumns({"row": F.col("row") * 4 + F.col("i"), "col": F.col("col") * 4 + F.col("j")})
         .drop("i", "j")
     )
+
+
+def shared_id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which four share an id, and some have none: the library's polygon or their own."""
+    c = F.col("c_custkey")
+    site, v = c % 4, c % 3
+    own = lonlat_ring(site, [(v * 7 + 8, 2), (F.lit(88) - v * 4, v + 3), (84, 21), (14, 22)])
+    return table(spark, sf_dir, "customer").where(c <= 60).select(
+        F.when(c % 15 != 7, int_div(c, 4)).alias("request_id"),
+        F.concat(F.lit("site"), site).alias("aoi_id"),
+        F.lit(DATE1).alias("date1"),
+        F.lit(DATE2).alias("date2"),
+        F.when(c % 2 == 1, own).alias("coords"),
+    )
+
+
+# --- scenes of a catalogue: rasters named by product, some over two sites (see FIXTURES.md) -----------
+
+
+def scene_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two products a site (numbers 4n, 4n + 1: date 1, 2), and two from row 12 on, over the next site (4n + 2, 4n + 3)."""
+    line = int_div(F.col("event_id"), SITE_COLS)
+    first = F.when(F.col("kind") > 1, 12).otherwise(0)
+    kinds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("kind")
+    lines = table(spark, sf_dir, "events").select(line.alias("line"), kinds).withColumn("first", first).where("line >= first")
+    products = lines.groupBy(int_div(F.col("line") - F.col("first"), SITE_ROWS).alias("n"), "kind", "first").agg(
+        (F.max((F.col("line") - F.col("first")) % SITE_ROWS) + 1).alias("height")
+    )
+    top = F.col("n") * SITE_ROWS + F.col("first")
+    return products.select(
+        (F.col("n") * 4 + F.col("kind")).alias("raster_id"),
+        F.lit(32643).alias("epsg"),
+        F.lit(379290.0).alias("x0"),
+        (F.lit(2050820) - top * 10).cast("double").alias("y0"),
+        F.lit(10.0).alias("px"),
+        F.lit(10.0).alias("py"),
+        F.lit(SITE_COLS).cast("long").alias("width"),
+        "height",
+    )
+
+
+def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide pixels of the products: raster_id, row, col, b02 .. b08. Products over two sites are a little bluer."""
+    line = _site_number() * SITE_ROWS + F.col("row")
+    cells = []
+    for slot in (0, 1):
+        values = [F.col(f"{b}_{slot + 1}") for b in BANDS]
+        for offset, kind, bluer in ((0, slot, 0), (12, slot + 2, 7)):
+            at = line - offset
+            named = [(v + bluer if b == "b02" else v).alias(b) for v, b in zip(values, BANDS)]
+            cell = F.struct((int_div(at, SITE_ROWS) * 4 + kind).alias("raster_id"), (at % SITE_ROWS).alias("row"), *named)
+            cells.append(cell if not offset else F.when(at >= 0, cell))
+    px = pixels(spark, sf_dir).select("col", F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+    return px.select("cell.raster_id", "cell.row", "col", *[f"cell.{b}" for b in BANDS])
+
+
+def scene_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products with a day near their date, a cloud cover and a footprint; one in five is of another type."""
+    i = F.col("raster_id")
+    kind = i % 4
+    day = F.when(kind % 2 == 0, F.lit(DATE1)).otherwise(F.lit(DATE2)).cast("date")
+    top = int_div(i, 4) * 2259 + F.when(kind > 1, 12 * 90).otherwise(0)
+    high, low = (F.lit(18544533) - top) / 1e6, (F.lit(18542183) - top) / 1e6
+    corners = [(73.8, low), (73.9, low), (73.9, high), (73.8, high), (73.8, low)]
+    return scene_frames(spark, sf_dir).select(
+        i.alias("product_id"),
+        (F.date_add(day, ((i * 5) % 7 - 3).cast("int")).cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(raster_id % 24 as int))")).alias("sensing_start"),
+        F.when(i % 5 == 4, "S2MSI1C").otherwise("S2MSI2A").alias("product_type"),
+        ((i * 37 % 101).cast("double") + 0.25).alias("cloud_cover"),
+        F.array(*(F.array(F.lit(x), y) for x, y in corners)).alias("footprint"),
+    )
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons under names of their own, each over two sites."""
+    c = F.col("c_custkey") % 20
+    v = c % 5
+    ring = lonlat_ring(c % 4, [(v * 5 + 10, 15), (F.lit(80) - v * 3, v + 17), (85, 33), (12, F.lit(36) - v)])
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("plot"), c).alias("aoi_id"), ring.alias("coords")).distinct()
+
+
+def plot_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for plots, days off the scenes, and too many for some."""
+    c = F.col("c_custkey")
+    rings_of = plots(spark, sf_dir)
+    day1 = F.date_add(F.lit(DATE1).cast("date"), (c % 3 * 5 - 6).cast("int"))
+    day2 = F.date_add(F.lit(DATE2).cast("date"), (c % 2 * 3 - 1).cast("int"))
+    asked = table(spark, sf_dir, "customer").select(
+        c.alias("request_id"), F.concat(F.lit("plot"), c % 20).alias("aoi_id"), day1.cast("string").alias("date1"), day2.cast("string").alias("date2")
+    )
+    return asked.join(rings_of, "aoi_id").select("request_id", "aoi_id", "date1", "date2", "coords")

@@ -922,3 +922,227 @@ def both_dates(name: str, values: list[str], source: str) -> None:
 both_dates("rgb_sink", ["red{i} AS red", "green{i} AS green", "blue{i} AS blue"], "job_rgb")
 both_dates("ndvi_sink", ["round(CAST(ndvi_{i} AS DOUBLE), 6) + 0.0 AS ndvi"], "job_idx")
 both_dates("ndwi_sink", ["round(CAST(ndwi_{i} AS DOUBLE), 6) + 0.0 AS ndwi"], "job_idx")
+
+# --- requests that share an id; scenes of a catalogue ------------------------------------------------
+
+
+def between_dates(p: str) -> str:
+    """From ``{p}_px`` (job, aoi_id, date1, date2, row, col, bands of both dates) to counts; returns the last CTE's name."""
+    colours = ", ".join(
+        f"{shade(f'{b}_{i}')} AS {c}{i}" for i in (1, 2) for b, c in (("b04", "red"), ("b03", "green"), ("b02", "blue"))
+    )
+    cte(f"{p}_rgb", f"SELECT *, {colours} FROM {p}_px")
+    cte(f"{p}_idx", indexed(f"{p}_rgb"))
+    cte(f"{p}_flags", flagged(f"{p}_idx"))
+    last = chain(f"{p}_flags", "mask", OPEN3 + CLOSE3, "job", f"{p}_c")
+    return cte(f"{p}_counts", counted(last, "job, aoi_id, date1, date2"))
+
+
+def inside_of(p: str) -> None:
+    """``{p}_inside``: cells (job, row, col) of ``{p}_cells`` inside the ring whose ``{p}_vertices`` are job, i, cx, cy."""
+    cte(
+        f"{p}_edges",
+        f"""SELECT a.job, a.cx AS x1, a.cy AS y1, b.cx AS x2, b.cy AS y2
+            FROM {p}_vertices a JOIN {p}_vertices b ON a.job = b.job AND b.i = a.i + 1""",
+    )
+    cte(
+        f"{p}_inside",
+        f"""SELECT c.job, c.row, c.col FROM {p}_cells c JOIN {p}_edges e ON e.job = c.job
+            WHERE (y1 > c.row + 0.5) <> (y2 > c.row + 0.5)
+              AND c.col + 0.5 < (x2 - x1) * (c.row + 0.5::DOUBLE - y1) / (y2 - y1) + x1
+            GROUP BY c.job, c.row, c.col HAVING count(*) % 2 = 1""",
+    )
+
+
+_own_shared = lonlat([("(v * 7 + 8)", "2"), ("(88 - v * 4)", "(v + 3)"), ("84", "21"), ("14", "22")], "s")
+cte(
+    "sh_asked",
+    f"""SELECT CASE WHEN c % 15 <> 7 THEN c // 4 END AS request_id, a.aoi_id, '{DATE1}' AS date1, '{DATE2}' AS date2,
+        CASE WHEN c % 2 = 1 THEN {_own_shared} ELSE a.coords END AS coords
+        FROM (SELECT c_custkey AS c, c_custkey % 3 AS v, c_custkey % 4 AS s FROM customer WHERE c_custkey <= 60)
+        LEFT JOIN aois a ON a.aoi_id = 'site' || s""",
+)
+cte("sh_known", "SELECT * FROM sh_asked WHERE coords IS NOT NULL AND aoi_id IS NOT NULL")
+cte(
+    "sh_jobs",
+    """SELECT row_number() OVER (ORDER BY aoi_id, coords) AS job, * FROM (SELECT DISTINCT aoi_id, date1, date2, coords FROM sh_known)""",
+)
+cte(
+    "sh_vertices",
+    f"""SELECT job, aoi_id, i, height, width, ({_x2} - x0) / 10 AS cx, (y0 - ({_y2})) / 10 AS cy FROM
+        (SELECT *, {_grid2} FROM (SELECT job, aoi_id, i, coords[i] AS p, height, width, x0, y0
+         FROM sh_jobs JOIN meta USING (aoi_id), range(1, 6) t(i)))""",
+)
+cte(
+    "sh_win",
+    """SELECT job, aoi_id, greatest(floor(min(cx)), 0) AS c0, least(ceil(max(cx)), any_value(width)) - 1 AS c1,
+       greatest(floor(min(cy)), 0) AS r0, least(ceil(max(cy)), any_value(height)) - 1 AS r1
+       FROM sh_vertices GROUP BY job, aoi_id""",
+)
+cte("sh_cells", "SELECT job, aoi_id, row, col FROM sh_win JOIN px USING (aoi_id) WHERE row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+inside_of("sh")
+_sh_cut = ", ".join(f"CASE WHEN i.job IS NULL THEN 0 ELSE p.{b}_{n} END AS {b}_{n}" for n in (1, 2) for b in BANDS)
+cte(
+    "sh_px",
+    f"""SELECT c.job, c.aoi_id, j.date1, j.date2, c.row, c.col, {_sh_cut} FROM sh_cells c
+        JOIN sh_jobs j ON j.job = c.job JOIN px p ON p.aoi_id = c.aoi_id AND p.row = c.row AND p.col = c.col
+        LEFT JOIN sh_inside i ON i.job = c.job AND i.row = c.row AND i.col = c.col""",
+)
+_sh_counts = between_dates("sh")
+register(
+    "requests_sharing_an_id",
+    f"""SELECT r.request_id, c.* EXCLUDE (job), {CHANGE}, {AREAS} FROM {_sh_counts} c JOIN sh_jobs j ON j.job = c.job
+        JOIN sh_known r ON r.aoi_id = j.aoi_id AND r.coords = j.coords""",
+)
+
+# Products are rows of the one grid of all sites: line r, column col.
+cte(
+    "prod",
+    """SELECT 4 * n + k AS id, k % 2 AS slot, 25 * n + CASE WHEN k > 1 THEN 12 ELSE 0 END AS top, total,
+       CAST(CASE WHEN k % 2 = 0 THEN DATE '2024-02-28' ELSE DATE '2026-04-03' END + CAST((4 * n + k) * 5 % 7 - 3 AS INTEGER) AS DATE) AS day,
+       (4 * n + k) * 37 % 101 AS cloud, (4 * n + k) % 5 <> 4 AS searched,
+       (18544533 - (2259 * n + CASE WHEN k > 1 THEN 1080 ELSE 0 END)) / 1e6::DOUBLE AS high,
+       (18542183 - (2259 * n + CASE WHEN k > 1 THEN 1080 ELSE 0 END)) / 1e6::DOUBLE AS low
+       FROM (SELECT max(r) + 1 AS total FROM ev), LATERAL (SELECT unnest(range(0, (total - 1) // 25 + 1)) AS n), range(4) t(k)
+       WHERE 25 * n + CASE WHEN k > 1 THEN 12 ELSE 0 END < total""",
+)
+cte("products", "SELECT *, least(25, total - top) AS lines FROM prod")
+_plot = lonlat([("(v * 5 + 10)", "15"), ("(80 - v * 3)", "(v + 17)"), ("85", "33"), ("12", "(36 - v)")], "s")
+cte(
+    "plot",
+    f"""SELECT 'plot' || c AS aoi_id, {_plot} AS coords FROM (SELECT DISTINCT c_custkey % 20 AS c, c_custkey % 20 % 5 AS v, c_custkey % 20 % 4 AS s FROM customer)""",
+)
+cte(
+    "plot_asked",
+    """SELECT c_custkey AS request_id, aoi_id, coords,
+       CAST(DATE '2024-02-28' + CAST(c_custkey % 3 * 5 - 6 AS INTEGER) AS VARCHAR) AS date1,
+       CAST(DATE '2026-04-03' + CAST(c_custkey % 2 * 3 - 1 AS INTEGER) AS VARCHAR) AS date2
+       FROM customer JOIN plot ON aoi_id = 'plot' || (c_custkey % 20)""",
+)
+cte("pl_jobs", "SELECT row_number() OVER (ORDER BY aoi_id, date1, date2) AS job, * FROM (SELECT DISTINCT aoi_id, coords, date1, date2 FROM plot_asked)")
+cte("pl_dates", "SELECT job, aoi_id, coords, 0 AS slot, date1 AS day FROM pl_jobs UNION ALL SELECT job, aoi_id, coords, 1, date2 FROM pl_jobs")
+cte(
+    "pl_found",
+    """SELECT * FROM (SELECT j.job, j.slot, p.id, p.top, p.lines, row_number() OVER (PARTITION BY j.job, j.slot ORDER BY p.cloud, p.id) AS rank
+       FROM pl_dates j JOIN products p ON p.searched AND abs(date_diff('day', CAST(j.day AS DATE), p.day)) <= 5
+        AND list_min(list_transform(j.coords, lambda q: q[2])) <= p.high AND list_max(list_transform(j.coords, lambda q: q[2])) >= p.low)
+       WHERE rank <= 5""",
+)
+
+
+def on_grid(p: str, source: str) -> None:
+    """``{p}_vertices`` of the rings of ``source`` (job, coords) in lines and columns of the one grid."""
+    cte(
+        f"{p}_vertices",
+        f"""SELECT job, i, ({_x2} - 379290) / 10 AS cx, (2050820 - ({_y2})) / 10 AS cy FROM
+            (SELECT *, {_grid2} FROM (SELECT job, i, coords[i] AS p FROM {source}, range(1, 6) t(i)))""",
+    )
+    cte(f"{p}_box", f"SELECT job, floor(min(cx)) AS x1, ceil(max(cx)) AS x2, floor(min(cy)) AS y1, ceil(max(cy)) AS y2 FROM {p}_vertices GROUP BY job")
+
+
+on_grid("pl", "pl_jobs")
+cte("pl_src", "SELECT f.* FROM pl_found f JOIN pl_box b USING (job) WHERE b.y1 < f.top + f.lines AND b.y2 > f.top AND b.x1 < 100 AND b.x2 > 0")
+cte(
+    "pl_win",
+    """SELECT job, greatest(y1, max(t)) AS r0, least(y2, min(b)) - 1 AS r1, greatest(x1, 0) AS c0, least(x2, 100) - 1 AS c1
+       FROM (SELECT job, slot, min(top) AS t, max(top + lines) AS b FROM pl_src GROUP BY job, slot) JOIN pl_box USING (job)
+       GROUP BY job, y1, y2, x1, x2 HAVING count(*) = 2""",
+)
+cte("pl_cells", "SELECT job, r AS row, col FROM pl_win, range(100) t(col), (SELECT DISTINCT r FROM ev) WHERE r BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+inside_of("pl")
+cte(
+    "pl_best",
+    """SELECT job, slot, row, arg_min(id, rank) AS id FROM (SELECT DISTINCT job, row FROM pl_cells) JOIN pl_src USING (job)
+       WHERE row BETWEEN top AND top + lines - 1 GROUP BY job, slot, row""",
+)
+cte(
+    "pl_lines",
+    """SELECT w.job, (w.c1 - w.c0 + 1) * (w.r1 - w.r0 + 1) AS area, (w.c1 - w.c0 + 1) * count(*) FILTER (slot = 0) AS n0,
+       (w.c1 - w.c0 + 1) * count(*) FILTER (slot = 1) AS n1 FROM pl_win w LEFT JOIN pl_best b ON b.job = w.job
+       WHERE w.r1 >= w.r0 AND w.c1 >= w.c0 GROUP BY w.job, w.c0, w.c1, w.r0, w.r1""",
+)
+cte("grid", "SELECT 25 * CAST(substr(aoi_id, 5) AS BIGINT) + row AS line, * FROM px")
+_pl_cut = ", ".join(
+    f"CASE WHEN i.job IS NULL THEN 0 ELSE g.{b}_{n}{f' + CASE WHEN s{n}.id % 4 > 1 THEN 7 ELSE 0 END' if b == 'b02' else ''} END AS {b}_{n}"
+    for n in (1, 2)
+    for b in BANDS
+)
+cte(
+    "pl_px",
+    f"""SELECT c.job, j.aoi_id, j.date1, j.date2, c.row, c.col, {_pl_cut} FROM pl_cells c JOIN pl_jobs j ON j.job = c.job
+        JOIN pl_lines l ON l.job = c.job AND l.n0 = l.area AND l.n1 = l.area
+        JOIN grid g ON g.line = c.row AND g.col = c.col
+        JOIN pl_best s1 ON s1.job = c.job AND s1.row = c.row AND s1.slot = 0
+        JOIN pl_best s2 ON s2.job = c.job AND s2.row = c.row AND s2.slot = 1
+        LEFT JOIN pl_inside i ON i.job = c.job AND i.row = c.row AND i.col = c.col""",
+)
+_pl_counts = between_dates("pl")
+_PLOT = "plot_asked r ON r.aoi_id = j.aoi_id AND r.date1 = j.date1 AND r.date2 = j.date2"
+cte("pl_detected", f"SELECT r.request_id, c.* EXCLUDE (job), {CHANGE}, {AREAS} FROM {_pl_counts} c JOIN pl_jobs j ON j.job = c.job JOIN {_PLOT}")
+register("detect_from_catalog", "SELECT * FROM pl_detected")
+
+
+def _lacking(n: str, day: str) -> str:
+    return f"""CASE WHEN {n} = 0 THEN 'no pixels on ' || {day} WHEN {n} < area THEN CAST(CAST({n} AS BIGINT) AS VARCHAR) || ' of '
+               || CAST(CAST(area AS BIGINT) AS VARCHAR) || ' pixels on ' || {day} END"""
+
+
+register(
+    "unserved_catalog",
+    f"""SELECT r.request_id, r.aoi_id, CASE WHEN NOT f0 OR NOT f1 THEN concat_ws('; ',
+          CASE WHEN NOT f0 THEN 'no scene within 5 days of ' || j.date1 END, CASE WHEN NOT f1 THEN 'no scene within 5 days of ' || j.date2 END)
+        WHEN coalesce(n0 + n1, 0) > 0 THEN concat_ws('; ', {_lacking('n0', 'j.date1')}, {_lacking('n1', 'j.date2')})
+        ELSE 'no raster of the chosen scenes holds the polygon' END AS reason
+        FROM (SELECT j.*, EXISTS (SELECT 1 FROM pl_found f WHERE f.job = j.job AND f.slot = 0) AS f0,
+              EXISTS (SELECT 1 FROM pl_found f WHERE f.job = j.job AND f.slot = 1) AS f1 FROM pl_jobs j) j
+        LEFT JOIN pl_lines l ON l.job = j.job JOIN {_PLOT}
+        WHERE r.request_id NOT IN (SELECT request_id FROM pl_detected)""",
+)
+register(
+    "catalog_sources",
+    f"""SELECT r.request_id, r.aoi_id, CAST(slot + 1 AS INTEGER) AS date, s.id AS product_id, CAST(s.rank AS INTEGER) AS rank
+        FROM pl_src s JOIN pl_lines l ON l.job = s.job JOIN pl_jobs j ON j.job = s.job JOIN {_PLOT}""",
+)
+cte("mo_jobs", "SELECT aoi_id AS job, coords FROM plot")
+on_grid("mo", "mo_jobs")
+cte(
+    "mo_src",
+    """SELECT job, id, top, lines, row_number() OVER (PARTITION BY job ORDER BY id DESC) AS rank, y1, y2, x1, x2 FROM mo_box, products
+       WHERE slot = 0 AND y1 < top + lines AND y2 > top AND x1 < 100 AND x2 > 0""",
+)
+cte(
+    "mo_win",
+    """SELECT job, greatest(y1, min(top)) AS r0, least(y2, max(top + lines)) - 1 AS r1, greatest(x1, 0) AS c0, least(x2, 100) - 1 AS c1
+       FROM mo_src GROUP BY job, y1, y2, x1, x2""",
+)
+cte("mo_cells", "SELECT job, line AS row, col, r0, c0, b02_1, b03_1, b04_1, b08_1 FROM mo_win, grid WHERE line BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+inside_of("mo")
+cte("mo_first", "SELECT job, row, min(rank) AS rank, max(id) AS id FROM (SELECT DISTINCT job, row FROM mo_cells) JOIN mo_src USING (job) WHERE row BETWEEN top AND top + lines - 1 GROUP BY job, row")
+register(
+    "clip_mosaic",
+    "SELECT c.job AS aoi_id, CAST(c.row - r0 AS BIGINT) AS row, CAST(c.col - c0 AS BIGINT) AS col, CAST(i.job IS NOT NULL AS INTEGER) AS inside, CAST(f.rank AS INTEGER) AS rank, "
+    + ", ".join(
+        f"CAST(CASE WHEN i.job IS NULL THEN 0 ELSE c.{b}_1{' + CASE WHEN f.id % 4 > 1 THEN 7 ELSE 0 END' if b == 'b02' else ''} END AS INTEGER) AS {b}"
+        for b in BANDS
+    )
+    + """ FROM mo_cells c JOIN mo_first f ON f.job = c.job AND f.row = c.row
+          LEFT JOIN mo_inside i ON i.job = c.job AND i.row = c.row AND i.col = c.col""",
+)
+ORACLE["footprint_intersects_seam"] = ORACLE["footprint_intersects"]
+
+# --- projection by EPSG code -------------------------------------------------------------------------
+
+cte(
+    "coded",
+    """SELECT aoi_id, row, col, CAST([32643, 4326, 3857, 2154][(row + col) % 4 + 1] AS INTEGER) AS epsg,
+       (col * 95 + 73856313) / 1e6::DOUBLE AS lon, (18544483 - row * 90) / 1e6::DOUBLE AS lat FROM px""",
+)
+_R = "6378137.0::DOUBLE"
+_cx = f"CASE epsg WHEN 32643 THEN {_x} WHEN 4326 THEN lon WHEN 3857 THEN radians(lon) * {_R} END"
+_cy = f"CASE epsg WHEN 32643 THEN {_y} WHEN 4326 THEN lat WHEN 3857 THEN asinh(tan(radians(lat))) * {_R} END"
+register("to_crs", f"SELECT aoi_id, row, col, epsg, {rounded(_cx, 3, 'x')}, {rounded(_cy, 3, 'y')} FROM (SELECT *, {_grid} FROM coded)")
+cte("coded_utm", "SELECT aoi_id, row, col, epsg, lon AS lon0, lat AS lat0, col * 10 + 379295.0::DOUBLE AS x, 2050815.0::DOUBLE - row * 10 AS y FROM coded")
+cte("coded_ll", inverse("coded_utm", "aoi_id, row, col, epsg, lon0, lat0"))
+_lon = f"CASE epsg WHEN 32643 THEN lon WHEN 4326 THEN lon0 WHEN 3857 THEN degrees((col * 10 + 8221000.0::DOUBLE) / {_R}) END"
+_lat = f"CASE epsg WHEN 32643 THEN lat WHEN 4326 THEN lat0 WHEN 3857 THEN degrees(atan(sinh((2100000.0::DOUBLE - row * 10) / {_R}))) END"
+register("from_crs", f"SELECT aoi_id, row, col, epsg, {rounded(_lon, 6, 'lon_out')}, {rounded(_lat, 6, 'lat_out')} FROM coded_ll")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.functions import rings, spectral
+from terradelta.functions import projection, rings, spectral
 from terradelta.functions.utm import from_utm, to_utm
 from terradelta.operators import (
     bands,
@@ -16,6 +16,7 @@ from terradelta.operators import (
     layers,
     metrics,
     morphology,
+    mosaic,
     regions,
     requests,
     sampling,
@@ -23,6 +24,7 @@ from terradelta.operators import (
 )
 from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import detect_changes
+from terradelta.plans.from_catalog import detect_from_catalog
 from terradelta.plans.legacy import comparison_strip, detect_changes_legacy, legacy_words
 from terradelta.plans.scene_plan import plan_scenes
 from terradelta.sources import aoi_library, catalog, naming, rasters, sinks
@@ -785,6 +787,98 @@ def unmatched_scenes(spark, sf):
     return unmatched.select("aoi_id", F.col("target_date").cast("string").alias("target_date"))
 
 
+@query
+def requests_sharing_an_id(spark, sf):
+    """Requests that share an id, or have none, each keep their own result."""
+    found = detect_changes(
+        fx.shared_id_requests(spark, sf), fx.dated(spark, sf), fx.aois(spark, sf), fx.raster_meta(spark, sf)
+    )
+    return _plain_dates(found.metrics())
+
+
+def _catalog_detection(spark, sf):
+    return detect_from_catalog(
+        fx.plot_requests(spark, sf), fx.scene_pixels(spark, sf), fx.aois(spark, sf), fx.scene_catalog(spark, sf), fx.scene_frames(spark, sf),
+        path=_scratch(spark),
+    )
+
+
+@query
+def detect_catalog(spark, sf):
+    """Change between the clearest scenes near two dates, for polygons over two rasters."""
+    return _plain_dates(_catalog_detection(spark, sf).metrics())
+
+
+@query
+def unserved_catalog(spark, sf):
+    """Dates without a scene, by name, and rectangles that the scenes do not fill."""
+    return _catalog_detection(spark, sf).unserved()
+
+
+@query
+def catalog_sources(spark, sf):
+    """The products that each request is answered from."""
+    used = _catalog_detection(spark, sf).scenes()
+    return used.withColumns({c: F.col(c).cast("int") for c in ("date", "rank")})
+
+
+@query
+def clip_mosaic(spark, sf):
+    """Plots cut out of all rasters of the first date; where they overlap, the higher product number wins."""
+    first = F.col("raster_id") % 2 == 0
+    frames = fx.scene_frames(spark, sf).where(first).withColumn("turn", -F.col("raster_id"))
+    got = mosaic.clip_mosaic(fx.plots(spark, sf), fx.scene_pixels(spark, sf).where(first), frames, "aoi_id", fx.BANDS, ["turn"], path=_scratch(spark))
+    return got.withColumn("rank", F.col("rank").cast("int"))
+
+
+@query
+def footprint_intersects_seam(spark, sf):
+    """As footprint_intersects, with all longitudes turned so that the shapes lie across the 180th meridian."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    x, y = F.col("c_nationkey") % 10 + F.lit(0.25), c % 10 + F.lit(0.25)
+    cx = o % 10 + F.lit(0.0625)
+    cy = fx.int_div(o, 10) % 10 + F.lit(0.28125)
+
+    def across(lon):
+        return F.pmod(lon + 355.0, F.lit(360.0)) - 180.0
+
+    box = [(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0), (x, y)]
+    diamond = [(cx - 1.5, cy), (cx, cy - 1.5), (cx + 1.5, cy), (cx, cy + 1.5), (cx - 1.5, cy)]
+    area, footprint = (rings.planar(rings.unwrapped(F.array(*(F.array(across(a), b) for a, b in ring)))) for ring in (box, diamond))
+    customers = rings.with_shape(fx.table(spark, sf, "customer"), area, "a_")
+    orders = rings.with_shape(fx.table(spark, sf, "orders"), footprint, "b_")
+    pairs = rings.turned(orders.join(customers, orders.o_custkey == customers.c_custkey), "a_", "b_")
+    return pairs.select("o_orderkey", rings.shapes_meet("a_", "b_").cast("int").alias("hit"))
+
+
+def _coded(spark, sf):
+    """Pixels with a place and one of four EPSG codes, the last of no supported kind."""
+    px = fx.pixels(spark, sf).select("aoi_id", "row", "col")
+    kind = (F.col("row") + F.col("col")) % 4
+    return px.withColumns(
+        {
+            "epsg": F.when(kind == 0, 32643).when(kind == 1, 4326).when(kind == 2, 3857).otherwise(2154),
+            "lon": (F.col("col") * 95 + 73856313) / 1e6,
+            "lat": (F.lit(18544483) - F.col("row") * 90) / 1e6,
+        }
+    )
+
+
+@query
+def to_crs(spark, sf):
+    x, y = projection.to_crs(F.col("lon"), F.col("lat"), F.col("epsg"))
+    return _coded(spark, sf).select("aoi_id", "row", "col", "epsg", _round(x, 3).alias("x"), _round(y, 3).alias("y"))
+
+
+@query
+def from_crs(spark, sf):
+    """Places in each CRS, made from rows and columns, as longitude and latitude."""
+    x = F.when(F.col("epsg") == 4326, F.col("lon")).when(F.col("epsg") == 3857, F.col("col") * 10 + 8221000.0).otherwise(F.col("col") * 10 + 379295.0)
+    y = F.when(F.col("epsg") == 4326, F.col("lat")).when(F.col("epsg") == 3857, F.lit(2100000.0) - F.col("row") * 10).otherwise(F.lit(2050815.0) - F.col("row") * 10)
+    lon, lat = projection.from_crs(x, y, F.col("epsg"))
+    return _coded(spark, sf).select("aoi_id", "row", "col", "epsg", _round(lon, 6).alias("lon_out"), _round(lat, 6).alias("lat_out"))
+
+
 # Registered under the names of the inventory where a function name would shadow an import.
 for _name, _key in {
     "to_utm_points": "to_utm",
@@ -793,5 +887,6 @@ for _name, _key in {
     "detect": "detect_changes",
     "detect_legacy": "detect_changes_legacy",
     "scene_plan": "plan_scenes",
+    "detect_catalog": "detect_from_catalog",
 }.items():
     QUERIES[_key] = QUERIES.pop(_name)
