@@ -88,6 +88,16 @@ def row_block(row: str) -> Column:
     return floor_div(F.col(row), ROW_BLOCK)
 
 
+def by_block(rasters: DataFrame, keys: Sequence[str], height: str = "height") -> DataFrame:
+    """A small table of rasters once for each ``block`` of raster rows, dealt out by raster and block.
+
+    A join of pixels with it deals them out by block as well, so a raster that holds a large part of all
+    pixels does not end up in one task; where the table is small enough Spark sends it to the pixels instead.
+    """
+    last = floor_div(F.col(height) - 1, ROW_BLOCK)
+    return rasters.where(F.col(height) > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(*keys, "block")
+
+
 def rgb_of(date: int) -> list[Column]:
     """Display colours of date 1 or 2 of a paired pixel, as unnamed expressions."""
     return [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terradelta.functions import spectral
 from terradelta.functions.projection import from_crs
 from terradelta.operators import bitrows, morphology
-from terradelta.operators.bands import change_flags, rgb_of
+from terradelta.operators.bands import by_block, change_flags, rgb_of, row_block
 from terradelta.operators.metrics import class_words
 from terradelta.operators.regions import pixel_xy
 
@@ -50,6 +50,24 @@ def change_overlay(
     words = words.withColumns(paint)
     words = morphology.apply_step(words, keys, list(paint), ("dilate", 1))
     words = bitrows.owned(words, list(paint), halo)
+    return _painted(addressed, words, keys, halo)
+
+
+def overlay_of_words(pairs: DataFrame, words: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
+    """As ``change_overlay``, from addressed pairs and the cleaned words that are there already.
+
+    Only words move for the display dilation; nothing is packed or cleaned again.
+    """
+    classes = class_words()
+    paint = {"construction": classes["new_construction"], "open_water": classes["surface_water"]}
+    shown = words.select(*keys, *bitrows.ADDRESS, "present", *[c.alias(n) for n, c in paint.items()])
+    wide = morphology.transform_words(shown, keys, list(paint), morphology.dilation(3), [], halo)
+    return _painted(pairs, wide, keys, halo)
+
+
+def _painted(addressed: DataFrame, words: DataFrame, keys: Sequence[str], halo: int) -> DataFrame:
+    """Date-2 colours of addressed pairs with the flags construction and open_water of their words painted on."""
+    paint = ("construction", "open_water")
     base = addressed.select(
         *keys,
         *bitrows.ADDRESS,
@@ -66,13 +84,15 @@ def change_overlay(
 
 
 def side_by_side(panels: Sequence[DataFrame], widths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rasters (row, col, red, green, blue) next to each other; ``widths`` has keys and width."""
+    """Rasters (row, col, red, green, blue) next to each other; ``widths`` has keys, width and height."""
     columns = ["row", "col", "red", "green", "blue"]
+    frames = by_block(widths.select(*keys, "width", "height"), keys).drop("height")
     shifted = [
         panel.select(*keys, *columns)
-        .join(widths.select(*keys, "width"), list(keys))
+        .withColumn("block", row_block("row"))
+        .join(frames, [*keys, "block"])
         .withColumn("col", F.col("col") + F.col("width") * i)
-        .drop("width")
+        .drop("width", "block")
         for i, panel in enumerate(panels)
     ]
     return reduce(DataFrame.unionByName, shifted)

@@ -49,13 +49,14 @@ def place_planar_rings(regions: DataFrame) -> DataFrame:
 def crop_window(placed: DataFrame) -> DataFrame:
     """Ring bounds snapped outward to whole pixels, inside the raster, and the cropped frame.
 
-    A region that does not touch its raster gets an empty window (see :func:`touching`).
+    A region that does not touch its raster gets an empty window (see :func:`touching`); one without a ring, as
+    where the raster's CRS is not supported, is left out.
     """
     x_min, y_min, x_max, y_max = rings.bounds(F.col("ring"))
     zero = F.lit(0).cast("long")
     return (
         with_once(
-            placed,
+            placed.where(F.col("ring").isNotNull()),
             {
                 "col_min": F.greatest(F.floor(x_min), zero),
                 "col_max": F.least(F.ceil(x_max), F.col("width")) - 1,

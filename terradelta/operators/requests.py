@@ -103,4 +103,15 @@ def distinct_jobs(resolved: DataFrame) -> DataFrame:
     distinct = resolved.groupBy(*JOB).agg(
         F.min("request_id").alias("first_request"), F.first("coords").alias("coords")
     )
-    return distinct.withColumn("job_id", F.xxhash64(*JOB))
+    return distinct.withColumn("job_id", job_id())
+
+
+def job_id() -> Column:
+    """The digest of the columns JOB."""
+    return F.xxhash64(*JOB)
+
+
+def not_done(resolved: DataFrame, done: DataFrame) -> DataFrame:
+    """Resolved requests whose job is not in the manifest ``done`` (column job_id)."""
+    keyed = resolved.withColumn("job_id", job_id())
+    return keyed.join(done.select("job_id"), "job_id", "left_anti").drop("job_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.functions.numbers import int_div
+from terradelta.operators.bands import by_block, row_block
 
 
 def _targets(at: str, src: str, dst: str) -> Column:
@@ -37,11 +38,13 @@ def resize_bilinear(
     """Resample each raster to a new size.
 
     ``sizes`` has the keys and src_width, src_height, dst_width, dst_height (bigint). Source pixels
-    push their weighted value to the few targets they touch, so the only shuffle is one
-    pre-aggregated sum per target pixel; weights are integers, so the result is exact.
+    meet the sizes by blocks of rows and push their weighted value to the few targets they touch, whose
+    sums are pre-aggregated before they shuffle by target pixel; weights are integers, so the result is exact.
     """
     rows = (
-        df.join(sizes, list(keys))
+        df.withColumn("block", row_block("row"))
+        .join(by_block(sizes, keys, "src_height"), [*keys, "block"])
+        .drop("block")
         .withColumn("t_row", F.explode(_targets("row", "src_height", "dst_height")))
         .withColumn("w_row", _weight(F.col("t_row"), F.col("row"), F.col("src_height"), F.col("dst_height")))
         .where("w_row > 0")

@@ -24,10 +24,10 @@ def class_long(words: DataFrame, keys: Sequence[str], classes: dict[str, Column]
 def rank_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``start``, the row-major rank of a word's first pixel, ``hits`` and ``n``, pixels per key.
 
-    Ranks are built in two levels: a running count inside each tile of rows, and a running count of
-    whole tiles (one small row each). No task sees all pixels, or all words, of a key.
+    Ranks are built in three levels: a running count inside each raster row, one of the rows of a tile (a number
+    each), and one of the tiles. No task sees all words of a key, or of a tile, however wide the raster is.
     """
-    tile = [*keys, "tile_row"]
+    tile, line = [*keys, "tile_row"], [*keys, "tile_row", "row"]
     counted = words.withColumn("hits", F.bit_count("bits").cast("long"))
     over_tiles = Window.partitionBy(*keys).orderBy("tile_row")
     tile_starts = (
@@ -39,12 +39,20 @@ def rank_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sum("tile_hits").over(Window.partitionBy(*keys)).alias("n"),
         )
     )
-    in_tile = Window.partitionBy(*tile).orderBy("row", "word")
-    return (
-        counted.withColumn("start", F.sum("hits").over(in_tile) - F.col("hits"))
+    over_rows = Window.partitionBy(*tile).orderBy("row")
+    row_starts = (
+        counted.groupBy(*line)
+        .agg(F.sum("hits").alias("row_hits"))
+        .select(*line, (F.sum("row_hits").over(over_rows) - F.col("row_hits")).alias("row_start"))
         .join(tile_starts, tile)
-        .withColumn("start", F.col("start") + F.col("tile_start"))
-        .drop("tile_start")
+        .select(*line, (F.col("row_start") + F.col("tile_start")).alias("before"), "n")
+    )
+    in_row = Window.partitionBy(*line).orderBy("word")
+    return (
+        counted.withColumn("start", F.sum("hits").over(in_row) - F.col("hits"))
+        .join(row_starts, line)
+        .withColumn("start", F.col("start") + F.col("before"))
+        .drop("before")
     )
 
 

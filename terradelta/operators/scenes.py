@@ -99,10 +99,12 @@ def top_scenes(
     k: int = CANDIDATES,
     product_type: str = PRODUCT_TYPE,
     cell: float = CELL_DEGREES,
+    how: str = "inner",
 ) -> DataFrame:
     """The k clearest matching products per request, with their rank (1 = clearest).
 
-    Requests need aoi_id, coords (lon/lat ring) and target_date. Equal requests are searched once.
+    Requests need aoi_id, coords (lon/lat ring) and target_date. Equal requests are searched once. With ``how``
+    "left", requests without a product stay, with nulls.
     """
     typed = catalog.where(F.col("product_type") == product_type)
     keyed = requests.withColumn("ring_key", rings.ring_key(F.col("coords")))
@@ -114,7 +116,7 @@ def top_scenes(
         .where(F.col("rank") <= k)
         .dropDuplicates(["ring_key", "target_date", "product_id"])
     )
-    return keyed.join(ranked, ["ring_key", "target_date"]).drop("ring_key")
+    return keyed.join(ranked, ["ring_key", "target_date"], how).drop("ring_key")
 
 
 def select_scenes(requests: DataFrame, catalog: DataFrame, **options) -> DataFrame:

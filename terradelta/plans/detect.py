@@ -83,15 +83,18 @@ class Detection:
         asked = self.resolved.select("request_id", *requests.JOB)
         return asked.join(self._gaps(), list(requests.JOB)).select("request_id", "aoi_id", "reason")
 
-    def metrics(self) -> DataFrame:
-        """One row per request: counts, areas and class areas."""
+    def job_metrics(self) -> DataFrame:
+        """One row per job: counts, areas and class areas."""
         counts = metrics.count_words(self.words, KEYS)
         per_job = metrics.with_class_areas(metrics.with_change(counts))
         area = (F.col("crop_width") * F.col("crop_height")).alias("area")
         whole = per_job.join(self.jobs.select("job_id", "ring_key", area), "job_id").where("complete_pixels = area")
-        named = whole.drop("job_id", "area", "complete_pixels")
+        return whole.drop("area", "complete_pixels")
+
+    def metrics(self) -> DataFrame:
+        """One row per request: counts, areas and class areas."""
         asked = self.resolved.select("request_id", *requests.JOB)
-        return asked.join(named, list(requests.JOB)).drop("ring_key")
+        return asked.join(self.job_metrics().drop("job_id"), list(requests.JOB)).drop("ring_key")
 
     def unserved(self) -> DataFrame:
         """Resolved requests without a result: no raster, no scene of one of the dates, or an incomplete rectangle."""
@@ -127,7 +130,7 @@ class Detection:
     def overlay(self) -> DataFrame:
         """Date-2 colours with the changes painted on them."""
         pairs = self.pairs.join(self.complete_jobs(), list(KEYS), "left_semi")
-        return layers.change_overlay(pairs, KEYS, addressed_halo=self.halo)
+        return layers.overlay_of_words(pairs, self.complete_words(), KEYS, self.halo)
 
     def bounds(self) -> DataFrame:
         """Lon/lat bounds and centre of each job's cropped rectangle."""
@@ -205,15 +208,16 @@ def cleaned_words(pairs: DataFrame, halo: int) -> DataFrame:
 
 
 def detect_changes(
-    requests_df: DataFrame, pixels: DataFrame, aois: DataFrame, meta: DataFrame
+    requests_df: DataFrame, pixels: DataFrame, aois: DataFrame, meta: DataFrame, done: DataFrame | None = None
 ) -> Detection:
-    """Run all requests.
+    """Run all requests, without those whose job is in the manifest ``done`` (column job_id).
 
     ``pixels`` is long (aoi_id, scene_date, band, row, col, dn) or, a quarter of the rows to shuffle,
     wide (aoi_id, scene_date, row, col, b02, b03, b04, b08). ``meta`` places each raster on the map.
     Requests without dates take their AOI's; those without a known polygon are rejected.
     """
     resolved = requests.resolve(requests_df, aois)
+    resolved = resolved if done is None else requests.not_done(resolved, done)
     rejected = requests.rejected_requests(requests_df, aois)
     jobs = prepare_jobs(resolved, meta)
     halo = morphology.halo_of(layers.OVERLAY_STEPS)

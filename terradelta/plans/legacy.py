@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.functions import spectral
-from terradelta.operators import bitrows, layers, metrics, morphology
+from terradelta.operators import bands, bitrows, layers, metrics, morphology
 from terradelta.operators.resize import resize_bilinear
 from terradelta.sources.naming import legacy_artifact_names
 
@@ -22,7 +22,8 @@ def fit_to_first(image2: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("ao
     ``sizes`` has the keys and src_width, src_height (image 2), dst_width, dst_height (image 1).
     """
     fits = (F.col("src_width") == F.col("dst_width")) & (F.col("src_height") == F.col("dst_height"))
-    same = image2.join(sizes.where(fits).select(*keys), list(keys), "left_semi")
+    whole = bands.by_block(sizes.where(fits).select(*keys, "src_height"), keys, "src_height")
+    same = image2.withColumn("block", bands.row_block("row")).join(whole, [*keys, "block"], "left_semi")
     resized = resize_bilinear(image2, sizes.where(~fits), CHANNELS, keys)
     return same.select(*resized.columns).unionByName(resized)
 
@@ -95,5 +96,5 @@ def comparison_strip(
     words, halo = legacy_words(image1, fitted, keys)
     mask = bitrows.unpack(words, keys, ["mask"], halo)
     mask = mask.select(*keys, "row", "col", *spectral.mask_to_rgb(F.col("mask")))
-    widths = sizes.select(*keys, F.col("dst_width").alias("width"))
+    widths = sizes.select(*keys, F.col("dst_width").alias("width"), F.col("dst_height").alias("height"))
     return layers.side_by_side([image1, fitted, mask], widths, keys)

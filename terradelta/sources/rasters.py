@@ -84,10 +84,14 @@ def placeholder(
 
 
 def with_placeholder(
-    requests: DataFrame, rasters: DataFrame, keys: Sequence[str], **options
+    requests: DataFrame, rasters: DataFrame, keys: Sequence[str], known: DataFrame | None = None, **options
 ) -> DataFrame:
-    """``rasters`` plus a placeholder for each requested key that has no pixel."""
+    """``rasters`` plus a placeholder for each requested key without a raster.
+
+    ``known`` lists the rasters there are (raster_meta, say); without it all pixels are read to find out.
+    """
     wanted = requests.select(*keys).distinct()
-    missing = wanted.join(rasters.select(*keys).distinct(), list(keys), "left_anti")
+    there = rasters if known is None else known
+    missing = wanted.join(there.select(*keys).distinct(), list(keys), "left_anti")
     columns = [*keys, "row", "col", "red", "green", "blue"]
     return rasters.select(*columns).unionByName(placeholder(missing, **options).select(*columns))

@@ -2,12 +2,14 @@
 
 import math
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from terradelta.functions import projection, rings
-from terradelta.operators import bitrows, mosaic, regions, scenes
+from terradelta.operators import bitrows, mosaic, regions, sampling, scenes
+from terradelta.plans import incremental
 from terradelta.plans.detect import detect_changes
 from terradelta.plans.from_catalog import NO_RASTER, detect_from_catalog
 from tests.helpers import inside
@@ -138,6 +140,43 @@ def test_projections_round_trip_and_reject(spark):
             assert got["lon2"] == pytest.approx(r[0], abs=1e-8) and got["lat2"] == pytest.approx(r[1], abs=1e-8)
 
 
+def test_ranks_on_one_row_of_a_million_pixels(spark):
+    px = spark.range(1_000_000).select(F.lit("a").alias("aoi_id"), F.lit(0).cast("long").alias("row"), F.col("id").alias("col"), (F.col("id") % 3 == 1).alias("hit"))
+    words = bitrows.pack(px, ["aoi_id"], {"bits": F.col("hit")}, 1)
+    ranked = sampling.rank_words(words.where("bits != 0"), ["aoi_id"])
+    got = sampling.rank_pixels(ranked, ["aoi_id"], 1)
+    bad = got.where((F.col("rank") * 3 + 1 != F.col("col")) | (F.col("n") != 333_333))
+    assert got.count() == 333_333 and bad.isEmpty()
+
+
+def test_a_second_run_reads_no_pixel(spark, tmp_path):
+    requests, wide, aois, _, frames = catalog_case(spark)
+    one = wide.where("raster_id IN (10, 20)").select(
+        F.lit("t").alias("aoi_id"), F.when(F.col("raster_id") == 10, F.lit("2024-01-03")).otherwise(F.lit("2024-06-10")).cast("date").alias("scene_date"), "row", "col", "b02", "b03", "b04", "b08"
+    )
+    one.write.parquet(str(tmp_path / "pixels"))
+    stored = spark.read.parquet(str(tmp_path / "pixels"))
+    meta = frames.where("raster_id = 10").withColumnRenamed("raster_id", "aoi_id").withColumn("aoi_id", F.lit("t"))
+    ring = [[10.0, 50.0], [10.1, 50.0], [10.1, 49.9], [10.0, 49.9], [10.0, 50.0]]
+    half = [[10.0, 50.0], [10.049, 50.0], [10.049, 49.9], [10.0, 49.9], [10.0, 50.0]]
+    asked = [(1, "t", "2024-01-03", "2024-06-10", ring), (2, "t", "2024-01-03", "2024-06-10", ring), (3, "t", "2024-01-03", "2024-01-04", ring)]
+    kind = "request_id bigint, aoi_id string, date1 string, date2 string, coords array<array<double>>"
+    first = spark.createDataFrame(asked, kind)
+    out = str(tmp_path / "out")
+    assert incremental.run_pending(first, stored, aois, meta, out) == 2
+    rows = spark.read.parquet(f"{out}/metrics").collect()
+    assert [(r["total_pixels"], r["date2"].isoformat()) for r in rows] == [(100, "2024-06-10")]
+    assert incremental.run_pending(first, stored, aois, meta, out) == 1  # the one without pixels of its second date
+    again = spark.createDataFrame(asked[:2], kind)
+    shutil.move(str(tmp_path / "pixels"), str(tmp_path / "gone"))
+    assert incremental.run_pending(again, stored, aois, meta, out) == 0
+    shutil.move(str(tmp_path / "gone"), str(tmp_path / "pixels"))
+    more = spark.createDataFrame([*asked[:2], (4, "t", "2024-01-03", "2024-06-10", half)], kind)
+    assert incremental.run_pending(more, stored, aois, meta, out) == 1
+    assert sorted(r["total_pixels"] for r in spark.read.parquet(f"{out}/metrics").collect()) == [50, 100]
+    assert spark.read.parquet(f"{out}/manifest").count() == 2
+
+
 def catalog_case(spark):
     """Two adjacent rasters a date, an odd raster, and requests served, without a scene, and beside all rasters."""
     day = {1: "2024-01-03", 2: "2024-06-10"}

@@ -5,7 +5,10 @@ import re
 import pytest
 
 from terradelta.operators import bands, bitrows, metrics, morphology, regions
+from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import clipped_pairs, detect_changes
+from terradelta.plans.legacy import comparison_strip, detect_changes_legacy
+from terradelta.plans.scene_plan import plan_scenes
 from terradelta.sources import rasters
 from verification import fixtures as fx
 
@@ -100,6 +103,23 @@ def test_edges_are_swept_one_by_one(spark, sf_dir):
     assert "Generate explode(zip_with(" in plan  # one row for each edge, before rows or words unfold
 
 
+def test_images_meet_their_sizes_by_blocks_of_rows(no_broadcast, sf_dir):
+    spark = no_broadcast
+    images = fx.image(spark, sf_dir, 1), fx.small_image2(spark, sf_dir), fx.image_sizes(spark, sf_dir)
+    for made in (resize_bilinear(*images[1:], ["red"]), detect_changes_legacy(*images), comparison_strip(*images)):
+        plan = plan_of(made)
+        moved = [part for part in re.split(r"(?=Exchange )", plan) if "FileScan" in part and "event_id#" in part and "value#" in part]
+        assert moved and not [part[:80] for part in moved if re.match(r"Exchange hashpartitioning\(aoi_id#\d+, \d", part)]
+        assert exchanges(plan).count("aoi_id, block") >= 2
+
+
+def test_one_search_finds_all_outcomes(no_broadcast, sf_dir):
+    spark = no_broadcast
+    plan = plan_scenes(fx.scene_requests(spark, sf_dir), fx.catalog(spark, sf_dir), fx.scenes(spark, sf_dir), fx.manifest(spark, sf_dir))
+    for found in (plan.outcome, plan.chosen, plan.unmatched, plan.unlocated, plan.to_fetch):
+        assert len(re.findall(r"Join \[day#\d+, cell_x#\d+L?, cell_y", plan_of(found))) == 1
+
+
 def test_band_scan_reads_only_what_it_needs(spark, stored):
     df = rasters.read_pixels(spark, stored, ["B04"]).where("scene_date = '2024-02-28'").select("dn")
     plan = plan_of(df)

@@ -1146,3 +1146,21 @@ cte("coded_ll", inverse("coded_utm", "aoi_id, row, col, epsg, lon0, lat0"))
 _lon = f"CASE epsg WHEN 32643 THEN lon WHEN 4326 THEN lon0 WHEN 3857 THEN degrees((col * 10 + 8221000.0::DOUBLE) / {_R}) END"
 _lat = f"CASE epsg WHEN 32643 THEN lat WHEN 4326 THEN lat0 WHEN 3857 THEN degrees(atan(sinh((2100000.0::DOUBLE - row * 10) / {_R}))) END"
 register("from_crs", f"SELECT aoi_id, row, col, epsg, {rounded(_lon, 6, 'lon_out')}, {rounded(_lat, 6, 'lat_out')} FROM coded_ll")
+
+# --- what is left to do, and what a search found -----------------------------------------------------
+
+register("pending_jobs", "SELECT job AS first_request, aoi_id, date1, date2 FROM jobs WHERE job % 2 <> 0")
+cte(
+    "outcomes",
+    """SELECT q.aoi_id, CAST(q.target_date AS VARCHAR) AS target_date, f.product_id,
+       CASE WHEN f.product_id IS NULL THEN 'unmatched' WHEN f.product_id % 11 = 0 THEN 'unlocated' ELSE 'chosen' END AS outcome
+       FROM sreq q LEFT JOIN (SELECT * FROM found WHERE rank = 1) f USING (aoi_id)""",
+)
+register("scene_outcomes", "SELECT * FROM outcomes")
+register("unlocated_scenes", "SELECT DISTINCT product_id FROM outcomes WHERE outcome = 'unlocated'")
+register(
+    "scene_placeholders",
+    """SELECT aoi_id, target_date, count(*) AS pixels, CAST(sum(i) AS BIGINT) AS sum_row, CAST(sum(j) AS BIGINT) AS sum_col,
+       CAST(sum(15) AS BIGINT) AS sum_red, CAST(sum(32) AS BIGINT) AS sum_green, CAST(sum(67) AS BIGINT) AS sum_blue
+       FROM outcomes, range(8) a(i), range(8) b(j) WHERE outcome = 'unmatched' GROUP BY aoi_id, target_date""",
+)

@@ -24,6 +24,7 @@ from terradelta.operators import (
 )
 from terradelta.operators.resize import resize_bilinear
 from terradelta.plans.detect import detect_changes
+from terradelta.plans import incremental
 from terradelta.plans.from_catalog import detect_from_catalog
 from terradelta.plans.legacy import comparison_strip, detect_changes_legacy, legacy_words
 from terradelta.plans.scene_plan import plan_scenes
@@ -144,7 +145,7 @@ def resolve_uri(spark, sf):
 
 @query
 def placeholder_fill(spark, sf):
-    filled = rasters.with_placeholder(fx.requests(spark, sf), fx.image(spark, sf, 1), KEYS)
+    filled = rasters.with_placeholder(fx.requests(spark, sf), fx.image(spark, sf, 1), KEYS, fx.raster_meta(spark, sf))
     sums = [F.sum(c).cast("long").alias(f"sum_{c}") for c in ("row", "col", "red", "green", "blue")]
     return filled.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("pixels"), *sums)
 
@@ -767,11 +768,11 @@ def detect_legacy(spark, sf):
     )
 
 
-def _scene_plan(spark, sf):
+def _scene_plan(spark, sf, known="true"):
     return plan_scenes(
         fx.scene_requests(spark, sf),
         fx.catalog(spark, sf),
-        fx.scenes(spark, sf),
+        fx.scenes(spark, sf).where(known),
         fx.manifest(spark, sf),
     )
 
@@ -879,6 +880,36 @@ def from_crs(spark, sf):
     return _coded(spark, sf).select("aoi_id", "row", "col", "epsg", _round(lon, 6).alias("lon_out"), _round(lat, 6).alias("lat_out"))
 
 
+@query
+def pending_jobs(spark, sf):
+    """Jobs that a manifest of every other job leaves to do."""
+    asked, areas = fx.requests(spark, sf), fx.aois(spark, sf)
+    jobs = requests.distinct_jobs(requests.resolve(asked, areas))
+    todo = incremental.pending_jobs(asked, areas, jobs.where("first_request % 2 = 0"))
+    return _plain_dates(todo.select("first_request", "aoi_id", "date1", "date2"))
+
+
+@query
+def scene_outcomes(spark, sf):
+    """What the scene search found for each request."""
+    found = _scene_plan(spark, sf, "product_id % 11 <> 0").outcome
+    return found.select("aoi_id", F.col("target_date").cast("string").alias("target_date"), "product_id", "outcome")
+
+
+@query
+def unlocated_scenes(spark, sf):
+    """Chosen products without known files."""
+    return _scene_plan(spark, sf, "product_id % 11 <> 0").unlocated
+
+
+@query
+def scene_placeholders(spark, sf):
+    """Placeholder rasters of requests without a scene, 8 x 8, summed up."""
+    made = _scene_plan(spark, sf).placeholders(height=8, width=8)
+    sums = [F.sum(c).cast("long").alias(f"sum_{c}") for c in ("row", "col", "red", "green", "blue")]
+    return made.groupBy("aoi_id", F.col("target_date").cast("string").alias("target_date")).agg(F.count(F.lit(1)).alias("pixels"), *sums)
+
+
 # Registered under the names of the inventory where a function name would shadow an import.
 for _name, _key in {
     "to_utm_points": "to_utm",
