@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import json
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +25,8 @@ SEQUENCE = 1024  # tokens
 ROUND = 64 * SEQUENCE  # tokens of a window in which every source has its share
 CACHED = 400_000  # words whose ids a task remembers
 END = 0  # the id that ends a document
+MAX_MIX = 10_000  # queues with a target of their own
+LAST = 1e-9  # share of queues that are to come after all others
 _BLOCK = 4096  # rounds whose totals are summed up together
 
 # What a task yields for a packet: its place in the task's queue, its place in the document, its ids. All ids
@@ -119,27 +124,62 @@ def _ahead(total: str, order: list[str], within: list[str]) -> Column:
     return F.coalesce(F.sum(total).over(rows), F.lit(0))
 
 
-def schedule(tokens: DataFrame, window: int = ROUND) -> DataFrame:
+def _mixture(sizes: DataFrame, mix: DataFrame) -> tuple[dict[str, tuple[float, float]], tuple[float, float], np.ndarray, np.ndarray]:
+    """Credit of each listed queue, and of all others together, as (share, tokens); and when queues run dry.
+
+    In turn v every queue has been credited v times its share. The last two are the turns in which some queue
+    is exhausted, and the tokens sent by then: from there on the others share its credit, and go faster.
+    """
+    asked = {r["queue"] or "": r["share"] for r in mix.select("queue", "share").limit(MAX_MIX + 1).collect()}
+    if len(asked) > MAX_MIX or any(s is None or not 0 <= s < math.inf for s in asked.values()):
+        raise ValueError(f"target proportions are at most {MAX_MIX} queues with shares of 0 and more")
+    named = F.col("queue").isin(*asked) if asked else F.lit(False)
+    per_name = sizes.groupBy(F.when(named, F.col("queue")).alias("queue")).agg(F.sum("tokens").alias("tokens"))
+    held = {r["queue"]: r["tokens"] for r in per_name.collect()}  # at most MAX_MIX + 1 rows
+    rest = float(held.pop(None, 0))
+    over = max(1.0, sum(asked.values()))
+    credit = {q: (max(asked[q] / over, LAST), float(n)) for q, n in held.items()}
+    others = max(1 - sum(asked.values()) / over, LAST), rest
+    kinds = [x for x in [*credit.values(), others] if x[1]]
+    turns = np.unique(np.array([0.0, *(n / share for share, n in kinds)]))
+    sent = sum((np.minimum(share * turns, n) for share, n in kinds), np.zeros(len(turns)))
+    return credit, others, turns, np.maximum.accumulate(sent)
+
+
+def schedule(tokens: DataFrame, window: int = ROUND, mix: DataFrame | None = None) -> DataFrame:
     """Packets with ``round`` and ``place``, their first token's place in the one stream of all tokens.
 
-    Deficit round-robin in closed form: in each round a queue is credited its quantum, its share of all
-    tokens times ``window``, and sends packets from its head while its credit lasts; what is left carries
-    over to the next round, whichever task holds the packets. So a packet leaves in the round in which the
-    credit of all rounds reaches its last token: its place in the queue divided by the quantum. With
-    quanta in proportion to the queues all of them end together, and every window has the target mixture
-    to within one packet for each queue.
+    Deficit round-robin in closed form: in each round a queue is credited its quantum, its target share of
+    ``window``, and sends packets from its head while its credit lasts; what is left, to the fraction of a token,
+    carries over to the next round, whichever task holds the packets. So a packet leaves in the round in which
+    the credit of all rounds reaches a certain part of it, drawn for each queue by a hash: the many queues
+    smaller than a window, whose turn comes once in many rounds, are spread over all rounds.
+
+    Targets are the corpus shares, by which all queues end together, or those of ``mix`` (queue, share): queues
+    that it does not list divide what is left of 1 by their sizes, and the credit of a queue that has run dry goes
+    to the others by their shares. Every window has the target mixture to within one packet for each queue.
     """
     slim = tokens.groupBy("part", "queue").agg(F.sum("length").alias("tokens"))
     sums = staged(slim, "queues")  # a row for each task and queue
     total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     rounds = max(1, -(-total // window))
-    share = F.expr(f"greatest(1, (sum(tokens) + {rounds - 1}) div {rounds})")
-    quanta = staged(sums.groupBy("queue").agg(share.alias("quantum")), "quanta")
-    offsets = sums.withColumn("ahead", _ahead("tokens", ["part"], ["queue"])).join(quanta, "queue")
+    sizes = staged(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), "sizes")
+    drawn = F.pmod(F.xxhash64(F.lit("draw"), "queue"), F.lit(1 << 20)) / float(1 << 20)
+    if mix is None:
+        rate = F.col("tokens") / F.lit(float(max(1, total)))
+    else:
+        credit, (share, rest), turns, sent_by = _mixture(sizes, mix)
+        rate = F.col("tokens") / F.lit(max(1.0, rest)) * share
+        if credit:
+            listed = F.from_json(F.lit(json.dumps({q: s for q, (s, _) in credit.items()})), "map<string,double>")
+            rate = F.coalesce(F.element_at(listed, F.col("queue")), rate)
+    rates = staged(sizes.select("queue", rate.alias("rate"), drawn.alias("drawn")), "rates")
+    offsets = sums.withColumn("ahead", _ahead("tokens", ["part"], ["queue"])).join(rates, "queue")
     placed = tokens.join(staged(offsets.drop("tokens"), "offsets"), ["part", "queue"])
-    at = F.col("ahead") + F.col("before")
-    credited = F.expr("(at + length - 1) div quantum")
-    sent = placed.withColumn("at", at).withColumn("round", credited)
+    at = placed.withColumn("at", F.col("ahead") + F.col("before"))
+    turn = (F.col("at") + F.col("drawn") * F.col("length")) / F.col("rate")
+    reached = turn if mix is None else _sent(turns, sent_by)(turn)
+    sent = at.withColumn("round", F.least(F.floor(reached / float(window)), F.lit(rounds - 1)).cast("long"))
     # The stream is ordered by round, queue and place in the queue: sum up the tokens before each round and queue.
     turns = sent.groupBy("round", "queue").agg(F.sum("length").alias("tokens"), F.min("at").alias("first"))
     turns = staged(turns.withColumn("block", F.expr(f"round div {_BLOCK}")), "turns")
@@ -152,8 +192,22 @@ def schedule(tokens: DataFrame, window: int = ROUND) -> DataFrame:
     return stream.withColumn("place", F.col("begin") + F.col("at") - F.col("first"))
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = ROUND, ids: bool = True) -> DataFrame:
-    """Pieces of sequences of ``sequence`` tokens.
+def _sent(turns: np.ndarray, sent_by: np.ndarray):
+    """Tokens sent up to a turn, by a column function; never less for a later turn."""
+
+    @F.pandas_udf("double")
+    def reached(turn: pd.Series) -> pd.Series:
+        i = np.clip(np.searchsorted(turns, turn.to_numpy(), "right") - 1, 0, max(0, len(turns) - 2))
+        if len(turns) < 2:
+            return pd.Series(np.zeros(len(turn)))
+        slope = (sent_by[i + 1] - sent_by[i]) / (turns[i + 1] - turns[i])
+        return pd.Series(np.minimum(sent_by[i] + slope * (turn.to_numpy() - turns[i]), sent_by[i + 1]))
+
+    return reached
+
+
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = ROUND, ids: bool = True, mix: DataFrame | None = None) -> DataFrame:
+    """Pieces of sequences of ``sequence`` tokens, mixed by source as ``schedule`` says (targets: ``mix``).
 
     Returns doc_id, queue (the source), start, length, doc_tokens, round, sequence_id, offset, ids_crc32 and,
     if asked for, ids: the piece's token ids as little-endian unsigned 32-bit numbers, of which ids_crc32 is
@@ -162,7 +216,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = ROUND, ids: bo
     sources share a queue, null doc_ids are kept, repeated rows are packed again, an empty table gives no
     piece.
     """
-    stream = schedule(staged(packets(docs, sequence), "packets"), window)
+    stream = schedule(staged(packets(docs, sequence), "packets"), window, mix)
     names = ["doc_id", "queue", "start", "length", "doc_tokens", "round", "place", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
