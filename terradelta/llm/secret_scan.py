@@ -88,6 +88,23 @@ def entropy(candidate: bytes) -> float:
     return math.log2(max(2, size)) / 8
 
 
+#: What parts the words of paths, addresses and identifiers, and the share of their characters that no word need explain.
+PARTS, UNEXPLAINED = re.compile(rb"[/_=+-]+"), 0.25
+
+
+def named(candidate: bytes) -> bool:
+    """Whether a candidate is a path or a name made of words and numbers, such as docs/Guide_2024/index.
+
+    Its three or more parts are words in one case (or with a capital), and numbers, but for less than the share
+    UNEXPLAINED of the characters. Random strings mix cases and digits within their parts.
+    """
+    parts = [p for p in PARTS.split(candidate) if p]
+    if len(parts) < 3:
+        return False
+    plain = (p.isdigit() or p.isalpha() and (p.islower() or p.isupper() or p[1:].islower()) for p in parts)
+    return sum(len(p) for p, known in zip(parts, plain) if not known) < UNEXPLAINED * sum(map(len, parts))
+
+
 def _novel(text: bytes, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Candidates in a sensitive context that compress badly and are not covered by a base find.
 
@@ -98,7 +115,7 @@ def _novel(text: bytes, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int
     at, origin, last = 0, 0, None
     for m in CANDIDATE.finditer(text):
         found = m.group()
-        if found.isalpha() or not any(48 <= c < 58 for c in found) or not any(c >= 65 for c in found):
+        if found.isalpha() or not any(48 <= c < 58 for c in found) or not any(c >= 65 for c in found) or named(found):
             continue
         a, b = m.span()
         while at < len(covered) and covered[at][1] <= a:
@@ -166,7 +183,10 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with secrets replaced by ``mark`` in ``text``, and ``n_chars`` (if there) counted anew where text changed."""
+    """``docs`` with secrets replaced by ``mark`` in ``text``, and ``n_chars`` (if there) counted anew where text changed.
+
+    Null and empty texts stay as they are, repeated rows are redacted each, an empty table gives an empty one.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
