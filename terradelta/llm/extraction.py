@@ -48,8 +48,16 @@ AWAY = frozenset(
     " social related recommended recommendations widget pagination pager toolbar skip copyright legal disclaimer search form"
     " contentinfo complementary dialog hidden".split()
 )
+#: Words that say what kind of box a label names. Inside an article a label is that of a box beside the text only if it
+#: has no other words: "comment-list" and "share-buttons-top" are, "legal-history" and "search-results-study" are not.
+BOXES = frozenset(
+    "area bar block body bottom box button buttons center column container content group header icon icons inner inline item items"
+    " label large left link links list main message panel post posts right section slot small text title top unit widgets wrap wrapper"
+    " 1 2 3 4 5".split()
+)
 KEPT = frozenset("html body main article".split())
 DEPTH = 512  # of elements; deeper ones are laid flat, as browsers do
+LINKS = 0.5  # part of the text of a sibling of the main box in links from which it is left out
 MENU = 0.8  # part of a list's or box's text in links from which it is a menu
 
 
@@ -90,7 +98,8 @@ def _away(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in ("class", "id", "role"):
             for label in value.split():
                 parts = re.split(r"[-_:]+", label)
-                if parts[0] not in ("no", "has", "with") and not AWAY.isdisjoint(parts):
+                named = parts[0] not in ("no", "has", "with") and not AWAY.isdisjoint(parts)
+                if named and (not inside_article or all(p in AWAY or p in BOXES or not p for p in parts)):
                     return True
     return False
 
@@ -104,7 +113,7 @@ def parse(page: str) -> Tree:
     nodes = tree.nodes
     stack = [0]  # open elements
     text: list[str] = []
-    deeper = 0  # open elements below DEPTH, which count as part of the one above
+    deeper: list[bool] = []  # open blocks below DEPTH, which count as part of the one above: is it away?
     linked = [0, 0]  # links that are open, characters of links in the block
     at, end = 0, len(page)
 
@@ -121,7 +130,7 @@ def parse(page: str) -> Tree:
         text.clear()
         links, linked[1] = linked[1], 0
         top = nodes[stack[-1]]
-        if words and not top.away:
+        if words and not top.away and not any(deeper):
             tree.blocks.append(Block(stack[-1], " ".join(words), top.tag in HEADINGS, sum(map(len, words)), links))
 
     def close_to(depth: int) -> None:
@@ -143,8 +152,8 @@ def parse(page: str) -> Tree:
             continue
         if m["close"] or m["close2"]:
             if deeper and tag in BLOCK:
-                deeper -= 1
                 flush()
+                deeper.pop()
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == tag:
@@ -184,7 +193,8 @@ def parse(page: str) -> Tree:
             at = close.end() if close else end
             continue
         if len(stack) > DEPTH:
-            deeper += tag in BLOCK
+            if tag in BLOCK:
+                deeper.append(away)
         elif tag in BLOCK or tag == "a" or away != parent.away:
             nodes.append(Node(tag, stack[-1], away))
             stack.append(len(nodes) - 1)
@@ -236,10 +246,10 @@ def _above(nodes: list[Node], node: int) -> list[int]:
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by an empty line.
 
-    The container with the most points, less its share of links, is kept with all blocks but menus (lists
-    and boxes that are mostly links); inside an ``article`` or ``main`` element that element is kept whole.
-    Else siblings are kept that earned a fifth of its points, headings before it, and paragraphs
-    beside it that read like text.
+    The container with the most points, less its share of links, is found; if it lies in an ``article`` or
+    ``main`` element that element is kept whole, its header and lists of links included. Else the container is
+    kept, and with it all its siblings, long or short, that are not mostly links, but for menus (lists and boxes
+    that are links almost alone) in them.
     """
     tree = parse(page)
     nodes, blocks = tree.nodes, tree.blocks
@@ -253,27 +263,19 @@ def main_text(page: str) -> str:
     kept = {best if whole is None else whole}
     top = nodes[best].parent
     if whole is None and top >= 0:
-        for n in range(len(nodes)):
-            if nodes[n].parent != top or n == best or nodes[n].away:
-                continue
-            reads = nodes[n].tag == "p" and nodes[n].chars > 60 and _density(nodes[n]) < 0.25
-            title = nodes[n].tag in HEADINGS and n < best
-            if reads or title or worth.get(n, 0) >= max(5.0, 0.2 * worth[best]):
-                kept.add(n)
+        kept |= {n for n in range(len(nodes)) if nodes[n].parent == top and not nodes[n].away and _density(nodes[n]) < LINKS}
     menus = {
         n
         for n in range(len(nodes))
-        if nodes[n].tag in ("ul", "ol", "div", "table", "section") and n not in kept and nodes[n].chars and _density(nodes[n]) >= MENU
+        if whole is None and nodes[n].tag in ("ul", "ol", "div", "table", "section") and n not in kept and nodes[n].chars and _density(nodes[n]) >= MENU
     }
     out = []
     for block in blocks:
         path = _above(nodes, block.node)
         inside = next((i for i, n in enumerate(path) if n in kept), None)
-        if inside is None or not menus.isdisjoint(path[:inside]):
-            continue
-        if any(nodes[n].tag == "header" for n in path[:inside]) and not block.heading:
-            continue  # of an article's own header only the title is text
-        out.append(block.text)
+        loose = whole is None and block.node == top and _density(block) < LINKS  # text beside the kept boxes, in none of them
+        if loose or inside is not None and menus.isdisjoint(path[:inside]):
+            out.append(block.text)
     return "\n\n".join(out)
 
 
