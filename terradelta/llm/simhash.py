@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, candidates by segment popcounts on a grid, exact check, groups."""
+"""SimHash near-duplicates: fingerprints, a grid range join of segment popcounts, exact check, groups."""
 
 from __future__ import annotations
 
@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradelta.llm.components import components
-from terradelta.llm.tables import shared_keys, slices, staged, utf8
+from terradelta.llm.membership import listed_rows, one_of_repeated
+from terradelta.llm.tables import slices, staged, utf8
 from terradelta.llm.words import tokens
 
 SHINGLE = 3
 SEED = 42
+RADIUS = 2  # bits in which linked fingerprints may differ
+BLOCK = 1024  # fingerprints of a crowded cell that a task compares with as many others
 _BLOCK = 1 << 14  # shingles whose bits are counted at a time
 
 
@@ -65,30 +68,54 @@ def cells(point: Column) -> Column:
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """The fingerprints ``fp`` that share a grid cell with another one: all that could have a partner.
+    """``(cell, fp, n)``: the grid range join. Fingerprints beside those that share a cell with them, n in all.
 
-    The Manhattan distance of segment popcounts never exceeds the number of differing bits, so whoever
-    has a partner at 2 bits or less is kept. Each fingerprint registers in at most 65 cells whatever the
-    data; crowded cells are aggregated before the shuffle and no pairs are listed.
+    The Manhattan distance of segment popcounts never exceeds the number of differing bits, so two that
+    differ in 2 bits or less share a cell. Each registers in at most 65 cells whatever the data; crowded cells
+    are counted before the shuffle, and those of a single fingerprint go.
     """
     placed = fps.select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
-    return staged(placed.join(shared_keys(placed, "cell", "cells"), "cell", "left_semi").select("fp").distinct(), "near")
+    shared = staged(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2"), "cells")
+    return staged(placed.join(shared, "cell"), "near")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Exact links ``(hi, lo)`` among distinct fingerprints ``fp``: enough of them to join all that differ in 2 bits.
 
-    Candidates of the grid meet at the 64-bit words one bit flip (or none) away: two fingerprints have
-    such a word in common exactly if they differ in at most two bits. Each is tied to the smallest at the
-    same word, so a crowd of n gives n - 1 links and not n * n.
+    The fingerprints of a cell are verified against each other inside tasks. A crowded cell is dealt out in
+    blocks, every two of which meet in a task: what moves is its fingerprints times its blocks, and what comes
+    back at most one link for each fingerprint, however many pairs there are.
     """
     near = candidates(fps)
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)))
-    spots = near.select("fp", F.explode(flips).alias("spot"))
-    least = spots.groupBy("spot").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n >= 2")
-    pairs = spots.join(staged(least.drop("n"), "spots"), "spot").where("fp > least")
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2)
-    return pairs.select(F.col("fp").alias("hi"), F.col("least").alias("lo"))
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = near.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, "block").alias("one"), F.greatest(j, "block").alias("other")))
+    met = dealt.select("cell", "fp", "block", F.inline(others))
+
+    def run(rows: pa.Table) -> pa.Table:
+        fp, block = rows.column("fp").to_numpy().astype(np.int64), rows.column("block").to_numpy()
+        one, other = int(rows.column("one")[0].as_py()), int(rows.column("other")[0].as_py())
+        a, b = np.sort(fp[block == one]), np.sort(fp[block == other])
+        near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= RADIUS
+        i, j = np.nonzero(np.triu(near, 1) if one == other else near)
+        above = np.arange(len(a) + (0 if one == other else len(b)))
+        out = []
+        for x, y in zip(i.tolist(), (j if one == other else j + len(a)).tolist()):
+            u, v = _root(above, x), _root(above, y)
+            if u != v:
+                above[u] = v
+                ends = int(a[x]), int(b[y] if one == other else b[y - len(a)])
+                out.append((max(ends), min(ends)))
+        return pa.table([pa.array([h for h, _ in out], pa.int64()), pa.array([l for _, l in out], pa.int64())], names=["hi", "lo"])
+
+    return met.groupBy("cell", "one", "other").applyInArrow(run, "hi long, lo long")
+
+
+def _root(above: np.ndarray, x: int) -> int:
+    while above[x] != x:
+        above[x] = above[above[x]]
+        x = above[x]
+    return x
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -114,5 +141,5 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     found = groups(docs, shingle)
     keep = staged(found.where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = one_of_repeated(listed_rows(docs, "doc_id", keep), "doc_id")
     return kept.unionByName(docs.where("doc_id IS NULL"))

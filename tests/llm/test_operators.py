@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -478,3 +479,117 @@ def test_decontaminate_keeps_columns_of_any_name(spark):
     assert out.schema == table.schema
     assert sorted(map(repr, out.collect())) == sorted(map(repr, table.where("doc_id IS NULL OR doc_id > 1").collect()))
     assert decontaminate.clean(table.limit(0), bench).count() == 0 and decontaminate.clean(table, bench.limit(0)).count() == 4
+
+
+@pytest.mark.parametrize("inner, kept", [
+    ('<section class="legal-history"><p>The law of old.</p></section>', True),
+    ('<div class="search-results-study"><p>What was found.</p></div>', True),
+    ('<ul><li><a href="x">First source</a></li><li><a href="y">Second source</a></li></ul>', True),
+    ('<header><h1>Title</h1><p>Standfirst of the piece.</p></header>', True),
+    ('<div class="comment-list"><p>First!</p></div>', False),
+    ('<div class="share-buttons-top"><a href="x">Share</a></div>', False),
+    ('<section id="comments"><p>I disagree, strongly, with all of it.</p></section>', False),
+    ('<aside><p>Buy now, and pay later.</p></aside>', False),
+])
+def test_extraction_inside_an_article(inner, kept):
+    page = f"<body><nav>Menu</nav><article><p>One, two, three, and a long line of text.</p>{inner}<p>The end.</p></article></body>"
+    words = [w for w in html_text(inner) if w]
+    found = extraction.main_text(page).split("\n\n")
+    assert found == ["One, two, three, and a long line of text.", *(words if kept else []), "The end."]
+
+
+def html_text(markup):
+    return [t.strip() for t in plain.re.sub(r"</(?:p|h1|li)>", "\x00", markup).replace("\x00", "\n").splitlines() for t in [plain.re.sub(r"<[^>]*>", "", t)] if t.strip()]
+
+
+def test_extraction_keeps_short_siblings_and_drops_deep_menus():
+    boxes = "<div>Long text, with commas, and more of it, so that it scores, and wins.</div>"
+    page = f"<body><div><h2>Before</h2>{boxes}<div>Short end note.</div><h2>Later</h2><p>Brief.</p><div><a href=x>One</a> <a href=y>Two</a></div>loose words</div></body>"
+    assert extraction.main_text(page).split("\n\n") == ["Before", boxes[5:-6], "Short end note.", "Later", "Brief.", "loose words"]
+    deep = "<div>" * 600 + "<nav><ul><li>Menu words here</li></ul></nav><p>Deep text, kept.</p>" + "</div>" * 600
+    assert extraction.main_text(deep) == "Deep text, kept."
+
+
+def test_extraction_of_hard_rows(spark):
+    rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>" + "long, " * 100_000), (3, "v", "<p>a"), (3, "v", "<p>a")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = sorted(((r["page_id"], r["url"], len(r["text"])) for r in extraction.extract(table).collect()), key=repr)
+    assert got == sorted([(1, None, 0), (2, "u", 0), (None, "u", 599_999), (3, "v", 1), (3, "v", 1)], key=repr)
+    assert extraction.extract(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "auth https://example.org/a/b/c/2024/01/02/article-title-of-page",
+    "Authorization: see docs/Security_Guide_2024_edition/index",
+    "secret sauce recipe_number_42_of_grandmother",
+    "the private key-value-store-2-configuration-reference and its token_bucket_rate_limiter_10",
+])
+def test_paths_and_names_are_no_secrets(text):
+    assert secret_scan.scan(text.encode()) == []
+
+
+def test_keys_with_separators_are_still_found():
+    rng = random.Random(12)
+    letters = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    keys = [bytes(rng.choices(letters, k=40)) for _ in range(300)]
+    assert sum(secret_scan.named(k) for k in keys) == 0
+    tails = [b"sk_live_" + bytes(rng.choices(letters[:62], k=24)) for _ in range(100)]
+    assert not any(map(secret_scan.named, tails))
+
+
+def test_secrets_and_decontamination_of_empty_tables(spark, hard):
+    empty = hard.limit(0)
+    assert secret_scan.find_secrets(empty).count() == secret_scan.redact(empty).count() == 0
+    bench = spark.createDataFrame([("a", "x y z")], "item_id string, text string")
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+
+
+def test_many_small_sources_are_spread_over_the_windows(spark):
+    window = 4 * packing.SEQUENCE
+    small = [(i, " word" * 20, f"site{i}") for i in range(10_000)]
+    large = [(20_000 + i, " word" * 900, "hot") for i in range(250)]
+    table = spark.createDataFrame(small + large, "doc_id long, text string, source string")
+    pieces = packing.pack(table, window=window, ids=False)
+    per_round = [r["n"] for r in pieces.groupBy("round").agg(F.sum("length").alias("n")).collect()]
+    per_kind = pieces.groupBy("round").agg(F.sum(F.when(F.col("queue") == "hot", F.col("length")).otherwise(0)).alias("hot")).collect()
+    total, hot = sum(per_round), sum(r["hot"] for r in per_kind)
+    assert len(per_round) == -(-total // window) and max(per_round[:-1]) < 1.5 * window
+    assert all(abs(r["hot"] - hot / total * window) <= 2 * packing.SEQUENCE for r in per_kind if r["round"] < len(per_round) - 1)
+
+
+def test_target_proportions(spark):
+    window = 8 * packing.SEQUENCE
+    rows = [(i, " word" * 500, "abc"[i % 3] if i < 600 else "d") for i in range(800)]  # 200 texts of each source
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = spark.createDataFrame([("a", 0.6), ("b", 0.2), ("gone", 0.1), ("d", 0.0)], "queue string, share double")
+    pieces = packing.pack(table, window=window, ids=False, mix=mix).collect()
+    assert sum(p["length"] for p in pieces) == sum({(p["doc_id"], p["doc_tokens"]): p["doc_tokens"] for p in pieces}.values())
+    rounds = {}
+    for p in pieces:
+        rounds.setdefault(p["round"], Counter())[p["queue"]] += p["length"]
+    each = sum(p["length"] for p in pieces if p["queue"] == "a")
+    first = int(each / (0.6 / 0.9 * window)) - 1  # a has 0.6 of 0.9, as "gone" hands its share on
+    for r in range(1, first):
+        assert abs(rounds[r]["a"] - window * 6 / 9) <= 2 * packing.SEQUENCE and abs(rounds[r]["b"] - window * 2 / 9) <= 2 * packing.SEQUENCE
+        assert rounds[r]["d"] == 0
+    last = [q for r in sorted(rounds)[-4:-1] for q in rounds[r]]
+    assert set(last) == {"d"}
+    by_sequence = Counter()
+    for p in pieces:
+        by_sequence[p["sequence_id"]] += p["length"]
+    assert all(by_sequence[s] == packing.SEQUENCE for s in range(len(by_sequence) - 1))
+    with pytest.raises(ValueError):
+        packing.pack(table, mix=spark.createDataFrame([("a", -1.0)], "queue string, share double"))
+
+
+def test_crowded_cells_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(13)
+    base = rng.getrandbits(64)
+    made = {base ^ (1 << i) ^ (1 << j) for i in range(0, 24) for j in range(i)} | {rng.getrandbits(64) for _ in range(200)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in made]
+    links = [tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    assert all(h > l and ((h ^ l) & (1 << 64) - 1).bit_count() <= 2 for h, l in links)
+    want = plain.components([(x, x & (1 << 64) - 1) for x in sorted(signed)])
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "hi long, lo long")).collect()}
+    assert {x: got.get(x, x) for x in signed} == want
