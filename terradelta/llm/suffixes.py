@@ -117,8 +117,9 @@ def _windows(texts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """``(key, first, end)``: words of each text in a window of PASSAGE words that occurs twice or more; spans may overlap.
 
-    Suffixes are sorted and compared by stem, then by turn; both are counted before they meet, so a passage
-    that a third of all texts share is a few rows. Turns found twice are repeats in full. Where a stem has
+    Suffixes are grouped by the hash of their stem, then of their turn, in place of a sort of their words: equal
+    suffixes meet as neighbours would, and both are counted before they meet, so a passage that a third of all
+    texts share is a few rows and no task holds its run of the sorted array. Turns found twice are repeats in full. Where a stem has
     several turns, as at the ends of a repeat, one place of each turn is extended: its windows to the left
     and right of the suffix are compared one by one. Nothing pairs places with each other.
     """
