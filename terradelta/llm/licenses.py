@@ -16,21 +16,88 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Standard notices by label. Long parts of them, in order, give the label too.
+# Parts that several standard texts share.
+_AS_IS = (
+    " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+    " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+    " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+    " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this"
+    " list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_AS_IS = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES,"
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF"
+    " THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice of a license of the GNU family."""
+    return (
+        f"This work is licensed under the {name}, version {version}. This program is free software: you can redistribute it"
+        f" and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version}"
+        " of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful,"
+        " but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+        f" See the {name} for more details."
+    )
+
+
+def _commons(kind: str, mark: str) -> str:
+    """The notice of a Creative Commons license."""
+    return f"This work is licensed under a Creative Commons {kind} 4.0 International License. Licensed under CC {mark} 4.0"
+
+
+#: Standard texts and notices by label. Long parts of them, in order, give the label too.
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
     " documentation files (the Software), to deal in the Software without restriction, including without limitation the"
-    " rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    " rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+    " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and"
+    " this permission notice shall be included in all copies or substantial portions of the Software." + _AS_IS,
     "apache-2": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"
-    " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-3": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
-    " following conditions are met: Redistributions of source code must retain the above copyright notice",
-    "gpl-3": "This work is licensed under the GNU General Public License, version 3. This program is free software: you can"
-    " redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
-    " Foundation, either version 3 of the License, or (at your option) any later version",
-    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. Licensed"
-    " under CC BY-NC 4.0",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by"
+    " applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT"
+    " WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing"
+    " permissions and limitations under the License.",
+    "bsd-2": _BSD + _BSD_AS_IS,
+    "bsd-3": _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+    " promote products derived from this software without specific prior written permission." + _BSD_AS_IS,
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+    " granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS"
+    " PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF"
+    " MERCHANTABILITY AND FITNESS.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held"
+    " liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for"
+    " any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following"
+    " restrictions",
+    "gpl-2": _gnu("GNU General Public License", "2"),
+    "gpl-3": _gnu("GNU General Public License", "3"),
+    "lgpl-2.1": _gnu("GNU Lesser General Public License", "2.1"),
+    "lgpl-3": _gnu("GNU Lesser General Public License", "3"),
+    "agpl-3": _gnu("GNU Affero General Public License", "3"),
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+    " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    " which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,"
+    " publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any"
+    " purpose, commercial or non-commercial, and by any means.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by": _commons("Attribution", "BY"),
+    "cc-by-sa": _commons("Attribution-ShareAlike", "BY-SA"),
+    "cc-by-nd": _commons("Attribution-NoDerivatives", "BY-ND"),
+    "cc-by-nc": _commons("Attribution-NonCommercial", "BY-NC"),
+    "cc-by-nc-sa": _commons("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+    "cc-by-nc-nd": _commons("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in"
     " any form or by any means without the prior written permission of the publisher",
 }
@@ -42,7 +109,7 @@ COVER = 8  # template words that a chain covers to give its label
 class SuffixAutomaton:
     """Every run of words of the templates and phrases, with one place of each in each template.
 
-    Built once per task from templates of a few hundred words: at most two states for each word.
+    Built once per task from templates of a few thousand words: at most two states for each word.
     """
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]) -> None:
@@ -51,6 +118,7 @@ class SuffixAutomaton:
         self.link, self.length, ends = [-1], [0], [set()]
         self.labels = sorted(set(templates))
         texts = [terms(templates[label].encode()) for label in self.labels]
+        self.size = {label: len(words) for label, words in zip(self.labels, texts)}
         phrase_words = [(terms(p.encode()), label) for p, label in phrases.items()]
         phrase_at: dict[int, list[tuple[int, str]]] = {}
         for k, words in enumerate([*texts, *(w for w, _ in phrase_words)]):
@@ -151,6 +219,19 @@ class SuffixAutomaton:
         out += [(c[0], c[1], self.labels[k], c[3]) for k, c in open_.items()]
         return sorted(x for x in out if x[3] >= COVER)
 
+    def decided(self, chains: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+        """Of chains over the same words those whose template explains them best: more words, or a larger share of it.
+
+        Standard texts share long parts; a chain goes if a better one covers half of its words or more.
+        """
+        merit = [(words, words / self.size[label]) for _, _, label, words in chains]
+
+        def beaten(i: int) -> bool:
+            a, b = chains[i][:2]
+            return any(merit[j] > merit[i] and 2 * (min(b, y) - max(a, x) + 1) >= b - a + 1 for j, (x, y, *_) in enumerate(chains))
+
+        return [c for i, c in enumerate(chains) if not beaten(i)]
+
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string()), ("words", pa.int64())]))
 
@@ -159,7 +240,7 @@ def find_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """Per row of ``docs``: doc_id, n_words, phrases and spans (first and last word from 0, label, words).
 
     ``phrases`` lists every place of a phrase; ``spans`` the parts of templates that the text holds, with the
-    number of template words covered. Each text is streamed through the automaton once, in time linear in
+    number of template words covered; where texts share words, the one that explains them best. Each text is streamed through the automaton once, in time linear in
     its words; nothing is shuffled. A null text has no words; repeated rows give repeated results.
     """
 
@@ -172,7 +253,7 @@ def find_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 found, matches = automaton.scan(words)
                 counts.append(len(words))
                 places.append([{"first": a, "last": b, "label": x, "words": b - a + 1} for a, b, x in sorted(found)])
-                spans.append([{"first": a, "last": b, "label": x, "words": n} for a, b, x, n in automaton.chains(matches)])
+                spans.append([{"first": a, "last": b, "label": x, "words": n} for a, b, x, n in automaton.decided(automaton.chains(matches))])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(counts, pa.int64()), pa.array(places, _SPANS), pa.array(spans, _SPANS)],
                 ["doc_id", "n_words", "phrases", "spans"],

@@ -593,3 +593,18 @@ def test_crowded_cells_are_compared_block_by_block(spark, monkeypatch):
     want = plain.components([(x, x & (1 << 64) - 1) for x in sorted(signed)])
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "hi long, lo long")).collect()}
     assert {x: got.get(x, x) for x in signed} == want
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_every_standard_text_is_known_by_itself(label):
+    automaton = licenses.SuffixAutomaton(licenses.PHRASES, licenses.TEMPLATES)
+    words = ["some", "code"] + plain.terms(licenses.TEMPLATES[label]) + ["and", "more"]
+    _, matches = automaton.scan([w.encode() for w in words])
+    assert {c[2] for c in automaton.decided(automaton.chains(matches))} == {label}
+
+
+def test_licenses_of_an_empty_table_and_two_in_a_text(spark, hard):
+    assert licenses.find_licenses(hard.limit(0)).count() == 0
+    both = licenses.TEMPLATES["bsd-2"] + " some words between the two that are in none " + licenses.TEMPLATES["gpl-2"]
+    row = licenses.find_licenses(spark.createDataFrame([(1, both)], "doc_id long, text string")).first()
+    assert [s["label"] for s in row["spans"]] == ["bsd-2", "gpl-2"]
