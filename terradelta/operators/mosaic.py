@@ -21,6 +21,7 @@ from terradelta.functions.projection import corner_of, is_supported
 from terradelta.operators import bitrows
 from terradelta.operators.regions import bounds_center, burn, clip
 from terradelta.operators.scenes import CELL_DEGREES, to_cells
+from terradelta.sources.curve import zone_name, zones_of_window
 
 PHASES = 1000  # parts of a pixel in which rasters must fall into line to share a lattice
 LATTICE = ("lattice", "lattice_x0", "lattice_y0", "epsg", "px", "py")
@@ -148,10 +149,15 @@ def _pixels_on_lattice(pixels: DataFrame, near: DataFrame) -> DataFrame:
     tiles = near.where(first <= last).withColumn(
         "tile_row", F.explode(F.sequence(floor_div(first, bitrows.TILE_ROWS), floor_div(last, bitrows.TILE_ROWS)))
     )
-    on = ["raster_id", "tile_row"]
+    on, zone = ["raster_id", "tile_row"], zone_name(["raster_id"])
+    if zone in pixels.columns:  # stored by write_raster: other folders are not opened
+        left = F.greatest(F.col("col_min") - F.col("col0"), F.lit(0))
+        right = F.least(F.col("col_max") - F.col("col0"), F.col("width") - 1)
+        zones = zones_of_window(["raster_id"], F.col("tile_row"), bitrows.TILE_ROWS, left, right)
+        tiles, on = tiles.where(left <= right).withColumn(zone, F.explode(zones)), [*on, zone]
     tiles = tiles.select(*on, "lattice", "row0", "col0").repartition(*on).distinct()
     met = pixels.join(tiles, on)
-    return met.withColumns({"row": F.col("row") + F.col("row0"), "col": F.col("col") + F.col("col0")}).drop("tile_row", "row0", "col0")
+    return met.withColumns({"row": F.col("row") + F.col("row0"), "col": F.col("col") + F.col("col0")}).drop("tile_row", zone, "row0", "col0")
 
 
 def cut(

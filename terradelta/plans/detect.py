@@ -19,6 +19,7 @@ from terradelta.operators import (
 )
 from terradelta.functions import projection
 from terradelta.functions.numbers import floor_div
+from terradelta.sources.curve import zone_name, zones_of_window
 from terradelta.sources.rasters import only_bands
 
 KEYS = ("job_id", "aoi_id", "date1", "date2")
@@ -171,15 +172,21 @@ def prepare_jobs(resolved: DataFrame, meta: DataFrame) -> DataFrame:
 def pixels_in_reach(pixels: DataFrame, jobs: DataFrame) -> DataFrame:
     """Drop pixels of tiles and dates no job needs, before they are laid out.
 
-    Always a semi join on (raster, date, tile_row); where stored pixels are partitioned by these, it also
-    keeps their files from being read. Spark chooses how to join by measured sizes. The list of tiles is dealt
-    out by the whole key: left where the jobs are, by raster alone, it would draw the pixels there.
+    Always a semi join on (raster, date, tile_row), and for pixels that ``write_raster`` stored on the zone of
+    their block too, which keeps the folders of other zones from being read. Spark chooses how to join by measured
+    sizes. The list of tiles is dealt out by the whole key: left where the jobs are, by raster alone, it would draw
+    the pixels there.
     """
+    ids = ["aoi_id", "scene_date"]
+    zone = zone_name(ids)
+    on = [*ids, "tile_row"]
     tiles = F.sequence(floor_div(F.col("row_min"), bitrows.TILE_ROWS), floor_div(F.col("row_max"), bitrows.TILE_ROWS))
-    needed = bands.by_date(jobs.select("aoi_id", "date1", "date2", F.explode(tiles).alias("tile_row")))
+    needed = bands.by_date(jobs.select("aoi_id", "date1", "date2", "col_min", "col_max", F.explode(tiles).alias("tile_row")))
+    if zone in pixels.columns:
+        zones = zones_of_window(ids, F.col("tile_row"), bitrows.TILE_ROWS, F.col("col_min"), F.col("col_max"))
+        needed, on = needed.withColumn(zone, F.explode(zones)), [*on, zone]
     if "tile_row" not in pixels.columns:
         pixels = pixels.withColumn("tile_row", floor_div(F.col("row"), bitrows.TILE_ROWS))
-    on = ["aoi_id", "scene_date", "tile_row"]
     return pixels.join(needed.select(*on).repartition(*on).distinct(), on, "left_semi")
 
 
