@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terradelta.llm.membership import fresh
 from terradelta.llm.tables import slices, utf8
@@ -51,8 +52,8 @@ class Automaton:
         return spans, found
 
 
-def _chunks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items as (id, text), in groups of at most ``max_words`` words (or one item); one group at a time is held."""
+def _chunks(benchmark: DataFrame, max_words: int) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """Items as (id, text), in groups of at most ``max_words`` words (or one item), and whether a group is the last; one at a time is held."""
     sized = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -61,35 +62,43 @@ def _chunks(benchmark: DataFrame, max_words: int) -> Iterator[list[tuple[str, by
     parts = max(1, -(-total // (2 * max_words)))  # a word and its separator take two characters at least
     for part in range(parts):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toLocalIterator()
-        yield [(r["item_id"], r["text"].encode()) for r in rows]
+        yield [(r["item_id"], r["text"].encode()) for r in rows], part == parts - 1
 
 
-def _hits(frame: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> tuple[DataFrame, str, str]:
-    """``frame`` with the hit word ranges of its ``text`` and the items, in two new columns; and their names."""
+Finish = Callable[[pa.RecordBatch, list[list[tuple[int, int]]], list[list[str]]], pa.RecordBatch]
+
+
+def _hits(frame: DataFrame, benchmark: DataFrame, window: int, max_words: int, finish: Finish, schema: StructType | str) -> DataFrame:
+    """What ``finish`` makes of the rows of ``frame``, the merged hit word ranges of their ``text`` and the items that hit.
+
+    It runs inside the last pass: each pass of a stage holds a Python worker of its own.
+    """
     hit_spans, hit_items = (fresh(frame.columns, n) for n in ("hit_spans", "hit_items"))
     found = frame.withColumns({
         hit_spans: F.lit(None).cast("array<struct<first:long,last:long>>"),
         hit_items: F.lit(None).cast("array<string>"),
     })
-    for items in _chunks(benchmark, max_words):
+    for items, last in _chunks(benchmark, max_words):
         sent = frame.sparkSession.sparkContext.broadcast(items)
 
-        def one_pass(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def one_pass(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(sent.value, window)
             for part in slices(batches):
                 columns = dict(zip(part.schema.names, part.columns))
                 spans, names = [], []
                 for text, old, who in zip(utf8(columns["text"]), columns[hit_spans].to_pylist(), columns[hit_items].to_pylist()):
                     new, items = automaton.scan(terms(text))
-                    merged = united([(s["first"], s["last"]) for s in old or ()] + new)
-                    spans.append([{"first": a, "last": b} for a, b in merged])
+                    spans.append(united([(s["first"], s["last"]) for s in old or ()] + new))
                     names.append(sorted(items.union(who or ())))
-                columns[hit_spans] = pa.array(spans, columns[hit_spans].type)
+                if last:
+                    yield finish(part, spans, names)
+                    continue
+                columns[hit_spans] = pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], columns[hit_spans].type)
                 columns[hit_items] = pa.array(names, columns[hit_items].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), part.schema.names)
 
-        found = found.mapInArrow(one_pass, found.schema)
-    return found, hit_spans, hit_items
+        found = found.mapInArrow(one_pass, schema if last else found.schema)
+    return found
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -105,26 +114,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
     repeated items count once, a null item_id counts as the empty string, and repeated rows give repeated
     results.
     """
-    found, _, _ = _hits(docs.select("doc_id", "text"), benchmark, window, max_words)
-
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            counts, hits, spans = [], [], []
-            for text, old in zip(utf8(part.column(1)), part.column(2).to_pylist()):
-                merged = [(s["first"], s["last"]) for s in old]
-                counts.append(len(terms(text)))
-                hits.append(sum(b - a + 1 for a, b in merged))
-                spans.append(offsets(text, merged))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), part.column(3), pa.array(spans, _PLACES)],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return found.mapInArrow(
-        located,
-        "doc_id long, n_words long, n_hit long, items array<string>,"
-        " spans array<struct<first:long,last:long,start:long,end:long>>",
-    )
+
+    def located(part: pa.RecordBatch, found: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+        counts, hits, spans = [], [], []
+        for text, merged in zip(utf8(part.column(1)), found):
+            counts.append(len(terms(text)))
+            hits.append(sum(b - a + 1 for a, b in merged))
+            spans.append(offsets(text, merged))
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, _PLACES)],
+            ["doc_id", "n_words", "n_hit", "items", "spans"],
+        )
+
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long,start:long,end:long>>"
+    return _hits(docs.select("doc_id", "text"), benchmark, window, max_words, located, schema)
 
 
 _PLACES = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")]))
@@ -173,14 +176,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent:
     """
 
     names = docs.columns
-    found, hit_spans, _ = _hits(docs, benchmark, window, MAX_WORDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            keep = []
-            for text, spans in zip(utf8(part.column("text")), part.column(hit_spans).to_pylist()):
-                hit = sum(s["last"] - s["first"] + 1 for s in spans)
-                keep.append(not (hit and 100 * hit >= percent * len(terms(text))))
-            yield part.filter(pa.array(keep, pa.bool_())).select(names)
+    def kept(part: pa.RecordBatch, found: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+        keep = []
+        for text, merged in zip(utf8(part.column("text")), found):
+            hit = sum(b - a + 1 for a, b in merged)
+            keep.append(not (hit and 100 * hit >= percent * len(terms(text))))
+        return part.filter(pa.array(keep, pa.bool_())).select(names)
 
-    return found.mapInArrow(run, docs.schema)
+    return _hits(docs, benchmark, window, MAX_WORDS, kept, docs.schema)

@@ -7,6 +7,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -23,7 +24,7 @@ from terradelta.llm.tables import slices, staged
 
 SEQUENCE = 1024  # tokens
 ROUND = 64 * SEQUENCE  # tokens of a window in which every source has its share
-CACHED = 400_000  # words whose ids a task remembers
+CACHED = 400_000  # words whose ids a worker remembers
 END = 0  # the id that ends a document
 MAX_MIX = 10_000  # queues with a target of their own
 LAST = 1e-9  # share of queues that are to come after all others
@@ -52,38 +53,44 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         if self.exact.get_vocab_size() > 1 << 16:
             raise ValueError("ids are stored in two bytes")
-        self.known = _Known(self.ids)
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        plain = max(text) < "ɐ"
-        found = self.fast.encode_ordinary(text) if plain else self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        self.known = _Known(self.exact, self.fast)
 
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if "  " in text:
-            return self.ids(text)
+            return self.known.ids(text)
         first, *rest = text.split(" ")
         if len(self.known) > CACHED:
             self.known.clear()
-        return self.ids(first) + b"".join(map(self.known.__getitem__, rest))
+        return self.known.ids(first) + b"".join(map(self.known.__getitem__, rest))
 
 
 class _Known(dict):
-    """Ids of words that follow a space."""
+    """Ids of words that follow a space. Knows nothing of its encoder, so that both go as soon as they are dropped."""
 
-    def __init__(self, ids) -> None:
+    def __init__(self, exact: Tokenizer, fast: tiktoken.Encoding) -> None:
         super().__init__()
-        self.ids = ids
+        self.exact, self.fast = exact, fast
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        plain = max(text) < "ɐ"
+        found = self.fast.encode_ordinary(text) if plain else self.exact.encode(text, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self[word] = self.ids(" " + word)
         return found
 
 
+@cache
+def _encoder() -> Encoder:
+    """The encoder of a Python worker, whose tasks share it and the words that it remembers."""
+    return Encoder()
+
+
 def packets(docs: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """The documents' tokens, each ended by END, in packets of at most ``sequence`` tokens, in reading order.
 
@@ -93,7 +100,7 @@ def packets(docs: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(), TaskContext.get().partitionId()
+        encoder, part = _encoder(), TaskContext.get().partitionId()
         sent: dict[str, int] = {}
         end = np.array([END], "<u4").tobytes()
         for block in slices(batches, 64):

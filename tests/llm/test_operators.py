@@ -1,9 +1,11 @@
 """Operators against plain forms, on the small tables and on made cases."""
 
 import base64
+import gc
 import hashlib
 import os
 import random
+import weakref
 import zlib
 from collections import Counter
 
@@ -608,3 +610,24 @@ def test_licenses_of_an_empty_table_and_two_in_a_text(spark, hard):
     both = licenses.TEMPLATES["bsd-2"] + " some words between the two that are in none " + licenses.TEMPLATES["gpl-2"]
     row = licenses.find_licenses(spark.createDataFrame([(1, both)], "doc_id long, text string")).first()
     assert [s["label"] for s in row["spans"]] == ["bsd-2", "gpl-2"]
+
+
+def test_an_encoder_goes_when_it_is_dropped():
+    gc.collect()
+    gc.disable()  # a worker makes few objects that would have the collector look for cycles
+    try:
+        encoder = packing.Encoder()
+        assert encoder.encode("some words, some more words")
+        gone = weakref.ref(encoder)
+        del encoder
+        assert gone() is None
+    finally:
+        gc.enable()
+    assert packing._encoder() is packing._encoder()
+
+
+def test_decontamination_takes_one_python_worker_a_task(docs, spark):
+    bench = spark.createDataFrame([("a", "a phrase of some words")], "item_id string, text string")
+    for found in (decontaminate.clean(docs, bench), decontaminate.scan(docs, bench)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
