@@ -53,40 +53,43 @@ def popcounts(fp: Column) -> Column:
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def cells(point: Column) -> Column:
-    """Grid cells within Manhattan distance 1 of an embedded point.
+def cells(point: Column, segments: int = 32) -> Column:
+    """Grid cells within Manhattan distance 1 of an embedded point, in its lowest ``segments`` coordinates.
 
     Two points at distance 2 or less have one of these in common: on a shortest path between them lies a
     point at most 1 from either, and its coordinates stay between theirs.
     """
     out = [point]
-    for j in range(32):
+    for j in range(segments):
         at = F.shiftrightunsigned(point, 2 * j).bitwiseAND(F.lit(3))
         out += [F.when(at < 2, point.bitwiseXOR(F.shiftleft((at + 1).bitwiseXOR(at), 2 * j)))]
         out += [F.when(at > 0, point.bitwiseXOR(F.shiftleft((at - 1).bitwiseXOR(at), 2 * j)))]
     return F.filter(F.array(*out), lambda c: c.isNotNull())
 
 
-def candidates(fps: DataFrame) -> DataFrame:
+def candidates(fps: DataFrame, segments: int = 32) -> DataFrame:
     """``(cell, fp, n)``: the grid range join. Fingerprints beside those that share a cell with them, n in all.
 
     The Manhattan distance of segment popcounts never exceeds the number of differing bits, so two that
     differ in 2 bits or less share a cell. Each registers in at most 65 cells whatever the data; crowded cells
     are counted before the shuffle, and those of a single fingerprint go.
     """
-    placed = fps.select("fp", F.explode(cells(popcounts(F.col("fp")))).alias("cell"))
+    placed = fps.select("fp", F.explode(cells(popcounts(F.col("fp")), segments)).alias("cell"))
     shared = staged(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n >= 2"), "cells")
     return staged(placed.join(shared, "cell"), "near")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, segments: int = 32) -> DataFrame:
     """Exact links ``(hi, lo)`` among distinct fingerprints ``fp``: enough of them to join all that differ in 2 bits.
 
+    Fingerprints of fewer than 32 two-bit ``segments`` may be marked in the bits above: only those of equal marks
+    link, if marks are made of zeros and pairs of ones.
+
     The fingerprints of a cell are verified against each other inside tasks. A crowded cell is dealt out in
     blocks, every two of which meet in a task: what moves is its fingerprints times its blocks, and what comes
     back at most one link for each fingerprint, however many pairs there are.
     """
-    near = candidates(fps)
+    near = candidates(fps, segments)
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = near.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, "block").alias("one"), F.greatest(j, "block").alias("other")))

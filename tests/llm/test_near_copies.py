@@ -67,3 +67,40 @@ def test_crowded_bands_are_compared_to_the_end(spark):
     found = near_copies.components(near_copies.links(members, nodes)).collect()
     near = {(b, a) for i, (a, x) in enumerate(sets) for b, y in sets[i + 1 :] if 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
     assert len(near) >= 120 and {r["node"]: r["root"] for r in found} == {3 * i + k: 3 * i for i in range(60) for k in (1, 2)}
+
+
+def test_grid_of_fingerprints_finds_and_ties(spark, monkeypatch):
+    """The grid brings together what differs in two bits of a word; without bands its verified candidates alone make the groups."""
+    rng = random.Random(10)
+    made = []
+    for i in range(40):
+        base = [f"g{rng.randrange(9000)}" for _ in range(400)]
+        made += [base, base[:200] + ["changed"] + base[201:], [f"h{rng.randrange(9000)}" for _ in range(60)]]
+    texts = [" ".join(w) for w in made]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    words = [near_copies.fingerprint(s) for s in sets]
+    nodes = [near_copies._digest(s) for s in sets]
+    close = lambda a, b: any((x ^ y).bit_count() <= 2 for x, y in zip(words[a], words[b]))
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if close(a, b)}
+    found = near_copies.grid_pairs(near_copies.signatures(docs).select("node", "words")).collect()
+    at = {n: i for i, n in enumerate(nodes)}
+    assert {tuple(sorted((at[r["hi"]], at[r["lo"]]), reverse=True)) for r in found} == want
+    edited = {(3 * i + 1, 3 * i) for i in range(40)}
+    assert len(want & edited) >= 30
+    monkeypatch.setattr(near_copies, "shared_keys", lambda df, key, name: near_copies.staged(df.select(key).limit(0), name))
+    groups = near_copies.groups(docs).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in groups if r["doc_id"] != r["component_id"]} == want & edited
+
+
+def test_words_of_a_fingerprint_by_hand():
+    shingles_of = near_copies.shingles(b"one two three four five six seven")
+    mixed = [[int(x) for x in near_copies._mixed(shingles_of, turn)] for turn in range(3)]
+    for i, word in enumerate(near_copies.fingerprint(shingles_of)):
+        assert word >> near_copies.BITS == sum(3 << 2 * b for b in range(8) if i >> b & 1)
+        for bit in range(near_copies.BITS):
+            byte, low = divmod(i * near_copies.BITS + bit, 8)
+            turn, byte = divmod(byte, 8)
+            ones = sum(x.to_bytes(8, "little")[byte] >> (7 - low) & 1 for x in mixed[turn])
+            assert word >> (near_copies.BITS - 1 - bit) & 1 == (2 * ones > len(shingles_of))
+    assert near_copies.fingerprint(near_copies.shingles(b"")) == []
