@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import product
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def write_raster(
     names rasters and rows opens few folders (``read_window``, detection).
 
     Overwriting replaces the rasters (keys and dates) that ``df`` holds, whole; others stay. Folders that hold
-    such a raster are written anew, which takes one more pass over ``df``: append rasters that are new.
+    such a raster are written anew, which takes two passes over ``df``: it is computed once and kept on the
+    executors' disks in between. Append rasters that are new.
     """
     ids = [*keys, *dates]
     zone = curve.zone_name(ids)
@@ -69,6 +71,7 @@ def write_raster(
         _write_zones(rows, path, ids, rows_per_part, mode)
         return
     there = there.select(rows.columns)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     named = _replaced(rows, there, ids).persist()
     touched = _numbers(named.select(F.explode(F.array_union("added", "held"))))
     others = there.where(F.col(zone).isin(touched)).alias("there").join(named.alias("named"), _same(ids), "left_anti")
@@ -80,6 +83,7 @@ def write_raster(
         nothing = df.sparkSession.createDataFrame([], rows.drop(zone).schema)
         nothing.write.mode("overwrite").parquet(f"{path}/{zone}={number}")
     named.unpersist()
+    rows.unpersist()
 
 
 def _write_zones(rows: DataFrame, path: str, ids: Sequence[str], side: int, mode: str) -> None:

@@ -3,6 +3,7 @@
 import re
 from datetime import date
 from glob import glob
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from terradelta.plans.from_catalog import detect_from_catalog
 from terradelta.sources import curve, rasters
 from tests.test_mosaic import catalog_case
 from verification import fixtures as fx
+from verification import queries
 
 MASKS = "aoi_id string, scene_date date, row bigint, col bigint, mask int"
 ID = ["aoi_id", "scene_date"]
@@ -137,3 +139,34 @@ def test_detection_on_stored_scenes(spark, tmp_path):
     want = detect_from_catalog(asked, pixels, *rest)
     got = sorted(map(str, found.metrics().collect()))
     assert len(got) == 3 and got == sorted(map(str, want.metrics().collect()))
+
+
+def counted(df):
+    """``df`` and the number of its rows that have been computed so far, for whichever columns."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn("row", count.asNondeterministic()("row")), seen
+
+
+def test_replacing_computes_its_rows_once(spark, tmp_path, few_zones):
+    path = str(tmp_path / "masks")
+    rasters.write_raster(spark.createDataFrame(raster("a", 5, 9) + raster("b", 5, 9), MASKS), path, "mask")
+    new, seen = counted(spark.createDataFrame(raster("b", 4, 9, mask=1) + raster("c", 4, 9, mask=1), MASKS))
+    rasters.write_raster(new, path, "mask")
+    assert seen.value == 72
+    assert contents(rasters.read_raster(spark, path)) == sorted(raster("a", 5, 9) + raster("b", 4, 9, 1) + raster("c", 4, 9, 1), key=str)
+
+
+def test_sink_queries_compute_a_raster_once(spark, few_zones):
+    cells = [(job, "a", DAY, DAY, r, c, r % 2) for job in range(12) for r in range(3) for c in range(4)]
+    made = spark.createDataFrame(cells, "job_id long, aoi_id string, date1 date, date2 date, row long, col long, mask int")
+    jobs = spark.range(12).select(F.col("id").alias("job_id"), (F.col("id") + 100).alias("first_request"))
+    once, seen = counted(made)
+    back = queries._through_sink(spark, SimpleNamespace(jobs=jobs), once, "mask")
+    assert sorted(tuple(r) for r in back.collect()) == [(j + 100, a, str(d), str(e), r, c, m) for j, a, d, e, r, c, m in cells]
+    assert seen.value == len(cells)
