@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -76,9 +77,9 @@ class _Known(dict):
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        plain = max(text) < "ɐ"
+        plain = text.isascii() or max(text) < "ɐ"
         found = self.fast.encode_ordinary(text) if plain else self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, word: str) -> bytes:
         found = self[word] = self.ids(" " + word)
