@@ -147,8 +147,8 @@ def prior_for(target: int, buckets: int) -> float:
     return max(PRIOR, 2 * math.sqrt(target * buckets))
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float | None) -> tuple[Column, int]:
-    """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one array of doubles; and the number of buckets.
+def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float | None) -> tuple[DataFrame, int]:
+    """log P(n-gram | target) - log P(n-gram | raw) for each bucket, as one row of one array of doubles, staged; and the number of buckets.
 
     Target: the texts with a label of quality 1. Raw: every text. The target is smoothed with ``prior`` n-grams
     of the raw distribution (None: by ``prior_for``), so that what it lacks counts against a text by a bounded amount.
@@ -160,22 +160,28 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, prior: float | None) -> tu
     prior = prior_for(row["all_target"], buckets) if prior is None else prior
     p_raw = F.col("raw") / F.lit(float(max(1, row["all_raw"])))
     weight = F.ln((F.col("target") + prior * p_raw) / F.lit(row["all_target"] + prior)) - F.ln(p_raw)
-    rows = per_bucket.where("raw > 0").select("bucket", weight.alias("weight")).collect()  # at most MOST_BUCKETS rows
-    weights = dict.fromkeys(range(buckets), "0.0") | {r["bucket"]: repr(r["weight"]) for r in rows}
-    return F.split(F.lit(",".join(weights[b] for b in range(buckets))), ",").cast("array<double>"), buckets
+    known = per_bucket.where("raw > 0").select("bucket", weight.alias("weight"))
+    every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(known, "bucket", "left")
+    placed = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0)).alias("weight"))))  # at most MOST_BUCKETS
+    return staged(every.agg(F.transform(placed, lambda x: x["weight"]).alias("weights")), "weights"), buckets
 
 
 def _judged(docs: DataFrame, labels: DataFrame, ratio: float, prior: float | None) -> DataFrame:
-    """``docs`` with all counts, ``llr``, ``base_failed`` and ``kept``."""
+    """``docs`` with all counts, ``llr``, ``base_failed`` and ``kept``.
+
+    The weights come in as a subquery: as a literal the driver would write all of them out in each description of
+    the plan. They are used in one place, where the optimizer puts the subquery; else each row would get a copy.
+    """
     weights, buckets = ratio_weights(docs, labels, prior)
-    counted = text_counts(docs)
+    counted = text_counts(docs).withColumn("_weights", weights.scalar())
 
     def add(total: Column, gram: Column) -> Column:
-        return total + F.get(weights, _bucket(gram, buckets))
+        return total + F.get(F.col("_weights"), _bucket(gram, buckets))
 
-    total = F.aggregate("_hashes", F.lit(0.0), add) + F.aggregate("_pairs", F.lit(0.0), add)
+    sums = F.transform(F.array("_hashes", "_pairs"), lambda grams: F.aggregate(grams, F.lit(0.0), add))
+    summed = counted.withColumn("_total", F.aggregate(sums, F.lit(0.0), lambda a, b: a + b)).drop("_weights")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    scored = counted.withColumn("llr", _settled(total / F.greatest(2 * F.col("n_words"), F.lit(1))))
+    scored = summed.withColumn("llr", _settled(F.col("_total") / F.greatest(2 * F.col("n_words"), F.lit(1))))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= ratio))
 
 
